@@ -17,8 +17,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs, ~langid.held_out()))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op1_language_id, op8_quality_rules, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
