@@ -31,7 +31,7 @@ from .shared import arrow_map
 
 MARK = "▁"
 #: Words whose ids a worker keeps; beyond that it forgets them all.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 200_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -139,14 +139,19 @@ class Merges:
     def learn(self, words: list[str]) -> None:
         """Put the ids of new words into ``kept``."""
         sym, sizes = self.merge(words)
-        flat, at = sym.tolist(), 0
-        limit = len(self.byte_ids) and self.library.get_piece_size()
-        for w, n in zip(words, sizes.tolist(), strict=True):
-            part, at = flat[at : at + n], at + n
-            if min(part) < 0 or max(part) >= limit:
-                names = {v: k for k, v in self.symbols.items() if v >= limit} if max(part) >= limit else {}
-                part = [i for s in part for i in ([s] if 0 <= s < limit else [self.byte_ids[b] for b in (names[s] if s >= 0 else chr(-1 - s)).encode()])]
-            self.kept[w] = (",".join(map(str, part)), tuple(part))
+        limit = self.library.get_piece_size()
+        ends = np.cumsum(sizes)
+        plain = np.bitwise_and.reduceat((sym >= 0) & (sym < limit), ends - sizes)
+        flat = sym.tolist()
+        named = [str(i) for i in flat]
+        for w, a, b, easy in zip(words, (ends - sizes).tolist(), ends.tolist(), plain.tolist(), strict=True):
+            self.kept[w] = (",".join(named[a:b]), tuple(flat[a:b])) if easy else self._with_bytes(flat[a:b], limit)
+
+    def _with_bytes(self, part: list[int], limit: int) -> tuple[str, tuple[int, ...]]:
+        """Characters that are no pieces become their UTF-8 bytes' pieces."""
+        rare = {v: k for k, v in self.symbols.items() if v >= limit} if max(part) >= limit else {}
+        ids = [i for s in part for i in ([s] if 0 <= s < limit else [self.byte_ids[b] for b in (rare[s] if s >= 0 else chr(-1 - s)).encode()])]
+        return ",".join(map(str, ids)), tuple(ids)
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
         """For every text its words' ids, as text and as numbers."""
