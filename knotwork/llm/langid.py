@@ -149,12 +149,19 @@ def train(texts: list[str], labels: list[str], how: Training = Training()) -> Ne
 
 
 def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", how: Training = Training()) -> Network | None:
-    """Train on the ``how.texts`` labelled rows of the smallest hash among those that are ``usable``."""
+    """Train on the ``how.texts`` labelled rows of the smallest hash among those that are ``usable``.
+
+    A threshold on the hash, from the number of labelled rows, leaves about twice the rows that are
+    needed before they are ordered, so what reaches the driver does not grow with the partitions.
+    """
     size = 4 * how.window
     place = F.lit(1) + F.pmod(F.xxhash64(id_col, F.lit(11)), F.greatest(F.length(text_col) - size, F.lit(1))).cast("int")
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
     known = known if usable is None else known.where(usable)
     drawn = known.select(F.xxhash64(id_col, text_col, F.lit(how.seed)).alias("order"), F.col(text_col).substr(place, F.lit(size)).alias("piece"), F.col(lang_col).alias("label"))
+    many = known.count()
+    if many > 4 * how.texts:
+        drawn = drawn.where(F.col("order") < F.lit(int(-(2**63) + 2**64 * (2 * how.texts / many))))
     rows = drawn.orderBy("order", "label", "piece").limit(how.texts).collect()  # bounded sample
     rows = [r for r in rows if any(c.isalpha() for c in r["piece"])]
     return train([r["piece"] for r in rows], [r["label"] for r in rows], how)

@@ -49,8 +49,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op8_quality_rules, op9_token_counts, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op7_substring_dedup, op8_quality_rules, op9_token_counts, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,9 +29,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_powers: dict[int, tuple[np.ndarray, ...]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,15 +107,18 @@ def arrow_map(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``n`` powers of the hash base and of its inverse, modulo 2**64."""
-    if 0 not in _powers or len(_powers[0]) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of hash base number ``which`` and of its inverse, modulo 2**64."""
+    if which not in _powers or len(_powers[which][0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        for key, base in ((0, _BASE), (1, _BASE_INVERSE)):
-            grown = np.full(size, base, np.uint64)
-            grown[0] = 1
-            _powers[key] = np.cumprod(grown)
-    return _powers[0][:n], _powers[1][:n]
+        grown = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            run = np.full(size, base, np.uint64)
+            run[0] = 1
+            grown.append(np.cumprod(run))
+        _powers[which] = tuple(grown)
+    up, down = _powers[which]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,9 +130,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hashes of the value runs [start, end), equal for equal runs wherever they lie."""
-    up, down = powers(len(values) + 1)
+    up, down = powers(len(values) + 1, which)
     sums = np.empty(len(values) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
@@ -174,9 +176,9 @@ class Segments:
         return np.flatnonzero(room >= width)
 
 
-def gram_hashes(words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, first: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """64-bit hashes of the word runs of ``width`` words that begin at ``first``."""
-    return span_hashes(words, first, first + width)
+    return span_hashes(words, first, first + width, which)
 
 
 def repeats_in_row(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
