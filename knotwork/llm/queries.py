@@ -55,8 +55,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import classes
+
+    return classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op7_substring_dedup, op8_quality_rules, op9_token_counts, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_ngram_jaccard, op7_substring_dedup, op8_quality_rules, op9_token_counts, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
