@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +62,36 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+#: The rules of the URL query, (verdict, host, path).
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), 24)
+
+
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .onebit import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_ngram_jaccard, op7_substring_dedup, op8_quality_rules, op9_token_counts, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_sharding, op6_nearest_vectors, op7_substring_dedup, op8_quality_rules, op9_token_counts, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
