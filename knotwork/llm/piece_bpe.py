@@ -31,7 +31,7 @@ from .shared import arrow_map
 
 MARK = "▁"
 #: Words whose ids a worker keeps; beyond that it forgets them all.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -66,7 +66,8 @@ class Merges:
         made = np.unique(into)
         tied = np.bincount(rank[made], minlength=len(levels) + 1) > 1
         self.unsafe |= tied
-        self.kept: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.names = np.array([str(i) for i in range(size)], object)
+        self._forget()
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def words(self, text: str) -> list[str]:
@@ -136,32 +137,54 @@ class Merges:
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
 
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of new words into ``kept``."""
+    def _forget(self) -> None:
+        self.numbers, self.flat, self.at = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Append the ids of new words to ``flat``; word k has those from ``at[k]`` to ``at[k + 1]``."""
         sym, sizes = self.merge(words)
         limit = self.library.get_piece_size()
-        ends = np.cumsum(sizes)
-        plain = np.bitwise_and.reduceat((sym >= 0) & (sym < limit), ends - sizes)
-        flat = sym.tolist()
-        named = [str(i) for i in flat]
-        for w, a, b, easy in zip(words, (ends - sizes).tolist(), ends.tolist(), plain.tolist(), strict=True):
-            self.kept[w] = (",".join(named[a:b]), tuple(flat[a:b])) if easy else self._with_bytes(flat[a:b], limit)
-
-    def _with_bytes(self, part: list[int], limit: int) -> tuple[str, tuple[int, ...]]:
-        """Characters that are no pieces become their UTF-8 bytes' pieces."""
-        rare = {v: k for k, v in self.symbols.items() if v >= limit} if max(part) >= limit else {}
-        ids = [i for s in part for i in ([s] if 0 <= s < limit else [self.byte_ids[b] for b in (rare[s] if s >= 0 else chr(-1 - s)).encode()])]
-        return ",".join(map(str, ids)), tuple(ids)
-
-    def encode(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
-        """For every text its words' ids, as text and as numbers."""
+        odd = np.flatnonzero((sym < 0) | (sym >= limit))
+        if len(odd):  # characters that are no pieces become the pieces of their UTF-8 bytes
+            rare = {v: k for k, v in self.symbols.items() if v >= limit}
+            codes = [[self.byte_ids[b] for b in (rare[s] if s >= 0 else chr(-1 - s)).encode("utf-8", "surrogatepass")] for s in sym[odd].tolist()]
+            times = np.ones(len(sym), np.int64)
+            times[odd] = [len(c) for c in codes]
+            of = np.repeat(np.repeat(np.arange(len(words)), sizes), times)
+            first = (np.cumsum(times) - times)[odd]
+            sym = np.repeat(sym, times)
+            place = np.repeat(first - np.cumsum(times[odd]) + times[odd], times[odd]) + np.arange(int(times[odd].sum()))
+            sym[place] = list(chain.from_iterable(codes))
+            sizes = np.bincount(of, minlength=len(words))
+        self.flat = np.concatenate((self.flat, sym))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin and end."""
+        if len(self.numbers) > KEPT_WORDS:
+            self._forget()
         cut = [self.words(t) for t in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        fresh = list({w for ws in cut for w in ws if w not in self.kept})
-        if fresh:
-            self.learn(fresh)
-        return [[self.kept[w] for w in ws] for ws in cut]
+        word = np.array(list(map(self.numbers.__getitem__, chain.from_iterable(cut))), np.int64)
+        if self.numbers.fresh:
+            self._learn(self.numbers.fresh)
+            self.numbers.fresh = []
+        sizes = self.at[word + 1] - self.at[word]
+        ends = np.append(0, np.cumsum(sizes))
+        ids = self.flat[np.repeat(self.at[word] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.append(0, np.cumsum([len(ws) for ws in cut], dtype=np.int64))]
+
+
+class _Numbers(dict):
+    """Numbers for words in order of their first look-up; the new ones are listed in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = number = len(self)
+        return number
 
 
 @lru_cache(maxsize=2)
@@ -169,9 +192,15 @@ def merges(model_file: str) -> Merges:
     return Merges(model_file)
 
 
+def _lists(values: np.ndarray, bounds: np.ndarray) -> list[list]:
+    """One list for each text."""
+    flat, at = values.tolist(), bounds.tolist()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def encode(texts: list[str], model_file: str) -> list[list[int]]:
     """Ids of each text."""
-    return [list(chain.from_iterable(p[1] for p in parts)) for parts in merges(model_file).encode(texts)]
+    return _lists(*merges(model_file).encode(texts))
 
 
 def tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,9 +223,9 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         coder = merges(model_file)
-        parts = coder.encode([t or "" for t in rows.column(1).to_pylist()])
-        ids = [list(chain.from_iterable(p[1] for p in ws)) for ws in parts]
-        named = [sha(",".join([p[0] for p in ws])) for ws in parts]
+        flat, bounds = coder.encode([t or "" for t in rows.column(1).to_pylist()])
+        ids = _lists(flat, bounds)
+        named = [sha(",".join(names)) for names in _lists(coder.names[flat], bounds)]
         back = [sha(t) for t in coder.library.decode(ids)]
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(named), pa.array(back)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
