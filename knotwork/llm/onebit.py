@@ -3,13 +3,13 @@
 A vector minus the centre is scaled to unit length and rotated; the signs of its coordinates are its
 code, packed 64 to a word. With x the unit vector that the code stands for and o the rotated unit
 vector, <x, o> is kept as a correction: <x, q> / <x, o> estimates <o, q> for a rotated query part q
-without bias, and its error stays below ``sure * sqrt((1 - <x,o>^2) / <x,o>^2 / (dim - 1)) * |q|``
-except with a small probability. The query is rounded to 8-bit integers, so <x, q> comes from the
-packed bits by popcounts.
+without bias, with the standard error ``sqrt((1 - <x,o>^2) / <x,o>^2 / (dim - 1)) * |q|``; the bound is
+``sure`` standard errors. The query is rounded to 4-bit integers, so <x, q> comes from the packed
+bits by popcounts, and the rounding's standard error is added to the bound.
 
-Each task codes its vectors and finds for each query of a block those whose upper bound exceeds the
-k-th best exact product found so far; these alone are multiplied in double precision on the
-original vectors. Queries come in blocks of bounded size, broadcast one after the other. Every
+Each task codes its vectors and finds for each query of a block those whose upper bound reaches the
+k-th best exact product known so far, at first that among a bounded sample; these alone are
+multiplied in double precision on the original vectors. Queries come in blocks of bounded size, broadcast one after the other. Every
 vector is coded and compared; nothing is left out but by its bound.
 
 Cases: vectors that are null, zero, of another length than the first valid one, or hold a null or
@@ -32,7 +32,7 @@ from .shared import small_batches, stash
 
 #: Queries in one broadcast block, vectors coded at once, sampled vectors for the centre.
 BLOCK, CHUNK, CENTRE = 8192, 8192, 4096
-BITS = 8
+BITS = 4
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -41,11 +41,12 @@ def rotation(dim: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, added up from the first component to the last."""
-    total = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        total += a[:, d] * b[:, d]
+def product(across: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of the columns with the query in double precision, added up from the first
+    component to the last, so equal vectors have equal products wherever they lie."""
+    total = np.zeros(across.shape[1])
+    for part, q in zip(across, query, strict=True):
+        total += part * q
     return total
 
 
@@ -75,36 +76,38 @@ class Codes:
             total += float(1 << b) * np.bitwise_count(self.words & plane).sum(axis=1)
         # <x, q> = (2 * sum over set bits - sum over all) / sqrt(dim)
         dot = (2 * (step * total + low * self.ones) - (step * whole.sum(dtype=np.int64) + low * self.dim)) / self.dim**0.5
-        bound = self.spread * (sure * np.linalg.norm(query)) + step * self.dim**0.5 / 2 / self.fit
-        return self.norm * dot / self.fit, self.norm * bound
+        error = np.sqrt((self.spread * np.linalg.norm(query)) ** 2 + step**2 / 12 / self.fit**2)
+        return self.norm * dot / self.fit, self.norm * (sure * error)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, sure: float) -> tuple[np.ndarray, ...]:
-    """The ``k`` best vectors of one chunk for each query: query id, id, exact product."""
-    codes = Codes(vectors, centre, turn)
+def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, sure: float) -> tuple[np.ndarray, ...]:
+    """The ``k`` best vectors of one chunk for each query: query id, id, exact product.
+
+    ``floor``: a score of each query that its k-th best is known to reach; it is raised to what this
+    chunk shows. A vector below it is no result and may be missing here.
+    """
+    codes, across = Codes(vectors, centre, turn), np.ascontiguousarray(vectors.T)
     base, turned = queries @ centre, queries @ turn.T
     out: list[tuple[np.ndarray, ...]] = []
-    for q in range(len(queries)):
+    for q, query in enumerate(queries):
         guess, bound = codes.estimate(turned[q], sure)
         upper = guess + bound + base[q]
-        own = ids == query_ids[q]
-        upper[own] = -np.inf
-        count = min(k, len(ids) - int(own.sum()))
-        if count <= 0:
-            continue
-        lead = np.argpartition(-upper, count - 1)[:count]
-        score = product(vectors[lead], np.broadcast_to(queries[q], (len(lead), queries.shape[1])))
-        more = np.flatnonzero((upper >= score.min()) & ~own)
-        more = more[~np.isin(more, lead, assume_unique=True)]
-        if len(more):
-            lead = np.concatenate((lead, more))
-            score = np.concatenate((score, product(vectors[more], np.broadcast_to(queries[q], (len(more), queries.shape[1])))))
-        best = _best(score, ids[lead], count)
-        out.append((np.full(len(best), query_ids[q]), ids[lead][best], score[best]))
+        upper[ids == query_ids[q]] = -np.inf
+        some = np.flatnonzero(upper >= floor[q])
+        if len(some) > 4 * k:  # the likeliest first: they raise the floor for the others
+            lead = some[np.argpartition(-upper[some], 2 * k)[: 2 * k]]
+            score = product(across[:, lead], query)
+            floor[q] = max(floor[q], np.partition(score, len(score) - k)[len(score) - k])
+            some = some[upper[some] >= floor[q]]
+        score = product(across[:, some], query)
+        best = _best(score, ids[some], k)
+        if len(best) == k:
+            floor[q] = max(floor[q], score[best[-1]])
+        out.append((np.full(len(best), query_ids[q]), ids[some][best], score[best]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -116,7 +119,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, others: list[str])
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), *others)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 2.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``id_col`` and ``score`` of each query's ``k`` nearest vectors."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -128,7 +131,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 3.0
     dim = len(first[0]["vector"])
     marked = marked.where(F.size("vector") == dim)
     sample = marked.orderBy(F.xxhash64("id")).limit(CENTRE).collect()  # bounded sample
-    centre = np.array([r["vector"] for r in sample]).mean(axis=0)
+    drawn, drawn_ids = np.array([r["vector"] for r in sample]), np.array([r["id"] for r in sample])
+    centre = drawn.mean(axis=0)
     turn = rotation(dim)
     total = marked.count()
     held = marked.select("id", "vector").repartition(max(1, -(-total // CHUNK)))
@@ -141,15 +145,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 3.0
         part = asked.where(F.col("_block") == b).select("id", "vector").collect()  # about BLOCK rows
         if not part:
             continue
-        block = spark.sparkContext.broadcast((np.array([r["id"] for r in part]), np.array([r["vector"] for r in part])))
+        query_ids, queries = np.array([r["id"] for r in part]), np.array([r["vector"] for r in part])
+        # the sample's k-th best, rows of the query's id apart, less what rounding may do
+        known = np.where(drawn_ids[:, None] == query_ids, -np.inf, drawn @ queries.T)
+        known = np.sort(known, axis=0)[-k] if len(drawn) >= k else np.full(len(part), -np.inf)
+        block = spark.sparkContext.broadcast((query_ids, queries, known - 1e-9 * np.abs(known)))
 
         def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            query_ids, queries = block.value
+            query_ids, queries, known = block.value
+            floor = known.copy()
             table = pa.Table.from_batches(list(batches))  # CHUNK rows or so
             for lo in range(0, table.num_rows, CHUNK):
                 ids = table.column("id").slice(lo, CHUNK).to_numpy()
                 held = table.column("vector").slice(lo, CHUNK).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-                q, i, s = scan(held, ids, queries, query_ids, centre, turn, k, sure)
+                q, i, s = scan(held, ids, queries, query_ids, floor, centre, turn, k, sure)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "id", "score"])
 
         near = held.mapInArrow(work, "query_id long, id long, score double")
