@@ -96,8 +96,7 @@ def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
     for q, query in enumerate(queries):
         guess, bound = codes.estimate(turned[q], sure)
         upper = guess + bound + base[q]
-        upper[ids == query_ids[q]] = -np.inf
-        some = np.flatnonzero(upper >= floor[q])
+        some = np.flatnonzero((upper >= floor[q]) & (ids != query_ids[q]))
         if len(some) > 4 * k:  # the likeliest first: they raise the floor for the others
             lead = some[np.argpartition(-upper[some], 2 * k)[: 2 * k]]
             score = product(across[:, lead], query)
