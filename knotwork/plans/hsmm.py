@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.families import GAMLSSFamily
-from ..functions.links import LOG
 from ..functions.special import gamma_cdf, normal_ppf
 from ..operators.partials import columns
 from ..session import ensure_importable
@@ -155,7 +154,17 @@ class HSMMFamily(GSMMFamily):
         logits = (states * (states - 2) if move is None else 0) + (states - 1 if first is None else 0)
         super().__init__(emission + 2 * states + logits, [])
 
-    def chain(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> tuple[Chain, list[list[list[np.ndarray]]]]:
+    def durations(self, coefs: Sequence[np.ndarray], splits: list[int], xs: list[np.ndarray]) -> np.ndarray:
+        """Probabilities of the durations 1..D-1 by coefficients and state, shape (coefs, D-1, states)."""
+        at = sum(f.n_par for f in self.families) * self.states
+        eta = np.array([[[float(xs[at + 2 * j + k][0] @ c[splits[at + 2 * j + k] : splits[at + 2 * j + k + 1]]) for k in (0, 1)] for j in range(self.states)] for c in coefs])
+        mean, scale = np.moveaxis(np.exp(np.clip(eta, -20, 20)), 2, 0)
+        edges = np.arange(0, self.longest) + 0.5
+        edges[0] = 0.0
+        p = np.diff(gamma_cdf(edges[None, :, None], (1 / scale)[:, None], (scale * mean)[:, None]), axis=1)
+        return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+
+    def chain(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], last: np.ndarray | None = None) -> tuple[Chain, list[list[list[np.ndarray]]]]:
         """Probabilities of a series, and the emission parameters by state and response."""
         etas, at, s = self.etas(coef, splits, xs), 0, self.states
         n = len(ys[0])
@@ -168,16 +177,8 @@ class HSMMFamily(GSMMFamily):
                 log[:, j] += f.lp(y, *mus)
                 at += f.n_par
             pars.append(own)
-        link = LOG()
-        last = np.empty((self.longest - 1, s))
-        for j in range(s):
-            mean, scale = (float(link.fi(etas[at + k][0])) for k in (0, 1))
-            edges = np.arange(0, self.longest) + 0.5
-            edges[0] = 0.0
-            cdf = gamma_cdf(edges, 1 / scale, scale * mean)
-            p = np.diff(cdf)
-            last[:, j] = p / max(p.sum(), 1e-300)
-            at += 2
+        last = self.durations([coef], splits, xs)[0] if last is None else last
+        at += 2 * s
         move, first = self.move, self.first
         if move is None:
             move = np.zeros((s, s))
@@ -193,7 +194,30 @@ class HSMMFamily(GSMMFamily):
         return Chain(np.exp(np.clip(log, -700, 300)), last, move, first, self.ends_with_last), pars
 
     def llk(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> float:
-        return forward(self.chain(coef, splits, ys, xs)[0])[0]
+        return float(self.llks([coef], splits, ys, xs)[0])
+
+    def llks(self, coefs: Sequence[np.ndarray], splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> np.ndarray:
+        """One recursion over the samples for all coefficients at once."""
+        durations = self.durations(coefs, splits, xs)
+        chains = [self.chain(c, splits, ys, xs, d)[0] for c, d in zip(coefs, durations, strict=True)]
+        emit, last, move, first = (np.stack([getattr(c, n) for c in chains]) for n in ("emit", "last", "move", "first"))
+        n, total, now = emit.shape[1], np.zeros(len(coefs)), None
+        for t in range(n):
+            if t == 0:
+                now = last * first[:, None]
+            else:
+                entry = np.einsum("bi,bij->bj", now[:, 0], move)
+                stay = now[:, 1:]
+                now = last * entry[:, None]
+                now[:, :-1] += stay
+            now = now * emit[:, t, None]
+            if t == n - 1 and self.ends_with_last:
+                now[:, 1:] = 0.0
+            scale = now.sum(axis=(1, 2))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total += np.log(scale)
+                now = now / scale[:, None, None]
+        return total
 
 
 class HSMM(GSMM):

@@ -45,6 +45,10 @@ class GSMMFamily(ABC):
     @abstractmethod
     def llk(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> float: ...
 
+    def llks(self, coefs: Sequence[np.ndarray], splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> np.ndarray:
+        """``llk`` at several coefficients; a family whose recursion is costly can do them together."""
+        return np.array([self.llk(c, splits, ys, xs) for c in coefs])
+
     gradient: Callable | None = None
     hessian: Callable | None = None
 
@@ -135,7 +139,7 @@ class Joint(Model):
         def work(block: Block) -> dict[str, np.ndarray]:
             ys, xs = parts(block)
             with np.errstate(all="ignore"):
-                v = np.array([family.llk(c, splits, ys, xs) for c in coefs])
+                v = family.llks(coefs, splits, ys, xs)
             return {"llk": np.where(np.isfinite(v), v, -1e300)}
 
         v = self._gather(rows, work, {"llk": (len(coefs),)})["llk"]
@@ -155,13 +159,8 @@ class Joint(Model):
         def gradient(c: np.ndarray, ys: list, xs: list) -> np.ndarray:
             if family.gradient is not None:
                 return family.gradient(c, splits, ys, xs)
-            out = np.empty(p)
-            for k in range(p):
-                up, down = c.copy(), c.copy()
-                up[k] += step[k]
-                down[k] -= step[k]
-                out[k] = (family.llk(up, splits, ys, xs) - family.llk(down, splits, ys, xs)) / (2 * step[k])
-            return out
+            both = family.llks([c + sign * step[k] * np.eye(p)[k] for sign in (1, -1) for k in range(p)], splits, ys, xs)
+            return (both[:p] - both[p:]) / (2 * step)
 
         def work(block: Block) -> dict[str, np.ndarray | float]:
             ys, xs = parts(block)
@@ -176,15 +175,16 @@ class Joint(Model):
                         cols.append((gradient(up, ys, xs) - gradient(down, ys, xs)) / (2 * step[k]))
                     out["hess"] = np.stack(cols)
                 elif second:
-                    h, at = np.zeros((p, p)), out["llk"]
-                    wide = 30 * step
-                    one = np.array([[family.llk(coef + s * wide[k] * np.eye(p)[k], splits, ys, xs) for s in (1, -1)] for k in range(p)])
-                    for i in range(p):
-                        h[i, i] = (one[i, 0] - 2 * at + one[i, 1]) / wide[i] ** 2
-                        for j in range(i):
-                            both = family.llk(coef + wide[i] * np.eye(p)[i] + wide[j] * np.eye(p)[j], splits, ys, xs)
-                            less = family.llk(coef - wide[i] * np.eye(p)[i] - wide[j] * np.eye(p)[j], splits, ys, xs)
-                            h[i, j] = h[j, i] = (both + less - one[i].sum() - one[j].sum() + 2 * at) / (2 * wide[i] * wide[j])
+                    h, at, unit, wide = np.zeros((p, p)), out["llk"], np.eye(p), 30 * step
+                    low = [(i, j) for i in range(p) for j in range(i)]
+                    moves = [sign * wide[k] * unit[k] for sign in (1, -1) for k in range(p)]
+                    moves += [sign * (wide[i] * unit[i] + wide[j] * unit[j]) for sign in (1, -1) for i, j in low]
+                    v = family.llks([coef + m for m in moves], splits, ys, xs)
+                    one = v[:p] + v[p : 2 * p]
+                    h[np.diag_indices(p)] = (one - 2 * at) / wide**2
+                    pair = v[2 * p : 2 * p + len(low)] + v[2 * p + len(low) :]
+                    for (i, j), both in zip(low, pair, strict=True):
+                        h[i, j] = h[j, i] = (both - one[i] - one[j] + 2 * at) / (2 * wide[i] * wide[j])
                     out["hess"] = h
             return {k: np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0) for k, v in out.items()}
 
