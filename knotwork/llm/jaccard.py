@@ -10,10 +10,10 @@ Two documents link if ``100 * intersection >= percent * union`` of their shingle
    rarest shingles, as many as any partner must share one of. Light sets just below the boundary are in
    the lists too, for their heavy partners. The boundary is the largest size at which listing subsets
    costs no more rows than scanning lists does: subsets(n) <= prefix(n) * mean list length.
-4. In each list all members are first compared with one hub, the class of most copies; what that
-   links needs no comparison with each other. Then members in different components of a list are
-   compared exhaustively, where sizes and numbers of shared shingles allow a link at all. Every
-   comparison is exact; no list or partner is left out.
+4. In each list all members are first compared with one hub, the class of most copies. Members near
+   the hub are then judged exactly by their differences from it, without comparing sets in pairs;
+   pairs with a member far from the hub are compared one by one, where they are in different components and
+   sizes and numbers of shared shingles allow a link. No list or partner is left out.
 
 The sets are compared by 64-bit shingle hashes. No group is collected: counts are aggregated before
 they are shuffled and joins read plain tables, whose skewed keys Spark splits.
@@ -98,7 +98,7 @@ def _table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     """Every document's set size; of those that may link also the hash and the shared shingles."""
     spark = docs.sparkSession
     expected = sketch.text_bytes(docs, text_col) // 6
-    seen = sketch.build(docs, text_col, expected, lambda data, offsets: _sets(data, offsets, width)[1])
+    seen = sketch.build(docs, text_col, expected, lambda data, offsets: _sets(data, offsets, width)[1], depth=1, per_key=2)
     shared = spark.sparkContext.broadcast(seen)  # bounded, see sketch
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -171,46 +171,98 @@ def _lists(classes: DataFrame, kind: str, percent: int) -> DataFrame:
     return stash(sets.mapInArrow(keys, f"key long, class {kind}, n long, m long, copies long"), "lists")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _compare(pairs: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Of the pairs (a, b): whether they ``link``; of those about twice as far apart as a link allows,
+    the shared shingles of a alone and of b alone (``differ``) and their number.
+    """
+    near = 2 * percent - 100
 
     def side(name: str) -> DataFrame:
         return classes.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("shared").alias(f"set_{name}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            link, differ, apart = [], [], []
             for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b", "n_a", "n_b")), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                ok.append(100 * both >= percent * (p + q - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(x) + len(y) - len(other := np.setxor1d(x, y, assume_unique=True))
+                both //= 2
+                link.append(100 * both >= percent * (p + q - both))
+                differ.append(other.tobytes() if 100 * both >= near * (p + q - both) else None)
+                apart.append(len(other))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), pa.array(link, pa.bool_()), pa.array(differ, pa.binary()), pa.array(apart, pa.int64())], ["a", "b", "n", "link", "differ", "apart"])
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.mapInArrow(work, f"a {kind}, b {kind}")
+    return joined.mapInArrow(work, f"a {kind}, b {kind}, n long, link boolean, differ binary, apart long")
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = np.array([len(x) // 8 for x in batch.column("differ").to_pylist()], np.int64)
+        row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        raw = np.frombuffer(b"".join(batch.column("differ").to_pylist()), "<i8")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("hub", "class", "n", "m", "apart", "label")), pa.array(raw)], ["hub", "class", "n", "m", "apart", "label", "element"])
 
 
 def _links(lists: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Links that connect what is connected: with hubs first, then between components."""
+    """Links that connect what is connected.
+
+    Members x and y share exactly ``(|x| + |y| - apart(x) - apart(y)) / 2 + common`` shingles, where ``apart`` is the size of a member's
+    difference from the hub and ``common`` the number of shingles in both differences. So members near a hub
+    need no comparison of sets: those that link without a common difference are found from sizes,
+    the others by joining on (hub, differing shingle). A link's ends differ in their distances from
+    the hub by no more than a link's, so what links with a member far from the hub has no link with
+    the hub itself; only these pairs are left to be compared one by one.
+    """
+    near = 2 * percent - 100
     hubs = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", (-F.col("class")).alias("minus"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("m").alias("hub_m"))).alias("h")).where("members > 1")
     hubs = stash(hubs.select("key", "h.hub", "h.hub_n", "h.hub_m"), "hubs")
-    tried = stash(lists.join(hubs, "key").where((F.col("hub") != F.col("class")) & _may_link("n", "m", "hub_n", "hub_m", percent)).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    near = stash(_verify(tried, classes, percent, kind), "links")
-    label = components(near)
-    # lists whose members are still in several components
-    held = lists.join(hubs.select("key"), "key").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    held = stash(held, "held")
-    split = stash(held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "split")
-    hub_label = hubs.select("key", F.col("hub").alias("node")).join(label, "node", "left").select("key", F.coalesce("label", "node").alias("main"))
-    open_ = stash(held.join(split, "key"), "open")
-    shapes = open_.select("key", F.col("n").alias("o_n"), F.col("m").alias("o_m"), F.col("label").alias("o_label")).distinct()
-    out = open_.join(hub_label, "key").where("label <> main").drop("main")
-    out = out.join(shapes, (out["key"] == shapes["key"]) & (out["label"] != shapes["o_label"]) & _may_link("n", "m", "o_n", "o_m", percent), "left_semi")
-    other = open_.select("key", F.col("class").alias("o_class"), F.col("n").alias("o_n"), F.col("m").alias("o_m"), F.col("label").alias("o_label"))
-    rest = stash(out, "outside").join(other, "key").where((F.col("label") != F.col("o_label")) & _may_link("n", "m", "o_n", "o_m", percent))
-    rest = rest.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    far = _verify(stash(rest.join(done, ["a", "b"], "left_anti"), "pairs"), classes, percent, kind)
-    return stash(near.union(far), "links")
+    held = stash(lists.join(hubs, "key"), "held")
+    tried = held.where((F.col("hub") != F.col("class")) & _may_link("n", "m", "hub_n", "hub_m", near)).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    done = stash(_compare(stash(tried, "pairs"), classes, percent, kind), "compared")
+    linked = done.where("link").select("a", "b")
+    label = components(linked)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        named = label.select(F.col("node").alias("class"), "label")
+        return rows.join(named, "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+    # members near a hub, and the hub itself, of the hubs whose members are in several components
+    own = done.select(F.col("a").alias("hub"), F.col("a").alias("class"), F.lit(b"").alias("differ"), F.lit(0).cast("long").alias("apart")).distinct()
+    own = own.join(classes.select("class", F.col("n").alias("_n")), "class").select("hub", "class", F.col("_n").alias("n"), "differ", "apart")
+    around = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("class"), "n", "differ", "apart").unionByName(own)
+    sizes = classes.select("class", (F.octet_length("shared") / 8).cast("long").alias("m"))
+    around = stash(labelled(around).join(sizes, "class"), "around")
+    several = around.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("hub")
+    around = stash(around.join(several, "hub"), "around")
+    main = around.where("class = hub").select("hub", F.col("label").alias("main"))
+    out = stash(around.join(main, "hub").where("label <> main").drop("main"), "outside")
+
+    def links(common: Column) -> Column:
+        # shared shingles of both: those of the hub, less what either lacks, and more
+        both = (F.col("m") + F.col("y_m") - F.col("apart") - F.col("y_apart")) / 2 + common
+        return 100 * both >= percent * (F.col("n") + F.col("y_n") - both)
+
+    best = around.groupBy("hub", "label", "n").agg(F.max(F.struct((F.col("m") - F.col("apart")).alias("rest"), "class", "m", "apart")).alias("r"))
+    best = best.select("hub", F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("r.class").alias("y"), F.col("r.m").alias("y_m"), F.col("r.apart").alias("y_apart"))
+    plain = out.drop("differ").join(best, "hub").where((F.col("label") != F.col("y_label")) & links(F.lit(0))).select(F.col("class").alias("a"), F.col("y").alias("b"))
+    parts = f"hub {kind}, class {kind}, n long, m long, apart long, label {kind}, element long"
+    mine = stash(out.mapInArrow(_explode, parts), "mine")
+    theirs = around.mapInArrow(_explode, parts).join(mine.select("hub", "element").distinct(), ["hub", "element"], "left_semi")
+    theirs = theirs.select("hub", "element", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("m").alias("y_m"), F.col("apart").alias("y_apart"), F.col("label").alias("y_label"))
+    # no more shingles are common than the smaller difference has
+    met = mine.join(theirs, ["hub", "element"]).where((F.col("label") != F.col("y_label")) & links(F.least("apart", "y_apart")))
+    met = met.groupBy("hub", "class", "y", "n", "m", "apart", "y_n", "y_m", "y_apart").agg(F.count(F.lit(1)).alias("common"))
+    met = met.where(links(F.col("common"))).select(F.col("class").alias("a"), F.col("y").alias("b"))
+    # pairs of which one is far from the hub: neither links with it
+    state = done.select(F.col("a").alias("hub"), F.col("b").alias("class"), "link", F.col("differ").isNotNull().alias("near"))
+    away = held.where("hub <> class").join(state, ["hub", "class"], "left").where("link is null or not link")
+    away = stash(labelled(away.select("key", "class", "n", "m", F.coalesce("near", F.lit(False)).alias("near"))), "away")
+    other = away.select("key", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("m").alias("y_m"), F.col("label").alias("y_label"))
+    rest = away.where("not near").join(other, "key").where((F.col("label") != F.col("y_label")) & _may_link("n", "m", "y_n", "y_m", percent))
+    rest = rest.select(F.least("class", "y").alias("a"), F.greatest("class", "y").alias("b")).distinct()
+    far = _compare(stash(rest, "pairs"), classes, percent, kind).where("link").select("a", "b")
+    return stash(linked.union(plain).union(met).union(far), "links")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,13 +1,14 @@
 """Count-min sketch that tells which keys may occur twice or more.
 
-Every partition counts its keys' cells, saturating at two, in both rows of the sketch, and emits
+Every partition counts its keys' cells, saturating at two, in every row of the sketch, and emits
 them by block of 65,536 cells: an offset of two bytes for a cell counted once, twice the offset for
 more. The blocks of all partitions are merged by adding. What remains is one bit a cell, set where
-the merged count is at least two. A key whose cell is unset in either row occurs once at most; a
+the merged count is at least two. A key whose cell is unset in any row occurs once at most; a
 key that occurs twice is never missed.
 
-The number of cells follows the expected number of keys, up to ``MAX_LOG2``; so the bit maps, which
-are broadcast, have 2 * 2**MAX_LOG2 / 8 bytes at most (64 MB) whatever the input. Beyond that size
+The number of cells follows the expected number of keys, up to ``most``; so the bit maps, which are
+broadcast, have ``depth`` * 2**most / 8 bytes at most whatever the input (32 MB a row by default;
+executors with more memory can take more). Beyond that size
 more keys pass that occur once, and whoever uses the sketch must group exactly what passes.
 """
 
@@ -28,8 +29,9 @@ FLUSH = 1 << 20
 _SALT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
-def log2_cells(expected: int, per_key: int = 4) -> int:
-    return int(min(MAX_LOG2, max(MIN_LOG2, (max(expected, 1) * per_key - 1).bit_length())))
+def log2_cells(expected: int, per_key: int = 4, most: int = MAX_LOG2) -> int:
+    """Cells of a row, as a power of two: ``per_key`` for each expected key, up to 2**most."""
+    return int(min(most, max(MIN_LOG2, (max(expected, 1) * per_key - 1).bit_length())))
 
 
 def cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
@@ -39,20 +41,20 @@ def cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
 class Sketch:
     """Bit maps of the cells counted at least twice."""
 
-    def __init__(self, log2: int) -> None:
-        self.log2, self.maps = log2, np.zeros((ROWS, (1 << log2) // 8), np.uint8)
+    def __init__(self, log2: int, depth: int = ROWS) -> None:
+        self.log2, self.maps = log2, np.zeros((depth, (1 << log2) // 8), np.uint8)
 
     def may_repeat(self, keys: np.ndarray) -> np.ndarray:
         hit = np.ones(len(keys), bool)
-        for row in range(ROWS):
+        for row in range(len(self.maps)):
             c = cells(keys, row, self.log2)
             hit &= (self.maps[row][(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return hit
 
 
-def _emit(keys: np.ndarray, log2: int) -> pa.RecordBatch:
+def _emit(keys: np.ndarray, log2: int, depth: int) -> pa.RecordBatch:
     rows, blocks, found = [], [], []
-    for row in range(ROWS):
+    for row in range(depth):
         c = np.sort(cells(keys, row, log2))
         third = np.zeros(len(c), bool)
         third[2:] = c[2:] == c[:-2]
@@ -78,10 +80,10 @@ def _merge(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits], pa.binary())], ["row", "block", "bits"])
 
 
-def build(docs: DataFrame, text: str, expected: int, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Sketch:
-    """Sketch of the keys that ``keys_of(bytes, offsets)`` finds in all texts."""
+def build(docs: DataFrame, text: str, expected: int, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], depth: int = ROWS, per_key: int = 4, most: int = MAX_LOG2) -> Sketch:
+    """Sketch, of ``depth`` rows, of the keys that ``keys_of(bytes, offsets)`` finds in all texts."""
     small_batches(docs.sparkSession)
-    log2 = log2_cells(expected)
+    log2 = log2_cells(expected, per_key, most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -90,16 +92,16 @@ def build(docs: DataFrame, text: str, expected: int, keys_of: Callable[[np.ndarr
                 held.append(keys_of(data, offsets))
                 n += len(held[-1])
                 if n >= FLUSH:
-                    yield _emit(np.concatenate(held), log2)
+                    yield _emit(np.concatenate(held), log2, depth)
                     held, n = [], 0
         if n:
-            yield _emit(np.concatenate(held), log2)
+            yield _emit(np.concatenate(held), log2, depth)
 
     parts = docs.select(text).mapInArrow(count, "row int, block int, offsets binary")
     merged = parts.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
-    sketch = Sketch(log2)
+    sketch = Sketch(log2, depth)
     width = (1 << BLOCK_BITS) // 8
-    for r in merged.toLocalIterator():  # 2 * 2**log2 / 8 bytes at most, one partition at a time
+    for r in merged.toLocalIterator():  # the bit maps' bytes, one partition at a time
         sketch.maps[r["row"], r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
     return sketch
 
