@@ -75,6 +75,25 @@ def pseudo_inverse_logdet(s: np.ndarray, tol: float = 1e-7) -> tuple[np.ndarray,
     return inv, float(np.log(value[keep]).sum()), int(keep.sum())
 
 
+def penalty_logdet(mats: list[np.ndarray], lams: list[float], tol: float = 1e-7) -> tuple[np.ndarray, float, int]:
+    """``pseudo_inverse_logdet`` of ``sum(lam * mat)`` for lambdas of any size.
+
+    The range is that of the equally scaled sum, so rank and null space don't depend on the
+    lambdas; inside it the matrix is definite and is scaled by its diagonal before it is factored.
+    """
+    scaled = sum(m / max(np.linalg.norm(m), 1e-300) for m in mats)
+    value, vector = np.linalg.eigh((scaled + scaled.T) / 2)
+    basis = vector[:, value > tol * max(value.max(initial=0), 1e-300)]
+    inner = basis.T @ sum(w * m for w, m in zip(lams, mats, strict=True)) @ basis
+    if not len(inner):
+        return np.zeros_like(scaled), 0.0, 0
+    d = np.sqrt(np.maximum(np.diag(inner), 1e-300))
+    small = inner / d[:, None] / d
+    low = np.linalg.cholesky(small + 1e-15 * np.eye(len(small)))
+    half = np.linalg.solve(low, np.diag(1 / d))
+    return basis @ half.T @ half @ basis.T, float(2 * np.log(np.diag(low)).sum() + 2 * np.log(d).sum()), len(inner)
+
+
 def chol_derivative(low: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Derivative of the lower Cholesky factor for the derivative ``d`` of the matrix."""
     inv = np.linalg.inv(low)

@@ -24,7 +24,10 @@ from .joint import GSMM, GSMMFamily
 
 @dataclass
 class Chain:
-    """Probabilities of one series: ``emit`` (n, S), ``last`` (D-1, S), ``move`` (S, S), ``first`` (S)."""
+    """Probabilities of one series: ``emit`` (n, S), ``last`` (D-1, S), ``move`` (S, S), ``first`` (S).
+
+    ``emit`` may also depend on the samples that a state still lasts: (n, D-1, S).
+    """
 
     emit: np.ndarray
     last: np.ndarray
@@ -122,16 +125,45 @@ def simulate(c: Chain, rng: np.random.Generator) -> np.ndarray:
     return states
 
 
+def _ahead(c: Chain, a: np.ndarray, t: int) -> np.ndarray:
+    """Probabilities of sample ``t``'s state before it is seen, (D-1, S)."""
+    if t == 0:
+        return c.last * c.first
+    now = c.last * _enter(c, a[t - 1, 0])
+    now[:-1] += a[t - 1, 1:]
+    return now
+
+
+def _mixture(w: np.ndarray, cdf: np.ndarray) -> float:
+    w = w / w.sum()
+    return float((w * cdf).sum() if cdf.ndim == 2 else w.sum(axis=0) @ cdf)
+
+
 def forward_residuals(c: Chain, cdf: np.ndarray) -> np.ndarray:
-    """Normal scores of each observation's distribution given the past; ``cdf`` (n, S) by state."""
+    """Normal scores of each observation's distribution given the past; ``cdf`` like ``emit``."""
     _, a, _ = forward(c)
-    out = np.empty(len(c.emit))
-    for t in range(len(out)):
-        if t == 0:
-            w = c.first
-        else:
-            w = (c.last * _enter(c, a[t - 1, 0])).sum(axis=0) + a[t - 1, 1:].sum(axis=0)
-        out[t] = float((w / w.sum()) @ cdf[t])
+    out = np.array([_mixture(_ahead(c, a, t), cdf[t]) for t in range(len(c.emit))])
+    return normal_ppf(np.clip(out, 1e-12, 1 - 1e-12))
+
+
+def backward(c: Chain, scale: np.ndarray) -> np.ndarray:
+    """Scaled backward probabilities (n, D-1, S)."""
+    n, (k, s) = len(c.emit), c.last.shape
+    b = np.ones((n, k, s))
+    if c.ends_with_last:
+        b[-1, 1:] = 0.0
+    for t in range(n - 2, -1, -1):
+        seen = b[t + 1] * c.emit[t + 1]
+        b[t, 1:] = seen[:-1] / scale[t + 1]
+        b[t, 0] = c.move @ (c.last * seen).sum(axis=0) / scale[t + 1]
+    return b
+
+
+def predictive_residuals(c: Chain, cdf: np.ndarray) -> np.ndarray:
+    """Normal scores of each observation's distribution given all others of its series."""
+    _, a, scale = forward(c)
+    b = backward(c, scale)
+    out = np.array([_mixture(_ahead(c, a, t) * b[t], cdf[t]) for t in range(len(c.emit))])
     return normal_ppf(np.clip(out, 1e-12, 1 - 1e-12))
 
 
@@ -143,11 +175,18 @@ class HSMMFamily(GSMMFamily):
     logits; if ``first`` is None, states - 1 initial logits. Duration, transition and initial
     predictors take the covariates of a series' first row. Only the first formula of each response
     names it; all others have no response.
+
+    ``events`` are states that last exactly as long as ``template``, and whose first emission
+    parameter follows it: its value times the template's at the samples since the event began. Their
+    duration formulas have no effect.
     """
 
     shape = "grouped"
 
-    def __init__(self, states: int, families: Sequence[GAMLSSFamily], longest: int, move: np.ndarray | None = None, first: np.ndarray | None = None, ends_with_last: bool = False) -> None:
+    def __init__(self, states: int, families: Sequence[GAMLSSFamily], longest: int, move: np.ndarray | None = None, first: np.ndarray | None = None, ends_with_last: bool = False, events: Sequence[int] = (), template: np.ndarray | None = None) -> None:
+        self.events, self.template = list(events), template
+        if self.events and (template is None or len(template) >= longest):
+            raise ValueError("events need a template shorter than the longest duration")
         self.states, self.families, self.longest = states, list(families), longest
         self.move, self.first, self.ends_with_last = move, first, ends_with_last
         emission = sum(f.n_par for f in families) * states
@@ -162,6 +201,8 @@ class HSMMFamily(GSMMFamily):
         edges = np.arange(0, self.longest) + 0.5
         edges[0] = 0.0
         p = np.diff(gamma_cdf(edges[None, :, None], (1 / scale)[:, None], (scale * mean)[:, None]), axis=1)
+        for j in self.events:
+            p[:, :, j] = np.arange(1, self.longest) == len(self.template)
         return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
 
     def chain(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], last: np.ndarray | None = None) -> tuple[Chain, list[list[list[np.ndarray]]]]:
@@ -179,6 +220,12 @@ class HSMMFamily(GSMMFamily):
             pars.append(own)
         last = self.durations([coef], splits, xs)[0] if last is None else last
         at += 2 * s
+        if self.events:
+            log = np.repeat(log[:, None], self.longest - 1, axis=1)
+            for j in self.events:
+                for rest in range(len(self.template)):
+                    scale = self.template[len(self.template) - 1 - rest]
+                    log[:, rest, j] = sum(f.lp(y, m[0] * scale, *m[1:]) for y, f, m in zip(ys, self.families, pars[j], strict=True))
         move, first = self.move, self.first
         if move is None:
             move = np.zeros((s, s))
@@ -210,7 +257,7 @@ class HSMMFamily(GSMMFamily):
                 stay = now[:, 1:]
                 now = last * entry[:, None]
                 now[:, :-1] += stay
-            now = now * emit[:, t, None]
+            now = now * (emit[:, t, None] if emit.ndim == 3 else emit[:, t])
             if t == n - 1 and self.ends_with_last:
                 now[:, 1:] = 0.0
             scale = now.sum(axis=(1, 2))
@@ -230,11 +277,12 @@ class HSMM(GSMM):
 
         ``kind``: "viterbi" (value: samples that the last state still lasts), "posterior" (sampled
         paths; value 0), "predict" (simulated paths; value: a draw of the first response),
-        "forward" (state -1; value: pseudo-residual of the first response), "durations" (one row for
+        "forward" or "predictive" (state -1; value: the first response's normal score given the past, or given
+        all other samples), "durations" (one row for
         each stay of the Viterbi path; value: its normal score), or "probabilities" (one row for each
         sample and state; value: log emission probability).
         """
-        if kind not in ("viterbi", "posterior", "predict", "forward", "durations", "probabilities"):
+        if kind not in ("viterbi", "posterior", "predict", "forward", "predictive", "durations", "probabilities"):
             raise ValueError(f"unknown kind {kind!r}")
         family, splits, parts, coef = self.family, self.splits, self._parts, self.fitted.coef
         keys = self._keys()
@@ -267,9 +315,15 @@ class HSMM(GSMM):
                     s = simulate(c, rng)
                     v = np.array([family.families[0].rvs(rng, *(m[[t]] for m in pars[j][0]))[0] for t, j in enumerate(s)])
                     add(d, s, v)
-            elif kind == "forward":
+            elif kind in ("forward", "predictive"):
                 cdf = np.stack([np.exp(family.families[0].lcp(ys[0], *pars[j][0])) for j in range(family.states)], axis=1)
-                add(0, np.full(n, -1), forward_residuals(c, cdf))
+                if family.events:
+                    cdf = np.repeat(cdf[:, None], family.longest - 1, axis=1)
+                    for j in family.events:
+                        for left in range(len(family.template)):
+                            m = pars[j][0]
+                            cdf[:, left, j] = np.exp(family.families[0].lcp(ys[0], m[0] * family.template[-1 - left], *m[1:]))
+                add(0, np.full(n, -1), (forward_residuals if kind == "forward" else predictive_residuals)(c, cdf))
             elif kind == "durations":
                 s, _, _ = viterbi(c)
                 cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
@@ -281,7 +335,7 @@ class HSMM(GSMM):
             else:
                 for j in range(family.states):
                     with np.errstate(divide="ignore"):
-                        add(j, np.full(n, j), np.log(c.emit[:, j]))
+                        add(j, np.full(n, j), np.log(c.emit[..., j].max(axis=1) if c.emit.ndim == 3 else c.emit[:, j]))
             out = [np.concatenate(x) for x in (place, which, state, value)]
             return pa.table({"series": pa.array([str(series.as_py())] * len(out[0])), "place": pa.array(out[0], pa.int64()), "draw": pa.array(out[1], pa.int64()), "state": pa.array(out[2], pa.int64()), "value": pa.array(out[3], pa.float64())})
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 
 from ..functions.linalg import chol_derivative, inverse_factor, pseudo_inverse_logdet
+from ..functions.linalg import penalty_logdet as logdet_of
 from ..functions.special import chi2_sf, f_sf, normal_cdf, t_sf_two_sided, weighted_chi2_sf
 from . import solve as S
 from .model import Model
@@ -341,7 +342,7 @@ def sample_posterior(model: Model, spark, chains: int = 4, draws: int = 500, ada
                 log, rank = log + one + r * rho[found[0][0]], rank + r
                 slope[found[0][0]] += r
                 continue
-            inverse, one, r = pseudo_inverse_logdet(sum(np.exp(rho[k]) * m for k, m in found), 1e-12)
+            inverse, one, r = logdet_of([m for _, m in found], [float(np.exp(rho[k])) for k, _ in found])
             log, rank = log + one, rank + r
             for k, m in found:
                 slope[k] += np.exp(rho[k]) * float((inverse * m).sum())

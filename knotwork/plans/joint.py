@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..functions.families import GAMLSSFamily
-from ..functions.linalg import inverse_factor
+from ..functions.families import ExtendedFamily, Family, GAMLSSFamily
+from ..functions.linalg import dependent_columns, inverse_factor
 from ..operators import encode as enc
 from ..operators.partials import Block, columns, gather
 from ..session import ensure_importable
@@ -89,6 +89,29 @@ class Adapter(GSMMFamily):
         return out
 
 
+class FamilyAdapter(GSMMFamily):
+    """A one-parameter family as a general one; log scale or theta are extra coefficients."""
+
+    def __init__(self, family: Family) -> None:
+        super().__init__(1, [family.link])
+        self.family = family
+        self.own = np.array(family.theta) if isinstance(family, ExtendedFamily) else np.zeros(int(family.twopar))
+        self.extra = len(self.own)
+
+    def llk(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> float:
+        tail = coef[splits[-1] :]
+        with np.errstate(all="ignore"):
+            mu = self.family.link.fi(self.etas(coef, splits, xs)[0])
+            if isinstance(self.family, ExtendedFamily):
+                v = self.family.lp(ys[0], mu, theta=tail)
+            else:
+                v = self.family.lp(ys[0], mu, float(np.exp(tail[0])) if self.extra else 1.0)
+        return float(v.sum()) if np.isfinite(v).all() else float("-inf")
+
+    def init_coef(self, splits: list[int]) -> np.ndarray:
+        return np.append(np.zeros(splits[-1]), self.own)
+
+
 class Joint(Model):
     """Common part of ``GAMMLSS`` and ``GSMM``."""
 
@@ -196,7 +219,10 @@ class Joint(Model):
     def fit(self, df: DataFrame, max_outer: int = 100, max_inner: int = 20, conv_tol: float = 1e-7, lam: float = 10.0, init_coef: np.ndarray | None = None, method: str = "Newton", fixed_lam: bool = False, extra_penalties: Sequence[Penalty] = (), callback: Callable[[int, float, np.ndarray], None] | None = None) -> Joint:
         """Newton steps on all coefficients inside, Fellner-Schall steps on all lambdas outside.
 
-        ``method`` "qEFS" replaces the Hessian by a quasi-Newton approximation from gradients.
+        ``method`` "qEFS" replaces the Hessian by a quasi-Newton approximation from gradients: damped
+        BFGS updates, or with "SR1" symmetric rank-one updates where they are well defined. Start
+        values without a finite likelihood are drawn anew; coefficients that the data and the penalties
+        can't tell apart from others stay 0 (``dropped``).
         """
         rows = self._prepare(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -217,7 +243,12 @@ class Joint(Model):
             coef = self.family.init_coef(splits)
         coef = self._start(rows) if coef is None else np.array(coef, float)
         p, approx, last, edfs = len(coef), None, [], []
-        quasi = method == "qEFS"
+        quasi, update = method in ("qEFS", "SR1"), _sr1 if method == "SR1" else _damped
+        for attempt in range(8):
+            if np.isfinite(self.llks(rows, [coef])[0]):
+                break
+            coef = np.random.default_rng(attempt).normal(0, 0.3, p)
+        alive, checked = np.ones(p, bool), quasi
         for k in range(outer):
             s = S.total(penalties, p)
             value = None
@@ -229,8 +260,12 @@ class Joint(Model):
                     hess = -approx
                 slope = grad - s @ coef
                 value = llk - 0.5 * float(coef @ s @ coef)
-                lvi, ridge = inverse_factor(-hess + s)
-                direction = lvi.T @ (lvi @ slope)
+                if not checked:
+                    checked, alive = True, self._identified(rows, s, grad, hess)
+                    coef = np.where(alive, coef, 0.0)
+                lvi, _ = inverse_factor((-hess + s)[np.ix_(alive, alive)])
+                direction = np.zeros(p)
+                direction[alive] = lvi.T @ (lvi @ slope[alive])
                 trials = [coef + t * direction for t in STEPS]
                 found = self.llks(rows, trials) - np.array([0.5 * float(c @ s @ c) for c in trials])
                 good = np.flatnonzero(found > value - 1e-12 * abs(value))
@@ -242,15 +277,16 @@ class Joint(Model):
                 new = trials[best]
                 if quasi:
                     after = self.local(rows, new, second=False)[1]
-                    approx = _damped(approx, new - coef, grad - after)
+                    approx = update(approx, new - coef, grad - after)
                 gain, coef = found[best] - value, new
                 value = found[best]
                 if gain < tol * max(1.0, abs(value)):
                     break
             llk, grad, hess = self.local(rows, coef, second=not quasi)
             hess = -approx if quasi and approx is not None else hess
-            h = -hess
-            lvi, ridge = inverse_factor(h + s)
+            h = np.where(np.outer(alive, alive), -hess, 0.0)
+            guard = np.diag(np.where(alive, 0.0, 1e12))
+            lvi, _ = inverse_factor(h + s + guard)
             cov = lvi.T @ lvi
             if callback is not None:
                 callback(k, llk, coef)
@@ -265,11 +301,29 @@ class Joint(Model):
             if not penalties or fixed or moved < 1e-6 or still:
                 break
         s = S.total(penalties, p)
-        lvi, _ = inverse_factor(h + s)
+        lvi, _ = inverse_factor(h + s + guard)
         edf, each = S.edf_of(penalties, lvi.T @ lvi, h)
+        for d, at in zip(self.designs, splits, strict=False):
+            d.dropped = [int(j) for j in np.flatnonzero(~alive[at : at + d.n_coef])]
         self.fitted = S.Fit(coef, lvi, 1.0, edf, S.term_edf(each, penalties), penalties, h, llk=llk, n=rows.count(), converged=k + 1 < outer, iterations=k + 1)
         self.fitted.reml = S.reml(llk, h, coef, 1.0, penalties)
 
+    def _identified(self, rows: DataFrame, s: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+        """Coefficients that the columns and the penalty (at unit size) tell apart and that have an effect."""
+        designs = self.designs
+
+        def work(block: Block) -> dict[str, np.ndarray]:
+            return {f"x{k}": x.T @ x for k, x in enumerate(d.matrix(block) for d in designs)}
+
+        grams = gather(rows, work, {f"x{k}": (d.n_coef, d.n_coef) for k, d in enumerate(designs)})
+        alive = np.ones(len(grad), bool)
+        for k, (a, b) in enumerate(zip(self.splits[:-1], self.splits[1:], strict=True)):
+            g, own = grams[f"x{k}"], s[a:b, a:b]
+            unit = own / max(np.abs(own).max(), 1e-300) * max(np.abs(g).max(), 1e-300) if own.size and own.any() else 0.0
+            alive[[a + j for j in dependent_columns(g + unit, 0, 1e-10)]] = False
+        idle = (grad == 0) & (np.abs(hess).sum(axis=0) == 0) & (np.abs(s).sum(axis=0) == 0)
+        return alive & ~idle
+
     def get_llk(self) -> float:
         return self.fitted.llk
 
@@ -277,6 +331,17 @@ class Joint(Model):
         return self.fitted.reml
 
 
+def _sr1(b: np.ndarray, s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Symmetric rank-one update of an approximate negative Hessian, skipped where it is not well defined."""
+    r = y - b @ s
+    bottom = float(r @ s)
+    if abs(bottom) < 1e-8 * np.linalg.norm(r) * np.linalg.norm(s) or bottom == 0:
+        return b
+    new = b + np.outer(r, r) / bottom
+    value, vector = np.linalg.eigh((new + new.T) / 2)
+    return (vector * np.maximum(value, 1e-8 * max(value.max(), 1e-300))) @ vector.T
+
+
 def _damped(b: np.ndarray, s: np.ndarray, y: np.ndarray) -> np.ndarray:
     """BFGS update of an approximate negative Hessian, damped so that it stays positive definite."""
     bs = b @ s

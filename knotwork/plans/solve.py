@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions.linalg import inverse_factor, pseudo_inverse_logdet
+from ..functions.linalg import inverse_factor, penalty_logdet
 from .spec import Penalty
 
 LOW, HIGH = 1e-7, 1e7
@@ -61,7 +61,7 @@ def traces(penalties: list[Penalty], cov: np.ndarray, coef: np.ndarray) -> tuple
         rows = slice(start, start + size)
         repeat = penalties[members[0]].repeat if all(penalties[k].repeat == penalties[members[0]].repeat for k in members) else 1
         one = [penalties[k].s if repeat > 1 else penalties[k].full() for k in members]
-        inverse, log, r = pseudo_inverse_logdet(sum(penalties[k].lam * s for k, s in zip(members, one, strict=True)))
+        inverse, log, r = penalty_logdet(one, [penalties[k].lam for k in members])
         logdet, rank = logdet + repeat * log, rank + repeat * r
         width = len(one[0])
         v, b = cov[rows, rows], coef[rows].reshape(repeat, width)

@@ -13,8 +13,8 @@ from knotwork.plans import inference, solve
 from knotwork.plans.arrow import ArrowGAMM
 from knotwork.plans.gamm import GAMM
 from knotwork.plans.hazard import PropHaz, next_time
-from knotwork.plans.hsmm import HSMM, Chain, HSMMFamily, backward_sample, forward, viterbi
-from knotwork.plans.joint import GAMMLSS, GSMM, Adapter, MultiGauss
+from knotwork.plans.hsmm import HSMM, Chain, HSMMFamily, backward, backward_sample, forward, predictive_residuals, viterbi
+from knotwork.plans.joint import GAMMLSS, GSMM, Adapter, FamilyAdapter, MultiGauss
 from knotwork.plans.terms import Formula, f, fs, i, irf, l, lhs, li, ri, rs
 
 
@@ -282,6 +282,63 @@ def test_semi_markov_recursions(states, last):
         assert abs(drawn.count(path) / 3000 - p / total) < 0.05
 
 
+def test_backward_and_predictive():
+    rng = np.random.default_rng(6)
+    durations = rng.uniform(size=(3, 2))
+    c = Chain(rng.uniform(0.1, 1, (6, 2)), durations / durations.sum(axis=0), np.array([[0, 1.0], [1, 0]]), np.array([0.4, 0.6]))
+    _, a, scale = forward(c)
+    b = backward(c, scale)
+    assert np.allclose((a * b).sum(axis=(1, 2)), 1.0)
+    cdf = rng.uniform(size=(6, 2))
+    paths = enumerate_paths(c)
+    w = np.zeros(2)
+    for p, path in paths:
+        w[path[3]] += p / c.emit[3, path[3]]
+    from knotwork.functions.special import normal_cdf
+
+    assert np.isclose(normal_cdf(predictive_residuals(c, cdf))[3], w / w.sum() @ cdf[3])
+
+
+def test_events_follow_their_template(spark):
+    rng = np.random.default_rng(2)
+    bump, rows = np.array([0.5, 1.0, 0.5]), []
+    for s in range(10):
+        y, z = [], []
+        while len(y) < 30:
+            gap = 2 + int(rng.poisson(3))
+            y += [0.0] * gap + list(4 * bump)
+            z += [0] * gap + [1] * 3
+        rows += [(f"s{s}", t, float(y[t] + rng.normal() * 0.5), z[t]) for t in range(30)]
+    d = spark.createDataFrame(rows, "s string, t int, y double, z int").repartition(2)
+    key = {"series": "s", "order": ["t"]}
+    family = HSMMFamily(2, [fam.GAUMLSS()], 15, move=np.array([[0, 1.0], [1, 0]]), first=np.array([1.0, 0.0]), events=[1], template=bump)
+    m = HSMM([Formula(lhs("y"), [i()], **key)] + [Formula(None, [i()], **key) for _ in range(7)], family)
+    m.fit(d, init_coef=np.array([0.2, 0, 3.0, 0, 1.5, -1, 0.0, 0.0]), max_outer=1, max_inner=8)
+    assert abs(m.fitted.coef[2] - 4) < 0.4 and set(m.designs[6].dropped + m.designs[7].dropped) == {0}
+    v = m.each(d, "viterbi").toPandas().merge(d.toPandas(), left_on=["series", "place"], right_on=["s", "t"])
+    assert (v.state == v.z).mean() > 0.95
+    assert abs(m.each(d, "predictive").toPandas().value.std() - 1) < 0.2
+
+
+def test_family_adapter_and_dropping(data):
+    x = data.withColumn("w", 2 * F.col("x1"))
+    m = GSMM([Formula(lhs("y"), [i(), l(["x1"]), l(["w"])])], FamilyAdapter(fam.Gaussian())).fit(x, max_outer=1)
+    plain = GAMM(Formula(lhs("y"), [i(), l(["x1"])])).fit(data)
+    assert m.designs[0].dropped == [2] and np.allclose(m.fitted.coef[:2], plain.fitted.coef, atol=1e-3)
+    assert np.isclose(np.exp(m.fitted.coef[-1]), plain.fitted.deviance / plain.fitted.n, rtol=1e-3)
+    rank_one = GSMM([Formula(lhs("y"), [i(), l(["x1"])])], FamilyAdapter(fam.Gaussian())).fit(x, max_outer=1, max_inner=60, method="SR1")
+    assert np.allclose(rank_one.fitted.coef[:2], plain.fitted.coef, atol=1e-2)
+
+
+def test_penalty_determinant_of_very_different_lambdas():
+    from knotwork.functions.linalg import penalty_logdet
+
+    a, b = np.diag([1.0, 2, 0, 0]), np.diag([0.0, 0, 3, 0])
+    inverse, log, rank = penalty_logdet([a, b], [1e-7, 1e7])
+    assert rank == 3 and np.isclose(log, np.log(2e-14) + np.log(3e7))
+    assert np.allclose(np.diag(inverse), [1e7, 5e6, 1 / 3e7, 0])
+
+
 def test_semi_markov_model(spark):
     rng = np.random.default_rng(1)
     rows = []
