@@ -6,7 +6,7 @@ words also begin somewhere in a document with a smaller id; this is judged on th
 * First pass, count-min prefilter: windows are counted by their anchor, the smallest hash among
   the ``width // 2``-word runs inside the window (the first of equals). Equal windows have equal
   anchors, so an anchor's count is never below a window's. Sketches of all partitions are merged.
-* Second pass: consecutive windows with the same anchor form a bundle. Only bundles whose anchor
+* Second pass: consecutive windows with equal anchors form a bundle, also where the text repeats. Only bundles whose anchor
   is estimated to occur twice are grouped, and grouped exactly: first whole bundles by 128-bit hash
   of their words, which takes together copied passages at about 13 windows a row, then the single
   windows of the distinct bundles that share an anchor.
@@ -56,9 +56,9 @@ def _bundles(seg: Segments, words: np.ndarray, width: int) -> tuple[np.ndarray,
         span *= 2
     if span < reach:
         least, at = join(reach - span)
-    place = at[starts]
-    head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    return starts[head], np.diff(np.append(head, len(starts))), value[place[head]]
+    anchor = value[at[starts]]
+    head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    return starts[head], np.diff(np.append(head, len(starts))), anchor[head]
 
 
 def _found(docs: DataFrame, seen: sketch.Sketch, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -102,7 +102,7 @@ def spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     known = found.join(firsts.select("one", "two", "_least"), ["one", "two"])
     whole = known.where(F.col("_id") > F.col("_least")).select("_id", "_key", F.col("first").alias("a"), (F.col("first") + F.col("many") + width - 1).alias("b"))
     # windows of distinct bundles that share their anchor with other bundles
-    own = known.where(F.col("_id") == F.col("_least")).join(shared, "anchor", "left_semi")
+    own = stash(known.where(F.col("_id") == F.col("_least")).select("_id", "_key", "first", "many", "anchor", "windows"), "own").join(shared, "anchor", "left_semi")
 
     def unpack(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -113,7 +113,7 @@ def spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_key").take(row), pa.array(batch.column("first").to_numpy()[row.to_numpy()] + step, pa.int32()), batch.column("anchor").take(row), pa.array(raw)], ["_id", "_key", "place", "anchor", "window"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    single = stash(own.select("_id", "_key", "first", "many", "anchor", "windows").mapInArrow(unpack, f"_id {kind}, _key long, place int, anchor long, window long"), "windows")
+    single = stash(own.mapInArrow(unpack, f"_id {kind}, _key long, place int, anchor long, window long"), "windows")
     least = stash(single.groupBy("anchor", "window").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").drop("_most"), "least")
     part = single.join(least, ["anchor", "window"]).where(F.col("_id") > F.col("_least")).select("_id", "_key", F.col("place").alias("a"), (F.col("place") + width).alias("b"))
     return whole.union(part).groupBy("_id", "_key").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))  # one document's spans
