@@ -94,6 +94,33 @@ def penalty_logdet(mats: list[np.ndarray], lams: list[float], tol: float = 1e-7)
     return basis @ half.T @ half @ basis.T, float(2 * np.log(np.diag(low)).sum() + 2 * np.log(d).sum()), len(inner)
 
 
+def similarity_transform(mats: list[np.ndarray], lams: list[float], close: float = 1e-5) -> np.ndarray:
+    """Orthogonal matrix that separates penalties of very different size (Wood, 2011, appendix B).
+
+    The largest penalties are taken first; the directions they leave free are handed to the rest.
+    """
+    n = len(mats[0])
+    whole, done = np.eye(n), 0
+    inner, left = [np.array(m, float) for m in mats], list(range(len(mats)))
+    while left and done < n:
+        size = {k: lams[k] * np.linalg.norm(inner[k]) for k in left}
+        top = [k for k in left if size[k] >= close * max(size.values())]
+        left = [k for k in left if k not in top]
+        unit = sum(inner[k] / max(np.linalg.norm(inner[k]), 1e-300) for k in top)
+        value = np.linalg.eigvalsh((unit + unit.T) / 2)
+        rank = int((value > 1e-7 * max(value.max(initial=0), 1e-300)).sum())
+        total = sum(lams[k] * inner[k] for k in top)
+        value, vector = np.linalg.eigh((total + total.T) / 2)
+        vector = vector[:, ::-1]
+        turn = np.eye(n)
+        turn[done:, done:] = vector
+        whole = whole @ turn
+        free = vector[:, rank:]
+        inner = [free.T @ m @ free for m in inner]
+        done += rank
+    return whole
+
+
 def chol_derivative(low: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Derivative of the lower Cholesky factor for the derivative ``d`` of the matrix."""
     inv = np.linalg.inv(low)

@@ -139,21 +139,21 @@ class PropHaz(Model):
         last = None
         for k in range(outer):
             s = S.total(penalties, len(coef))
+            old, before = None, -np.inf
             for _ in range(inner):
                 llk, grad, hess = self.evaluate(rows, coef)
                 value = llk - 0.5 * float(coef @ s @ coef)
-                lvi, _ = inverse_factor(-hess + s)
-                step, t = lvi.T @ (lvi @ (grad - s @ coef)), 1.0
-                while t > 1e-4:
-                    new = coef + t * step
-                    gain = self.evaluate(rows, new, second=False)[0] - 0.5 * float(new @ s @ new) - value
-                    if gain > -1e-10 * abs(value):
-                        coef = new
-                        break
-                    t /= 2
-                if t <= 1e-4 or gain < tol * abs(value):
+                if old is not None and value < before - 1e-10 * abs(before):  # too far: half the step
+                    coef = (old + coef) / 2
+                    continue
+                gain, old, before = value - before, coef, value
+                if gain < tol * abs(value):
                     break
-            llk, _, hess = self.evaluate(rows, coef)
+                lvi, _ = inverse_factor(-hess + s)
+                coef = coef + lvi.T @ (lvi @ (grad - s @ coef))
+            else:
+                coef = old
+                llk, _, hess = self.evaluate(rows, coef)
             lvi, _ = inverse_factor(-hess + s)
             edf, each = S.edf_of(penalties, lvi.T @ lvi, -hess)
             moved = S.step_lambda(penalties, lvi.T @ lvi, coef, 1.0, 1.3 if k > 2 else 1.0) if penalties else 0.0

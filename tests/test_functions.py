@@ -118,3 +118,21 @@ def test_scaled_t_theta():
         up, down = (fam.ScaledT(theta=t + s * 1e-5 * np.eye(2)[k]) for s in (1, -1))
         assert abs((up.lp(y, mu).sum() - down.lp(y, mu).sum()) / 2e-5 - g[k]) < 1e-6
         assert np.allclose((up.theta_derivatives(y, mu)[1] - down.theta_derivatives(y, mu)[1]) / 2e-5, h[k], atol=1e-5)
+
+
+def test_similarity_transform_keeps_the_penalty():
+    rng = np.random.default_rng(4)
+    mats = [basis.difference_penalty(6), np.diag([0, 0, 0, 0, 1.0, 1.0]), basis.difference_penalty(6, 1)]
+    lams = [1e6, 1.0, 1e-6]
+    q = linalg.similarity_transform(mats, lams)
+    assert np.allclose(q @ q.T, np.eye(6))
+    total = q.T @ sum(w * m for w, m in zip(lams, mats)) @ q
+    assert np.abs(total[:4, 4:]).max() < 1e-3 * np.abs(total[:4, :4]).max()
+    x = rng.normal(size=6)
+    assert np.isclose((q.T @ x) @ total @ (q.T @ x), x @ sum(w * m for w, m in zip(lams, mats)) @ x)
+
+
+def test_api_names():
+    from knotwork import api
+
+    assert {"GAMM", "GAMMLSS", "GSMM", "HSMM", "PropHaz", "Formula", "f", "fs", "irf", "ri", "rs", "compare_CDL"} <= set(api.__all__)
