@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_importable
 
 Block = dict[str, np.ndarray]
-#: Columns up to which a block's cross product is made densely.
-DENSE = 1600
 _SCHEMA = "name string, place long, value double"
 
 
@@ -82,9 +80,10 @@ def cross(index: np.ndarray, value: np.ndarray, weight: np.ndarray, width: int,
 
 
 def expand(index: np.ndarray, value: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(index), width))
-    np.add.at(out, (np.arange(len(index))[:, None], index), value)
-    return out
+    """Dense rows; entries of one column add up."""
+    n = len(index)
+    flat = np.arange(n, dtype=np.int64)[:, None] * width + index
+    return np.bincount(flat.ravel(), value.ravel(), n * width).reshape(n, width)
 
 
 def cross_pairs(rows: DataFrame, index: str, value: str, weight: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import basis
 from ..functions.linalg import dependent_columns
 from ..operators import encode as enc
-from ..operators.partials import Block, cross, gather
+from ..operators.partials import Block, cross, expand, gather
 from . import terms as T
 
 
@@ -181,9 +181,7 @@ class Design:
     def matrix(self, block: Block, use: Sequence[int] | None = None) -> np.ndarray:
         """Dense model matrix of a block, in coefficients."""
         index, value = self.rows(block, use)
-        out = np.zeros((len(index), self.raw_width))
-        np.add.at(out, (np.arange(len(index))[:, None], index), value)
-        return out @ self.map
+        return expand(index, value, self.raw_width) @ self.map
 
     def predictor(self, block: Block, coef: np.ndarray, use: Sequence[int] | None = None) -> np.ndarray:
         index, value = self.rows(block, use)
