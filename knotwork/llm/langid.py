@@ -209,7 +209,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     return arrow_map(docs.select(id_col, text_col), text_col, f"`{id_col}` {kind}, lang_pred string, score double", work)
 
 
-def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, net: Network | None, least: float = 0.35, text_col: str = "text") -> DataFrame:
     """The documents whose language is known with at least the probability ``least``, all columns."""
     shared = docs.sparkSession.sparkContext.broadcast((net, net.pairs() if net else []))
 

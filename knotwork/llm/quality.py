@@ -89,7 +89,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         vote((m["n_dup_lines"] == 0) & (m["n_lines"] > 1), share("n_dup_lines", "n_lines") > 0.3),
         vote(100 * m["n_repeat_words"] <= 5 * words, 100 * m["n_repeat_words"] > 15 * words),
         vote((mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
-        vote(words >= 50, words < 15),
+        vote(words >= 50, words < MIN_WORDS),
         vote(share("n_digits", "word_chars") < 0.05, share("n_digits", "word_chars") > 0.2),
     )
     code = np.zeros(len(words), np.int64)
