@@ -129,6 +129,8 @@ def estimate(counts: dict[int, int], rounds: int = 500) -> tuple[dict[int, float
         moved, post = np.abs(new - post).max(), new
         if moved < 1e-9:
             break
+    # abstentions alone are no evidence: what no rule votes bad is not rejected
+    post = np.where((cast == BAD).any(axis=1), post, np.maximum(post, KEEP_AT))
     return {int(c): float(p) for c, p in zip(codes, post, strict=True)}, odds, share
 
 
