@@ -135,8 +135,10 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("class").take(row), pa.array(raw)], ["class", "element"])
 
 
-def _lists(classes: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Rows (key, class, n, m, copies): what the light sets' subsets and the heavy sets' lists hold."""
+def _lists(classes: DataFrame, kind: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, class, n, m, copies): what the light sets' subsets and the heavy sets' lists hold;
+    and the classes that may still link, ``shared`` now without what occurs in one class only.
+    """
     elements = stash(classes.select("class", "shared").mapInArrow(_unpack, f"class {kind}, element long"), "elements")
     often = stash(elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
     mean = often.agg(F.avg("df")).first()[0] or 1.0
@@ -145,13 +147,21 @@ def _lists(classes: DataFrame, kind: str, percent: int) -> DataFrame:
     ordered = elements.join(often, "element").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("list"))
     sets = ordered.join(classes.select("class", "n", "copies"), "class").select("class", "n", "copies", F.col("list.element").alias("list")).where(100 * F.size("list") >= percent * F.col("n"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("list")
+            sizes = np.diff(np.asarray(held.offsets))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), batch.column("copies"), _binaries(held.flatten().to_numpy(), sizes)], ["class", "n", "copies", "shared"])
+
+    exact = stash(sets.mapInArrow(pack, f"class {kind}, n long, copies long, shared binary"), "exact")
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             of, found, shared = [], [], []
-            for r, (n, values) in enumerate(zip(batch.column("n").to_pylist(), batch.column("list").to_pylist(), strict=True)):
-                raw = np.array(values, np.int64).view(np.uint64)
+            for r, (n, values) in enumerate(zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True)):
+                raw = np.frombuffer(values, "<u8")
                 unique, made = n - len(raw), []
                 if n > edge or n >= low:
                     made.append(raw[: len(raw) - least_shared(n, percent) + 1])
@@ -168,12 +178,12 @@ def _lists(classes: DataFrame, kind: str, percent: int) -> DataFrame:
             row = pa.array(np.concatenate(of))
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), *(x.take(row) for x in (batch.column("class"), batch.column("n"), pa.array(shared, pa.int64()), batch.column("copies")))], ["key", "class", "n", "m", "copies"])
 
-    return stash(sets.mapInArrow(keys, f"key long, class {kind}, n long, m long, copies long"), "lists")
+    return stash(exact.mapInArrow(keys, f"key long, class {kind}, n long, m long, copies long"), "lists"), exact
 
 
 def _compare(pairs: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
     """Of the pairs (a, b): whether they ``link``; of those about twice as far apart as a link allows,
-    the shared shingles of a alone and of b alone (``differ``) and their number.
+    the shared shingles of a alone and of b alone (``differ``), their number and that of a's.
     """
     near = 2 * percent - 100
 
@@ -182,7 +192,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, percent: int, kind: str) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            link, differ, apart = [], [], []
+            link, differ, apart, lack = [], [], [], []
             for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b", "n_a", "n_b")), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(x) + len(y) - len(other := np.setxor1d(x, y, assume_unique=True))
@@ -190,10 +200,11 @@ def _compare(pairs: DataFrame, classes: DataFrame, percent: int, kind: str) -> D
                 link.append(100 * both >= percent * (p + q - both))
                 differ.append(other.tobytes() if 100 * both >= near * (p + q - both) else None)
                 apart.append(len(other))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), pa.array(link, pa.bool_()), pa.array(differ, pa.binary()), pa.array(apart, pa.int64())], ["a", "b", "n", "link", "differ", "apart"])
+                lack.append(len(x) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), pa.array(link, pa.bool_()), pa.array(differ, pa.binary()), pa.array(apart, pa.int64()), pa.array(lack, pa.int64())], ["a", "b", "n", "link", "differ", "apart", "lack"])
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.mapInArrow(work, f"a {kind}, b {kind}, n long, link boolean, differ binary, apart long")
+    return joined.mapInArrow(work, f"a {kind}, b {kind}, n long, link boolean, differ binary, apart long, lack long")
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +212,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(x) // 8 for x in batch.column("differ").to_pylist()], np.int64)
         row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
         raw = np.frombuffer(b"".join(batch.column("differ").to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("hub", "class", "n", "m", "apart", "label")), pa.array(raw)], ["hub", "class", "n", "m", "apart", "label", "element"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("hub", "class", "n", "m", "apart", "lack", "label")), pa.array(raw)], ["hub", "class", "n", "m", "apart", "lack", "label", "element"])
 
 
 def _links(lists: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
@@ -228,9 +239,9 @@ def _links(lists: DataFrame, classes: DataFrame, percent: int, kind: str) -> Dat
         return rows.join(named, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
     # members near a hub, and the hub itself, of the hubs whose members are in several components
-    own = done.select(F.col("a").alias("hub"), F.col("a").alias("class"), F.lit(b"").alias("differ"), F.lit(0).cast("long").alias("apart")).distinct()
-    own = own.join(classes.select("class", F.col("n").alias("_n")), "class").select("hub", "class", F.col("_n").alias("n"), "differ", "apart")
-    around = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("class"), "n", "differ", "apart").unionByName(own)
+    own = done.select(F.col("a").alias("hub"), F.col("a").alias("class"), F.lit(b"").alias("differ"), F.lit(0).cast("long").alias("apart"), F.lit(0).cast("long").alias("lack")).distinct()
+    own = own.join(classes.select("class", F.col("n").alias("_n")), "class").select("hub", "class", F.col("_n").alias("n"), "differ", "apart", "lack")
+    around = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("class"), "n", "differ", "apart", "lack").unionByName(own)
     sizes = classes.select("class", (F.octet_length("shared") / 8).cast("long").alias("m"))
     around = stash(labelled(around).join(sizes, "class"), "around")
     several = around.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("hub")
@@ -246,12 +257,12 @@ def _links(lists: DataFrame, classes: DataFrame, percent: int, kind: str) -> Dat
     best = around.groupBy("hub", "label", "n").agg(F.max(F.struct((F.col("m") - F.col("apart")).alias("rest"), "class", "m", "apart")).alias("r"))
     best = best.select("hub", F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("r.class").alias("y"), F.col("r.m").alias("y_m"), F.col("r.apart").alias("y_apart"))
     plain = out.drop("differ").join(best, "hub").where((F.col("label") != F.col("y_label")) & links(F.lit(0))).select(F.col("class").alias("a"), F.col("y").alias("b"))
-    parts = f"hub {kind}, class {kind}, n long, m long, apart long, label {kind}, element long"
+    parts = f"hub {kind}, class {kind}, n long, m long, apart long, lack long, label {kind}, element long"
     mine = stash(out.mapInArrow(_explode, parts), "mine")
     theirs = around.mapInArrow(_explode, parts).join(mine.select("hub", "element").distinct(), ["hub", "element"], "left_semi")
-    theirs = theirs.select("hub", "element", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("m").alias("y_m"), F.col("apart").alias("y_apart"), F.col("label").alias("y_label"))
-    # no more shingles are common than the smaller difference has
-    met = mine.join(theirs, ["hub", "element"]).where((F.col("label") != F.col("y_label")) & links(F.least("apart", "y_apart")))
+    theirs = theirs.select("hub", "element", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("m").alias("y_m"), F.col("apart").alias("y_apart"), F.col("lack").alias("y_lack"), F.col("label").alias("y_label"))
+    # no more shingles are common than both lack of the hub's, or have beyond it
+    met = mine.join(theirs, ["hub", "element"]).where((F.col("label") != F.col("y_label")) & links(F.least("lack", "y_lack") + F.least(F.col("apart") - F.col("lack"), F.col("y_apart") - F.col("y_lack"))))
     met = met.groupBy("hub", "class", "y", "n", "m", "apart", "y_n", "y_m", "y_apart").agg(F.count(F.lit(1)).alias("common"))
     met = met.where(links(F.col("common"))).select(F.col("class").alias("a"), F.col("y").alias("b"))
     # pairs of which one is far from the hub: neither links with it
@@ -272,7 +283,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     live = sets.where("shared is not null and _id is not null")
     first = stash(live.groupBy("one", "two").agg(F.min(F.struct("_id", "_row")).alias("f"), F.count(F.lit(1)).alias("copies")).select("one", "two", F.col("f._id").alias("class"), F.col("f._row").alias("_row"), "copies"), "classes")
     own = stash(live.join(first.select("_row", "class", "copies"), "_row").select("class", "n", "copies", "shared"), "own")
-    label = components(_links(_lists(own, kind, percent), own, percent, kind))
+    label = components(_links(*_lists(own, kind, percent), percent, kind))
     named = stash(first.join(label, first["class"] == label["node"], "left").select("one", "two", F.coalesce("label", "class").alias("component_id")), "named")
     return sets.select("_id", "n", "one", "two").join(named, ["one", "two"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
 
