@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_importable
 
 #: Bytes of text that one numpy pass works on; a longer single text is one slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows in one Arrow batch sent to Python. Texts are long, so the default of 10,000 is lowered.
 BATCH_ROWS = 1024
 
