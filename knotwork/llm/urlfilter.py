@@ -2,11 +2,15 @@
 
 The models are variable-order Markov models over bytes, one of accepted and one of rejected URLs.
 What the longest-matching rules decide are their training labels. Counts of (context, byte) are
-taken over all labelled URLs, added up by partition before they are shuffled. A context of order
-0 to ``ORDER`` is kept if it has at least ``SHARE`` of its class's bytes, so a class keeps at most
-1 / SHARE contexts of each order, however many URLs there are: the broadcast models are bounded.
+taken over all labelled URLs, for contexts of order 0 to ``ORDER``, added up by slice before they
+are shuffled. Every counted context is kept, so the models are tables that grow with the URLs.
 Probabilities are Witten-Bell mixtures with the next shorter context, down to a uniform byte.
 
+Scoring is joins. What a byte adds to a score depends on its longest context alone, so rows are cut
+into slices, a slice asks for each of its (context, byte) once, each asked pair is worked out once,
+order by order, and the answers go back to the slices. A frequent pair has one row for a slice, and
+a context at most 257 followers and 257 longer ones, so no key grows with the number of URLs.
+
 A URL's score is the difference of its log-likelihoods divided by its bytes (and the end mark). The
 threshold is calibrated on labelled URLs whose hash keeps them out of the counts: the one that gets
 the largest share of both classes right, the middle of the best scores' range.
@@ -25,13 +29,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, small_batches, stash
+from .shared import arrow_map, slices, stash
 
 Rule = tuple[str, str, str]
-ORDER, SHARE = 5, 5e-5
+ORDER = 5
+#: Rows that ask for their pairs together.
+TOGETHER = 256
 #: One labelled URL in so many is kept for calibration.
 CALIBRATE = 5
 BINS, RANGE = 4000, 4.0
@@ -81,7 +87,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Sorted counts of one class: contexts with their totals and kinds, and (context, byte) pairs."""
+    """One class in memory, which ``ratios`` must agree with: contexts with their totals and kinds, and (context, byte) pairs."""
 
     def __init__(self, context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> None:
         pair = context * 257 + symbol
@@ -104,8 +110,7 @@ class Model:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(verdict, context, symbol, n) over all rows (verdict, rest), those of rare contexts left out."""
-    small_batches(labelled.sparkSession)
+    """(allow, context, symbol, n) over all rows (verdict, rest)."""
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         row, symbol, contexts = _codes(data, offsets)
@@ -119,19 +124,73 @@ def counts(labelled: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["allow", "context", "symbol", "n"])
 
     each = arrow_map(labelled, "rest", "allow boolean, context long, symbol long, n long", work)
-    pairs = stash(each.groupBy("allow", "context", "symbol").agg(F.sum("n").alias("n")), "counts")
-    size = pairs.where("context = 0").groupBy("allow").agg(F.sum("n").alias("bytes"))
-    kept = pairs.groupBy("allow", "context").agg(F.sum("n").alias("total")).join(F.broadcast(size), "allow").where(F.col("total") >= F.col("bytes") * SHARE)  # two rows
-    return pairs.join(kept.select("allow", "context"), ["allow", "context"], "left_semi")
-
+    return stash(each.groupBy("allow", "context", "symbol").agg(F.sum("n").alias("n")), "counts")
+
+
+def _shorter(context: Column, order: int) -> Column:
+    """The context's last ``order`` bytes."""
+    return F.pmod(context, F.lit(257**order)) + F.lit(order * 257**ORDER)
+
+
+def ratios(counted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(context, symbol, ratio) of distinct (context, symbol) of the longest order: logs of allow less block."""
+    low = F.pmod("context", F.lit(257**ORDER))
+    orders = F.explode(F.array(*[_shorter(low, k) for k in range(ORDER + 1)])).alias("context")
+    asked = pairs.select(orders, "symbol").distinct()
+    own = [F.sum(F.when(F.col("allow") == yes, F.col("n")).otherwise(0)).alias(n) for yes, n in ((True, "n1"), (False, "n0"))]
+    none = F.lit(None).cast("boolean").alias("allow")
+    both = counted.withColumn("asked", F.lit(False)).unionByName(asked.select(none, "context", "symbol", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    both = both.groupBy("context", "symbol").agg(*own, F.max("asked").alias("asked"))
+    here = Window.partitionBy("context")  # 257 rows at most
+    for c in ("1", "0"):
+        both = both.withColumns({f"t{c}": F.sum(f"n{c}").over(here), f"k{c}": F.count(F.when(F.col(f"n{c}") > 0, 1)).over(here)})
+    held = stash(both.where("asked").drop("asked"), "asked")
+    found = None
+    for k in range(ORDER + 1):
+        level = held.where(F.col("context").between(k * 257**ORDER, (k + 1) * 257**ORDER - 1))
+        if found is None:
+            level = level.withColumns({"q1": F.lit(1 / 257), "q0": F.lit(1 / 257)})
+        else:
+            before = found.select(F.col("context").alias("_c"), F.col("symbol").alias("_s"), F.col("p1").alias("q1"), F.col("p0").alias("q0"))
+            level = level.join(before, (_shorter(F.pmod("context", F.lit(257**ORDER)), k - 1) == F.col("_c")) & (F.col("symbol") == F.col("_s")))
+        mixed = {f"p{c}": F.when(F.col(f"t{c}") > 0, (F.col(f"n{c}") + F.col(f"k{c}") * F.col(f"q{c}")) / (F.col(f"t{c}") + F.col(f"k{c}"))).otherwise(F.col(f"q{c}")) for c in "10"}
+        found = level.select("context", "symbol", *[e.alias(n) for n, e in mixed.items()])
+    return found.select("context", "symbol", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def scores(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``rows`` with ``score`` in place of ``rest``."""
+    kept = [n for n in rows.columns if n != "rest"]
+    cut = stash(rows.withColumn("_slice", F.shiftright(F.monotonically_increasing_id(), TOGETHER.bit_length() - 1)), "slices")
+
+    def ask(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        row, symbol, contexts = _codes(data, offsets)
+        own, number = np.unique(batch.column("_slice").to_numpy(), return_inverse=True)
+        parts = []
+        for j, one in enumerate(own):
+            mine = number[row] == j
+            pair = np.unique(contexts[ORDER][mine] * 257 + symbol[mine])
+            parts.append((np.full(len(pair), one), pair // 257, pair % 257))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["_slice", "context", "symbol"])
+
+    # a slice in several batches may ask twice; equal answers do no harm
+    asked = stash(arrow_map(cut.select("_slice", "rest"), "rest", "_slice long, context long, symbol long", ask), "pairs")
+    answers = asked.join(ratios(counted, asked.select("context", "symbol").distinct()), ["context", "symbol"]).select("_slice", "context", "symbol", "ratio")
+
+    def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        pair = answers.column("context").to_numpy() * 257 + answers.column("symbol").to_numpy()
+        order = np.argsort(pair)
+        pair, ratio = pair[order], answers.column("ratio").to_numpy()[order]
+        found = [np.zeros(0)]
+        for batch in mine.combine_chunks().to_batches():
+            for part, data, offsets in slices(batch, "rest"):
+                row, symbol, contexts = _codes(data, offsets)
+                at = np.searchsorted(pair, contexts[ORDER] * 257 + symbol)
+                found.append(np.bincount(row, ratio[at], part.num_rows) / (np.diff(offsets) + 1))
+        return mine.select(kept).append_column("score", pa.array(np.concatenate(found)))
 
-def _scorer(models: tuple[Model, Model] | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    n = len(offsets) - 1
-    if models is None:
-        return np.zeros(n)
-    row, symbol, contexts = _codes(data, offsets)
-    ratio = models[0].log_likelihood(symbol, contexts) - models[1].log_likelihood(symbol, contexts)
-    return np.bincount(row, ratio, n) / (np.diff(offsets) + 1)
+    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in kept)
+    return cut.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(score, f"{kinds}, score double")
 
 
 def threshold(table: Iterator[tuple[int, bool, int]]) -> float:
@@ -149,30 +208,18 @@ def threshold(table: Iterator[tuple[int, bool, int]]) -> float:
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Host, path, rule and verdict of every URL, with its score."""
-    spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     start = F.instr(F.col(url_col), "://")
     rest = F.coalesce(F.when(start > 0, F.col(url_col).substr(start + 3, F.length(url_col))), F.lit(""))
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "verdict": verdict})
-    labelled = rows.where("verdict is not null").select("verdict", "rest")
-    apart = F.pmod(F.xxhash64("rest", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
-    table = counts(labelled.where(~apart)).toPandas()  # at most 2 * (ORDER + 1) / SHARE contexts
-    models = None
-    if table["allow"].nunique() == 2:
-        models = tuple(Model(*(t[c].to_numpy() for c in ("context", "symbol", "n"))) for t in (table[table["allow"]], table[~table["allow"]]))
-    shared = spark.sparkContext.broadcast(models)  # bounded as the table is
-
-    def work(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        score = pa.array(_scorer(shared.value, data, offsets))
-        keep = [n for n in batch.schema.names if n != "rest"]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), score], [*keep, "score"])
-
-    aside = arrow_map(labelled.where(apart), "rest", "verdict string, score double", work)
+    rows = rows.withColumn("apart", F.col("verdict").isNotNull() & (F.pmod(F.xxhash64("rest", F.lit("calibrate")), F.lit(CALIBRATE)) == 0))
+    counted = counts(rows.where("verdict is not null and not apart").select("verdict", "rest"))
+    if counted.where("context = 0").select("allow").distinct().count() < 2:
+        return rows.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    scored = stash(scores(rows, counted), "scores")
     bins = F.least(F.greatest(F.floor((F.col("score") + RANGE) / (2 * RANGE) * BINS), F.lit(0)), F.lit(BINS - 1)).alias("bin")
-    cut = threshold((r["bin"], r["verdict"] == "allow", r["count"]) for r in aside.groupBy(bins, "verdict").count().collect())  # 2 * BINS rows
-    kind = pages.schema[id_col].dataType.simpleString()
-    scored = arrow_map(rows, "rest", f"_id {kind}, host string, path string, rule string, verdict string, score double", work)
-    method = F.when(F.col("score") >= cut, "allow").otherwise("block") if models else F.lit("allow")
+    cut = threshold((r["bin"], r["verdict"] == "allow", r["count"]) for r in scored.where("apart").groupBy(bins, "verdict").count().collect())  # 2 * BINS rows
+    method = F.when(F.col("score") >= cut, "allow").otherwise("block")
     return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "score")

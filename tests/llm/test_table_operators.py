@@ -84,6 +84,33 @@ def test_url_model_learns(spark):
     assert (out[9001], out[9002]) == ("allow", "block")
 
 
+def test_url_scores_use_rare_contexts_of_a_large_class(spark):
+    hot = [(k, f"http://host.com/en/{k % 10}aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa") for k in range(1500)]
+    rare = [(2000 + k, f"http://q{k}zq{k * 7}.com/en/{k}") for k in range(40)]
+    other = [(3000 + k, f"http://fine{k}.com/en/7{k}") for k in range(300)]
+    asked = [(4000, "http://q3zq21.info/"), (4001, "http://fine5.info/"), (4002, None), (4003, "http://é\u2028.info/")]
+    rules = [("block", "com", "/en/"), ("allow", "com", "/en/7")]
+    data = hot + rare + other + asked
+    d = spark.createDataFrame(data, "page_id long, url string")
+    out = {r["page_id"]: r for r in urlfilter.judge(d, rules).collect()}
+    assert sorted(out) == sorted(k for k, _ in data)
+    rest = F.expr("coalesce(substr(url, instr(url, '://') + 3), '')").alias("rest")
+    used = F.pmod(F.xxhash64("rest", F.lit("calibrate")), F.lit(urlfilter.CALIBRATE)) != 0
+    verdict = F.when(F.col("url").contains(".com/en/7"), "allow").otherwise("block").alias("verdict")
+    seen = [(r["verdict"] == "allow", r["rest"]) for r in d.where("page_id < 4000").select(verdict, rest).where(used).collect()]
+    models = []
+    for yes in (True, False):
+        raw = [t.encode() for a, t in seen if a == yes]
+        _, symbol, contexts = urlfilter._codes(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw])))
+        pair, n = np.unique(np.concatenate([c * 257 + symbol for c in contexts]), return_counts=True)
+        models.append(urlfilter.Model(pair // 257, pair % 257, n))
+    for k, url in data[::50] + rare + asked:
+        raw = (url or "").split("://")[-1].encode()
+        _, symbol, contexts = urlfilter._codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        want = (models[0].log_likelihood(symbol, contexts) - models[1].log_likelihood(symbol, contexts)).sum() / (len(raw) + 1)
+        assert np.isclose(out[k]["score"], want, rtol=1e-9, atol=1e-12), url
+
+
 def test_shards(spark):
     data = rows(7, 120)
     out = sharding.assign(frame(spark, data), 24).collect()
