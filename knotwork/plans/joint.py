@@ -251,7 +251,7 @@ class Joint(Model):
         alive, checked = np.ones(p, bool), quasi
         for k in range(outer):
             s = S.total(penalties, p)
-            value = None
+            value, settled, stuck = None, quasi, False
             for step in range(inner):
                 llk, grad, hess = self.local(rows, coef, second=not quasi)
                 if quasi:
@@ -272,6 +272,8 @@ class Joint(Model):
                 if not len(good):
                     if quasi and step == 0:
                         approx = None
+                    if not quasi:  # no step gains: an end, and an optimum if none was to be expected
+                        stuck, settled = True, abs(float(slope @ direction)) < 2 * tol * max(1.0, abs(value))
                     break
                 best = int(good[0]) if not quasi else int(np.nanargmax(found))
                 new = trials[best]
@@ -281,6 +283,7 @@ class Joint(Model):
                 gain, coef = found[best] - value, new
                 value = found[best]
                 if gain < tol * max(1.0, abs(value)):
+                    settled = True
                     break
             llk, grad, hess = self.local(rows, coef, second=not quasi)
             hess = -approx if quasi and approx is not None else hess
@@ -298,14 +301,15 @@ class Joint(Model):
                 moved = S.step_lambda(penalties, cov, coef, 1.0, boost=max(damp, 0.05))
             # lambdas that grow without end move nothing but themselves
             still = len(last) > 2 and abs(edfs[-1] - edfs[-2]) < 1e-3 and abs(last[-1] - last[-2]) < 10 * tol * abs(last[-1])
-            if not penalties or fixed or moved < 1e-6 or still:
+            ended = not penalties or fixed or moved < 1e-6 or still
+            if ended and (settled or stuck):
                 break
         s = S.total(penalties, p)
         lvi, _ = inverse_factor(h + s + guard)
         edf, each = S.edf_of(penalties, lvi.T @ lvi, h)
         for d, at in zip(self.designs, splits, strict=False):
             d.dropped = [int(j) for j in np.flatnonzero(~alive[at : at + d.n_coef])]
-        self.fitted = S.Fit(coef, lvi, 1.0, edf, S.term_edf(each, penalties), penalties, h, llk=llk, n=rows.count(), converged=k + 1 < outer, iterations=k + 1)
+        self.fitted = S.Fit(coef, lvi, 1.0, edf, S.term_edf(each, penalties), penalties, h, llk=llk, n=rows.count(), converged=bool(ended and settled), iterations=k + 1)
         self.fitted.reml = S.reml(llk, h, coef, 1.0, penalties)
 
     def _identified(self, rows: DataFrame, s: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:

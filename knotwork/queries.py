@@ -449,12 +449,13 @@ def _hsmm(spark: SparkSession, sf: str) -> tuple[HSMM, DataFrame]:
     key = {"series": "user_id", "order": ["ts", "event_id"]}
     family = HSMMFamily(2, [fam.GAUMLSS()], 12, move=np.array([[0.0, 1.0], [1.0, 0.0]]), first=np.array([0.5, 0.5]))
     model = HSMM([Formula(lhs("y"), [i()], **key)] + [Formula(None, [i()], **key) for _ in range(7)], family)
-    return model.fit(d, init_coef=np.array([4.0, 0.0, 5.5, -0.5, 1.0, -1.0, 1.0, -1.0]), max_outer=1, max_inner=2), d
+    return model.fit(d, init_coef=np.array([4.0, 0.0, 5.5, -0.5, 1.0, -1.0, 1.0, -1.0])), d
 
 
 @query()
 def hsmm_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary(spark, _hsmm(spark, sf)[0])
+    model = _hsmm(spark, sf)[0]
+    return _summary(spark, model, converged=model.fitted.converged)
 
 
 @query()

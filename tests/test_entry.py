@@ -44,6 +44,15 @@ def test_entry(spark):
     assert set(engine.QUERIES) <= set(entry.queries())
 
 
+def test_semi_markov_fit_runs_to_tolerance(spark, sf):
+    model, d = engine._hsmm(spark, sf)
+    gradient = model.local(model._prepare(d), model.fitted.coef, second=False)[1]
+    assert model.fitted.converged and abs(gradient).max() < 0.01
+    cut = model.fit(d, init_coef=model.fitted.coef + 0.3, max_outer=1, max_inner=1)
+    assert not cut.fitted.converged
+    assert {r[0] for r in engine.hsmm_fit(spark, sf).select("converged").collect()} == {1.0}
+
+
 def test_files(spark, tmp_path):
     for k in range(2):
         pd.DataFrame({"y": [1.0, None, 3.0], "g": ["b", "a", "c"][k:] + ["a"] * k, "x": [k, k + 1, k + 2]}).to_csv(tmp_path / f"{k}.csv", index=False)
