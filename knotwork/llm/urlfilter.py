@@ -18,8 +18,8 @@ the largest share of both classes right, the middle of the best scores' range.
 Rules: (verdict, host, path). A rule fits its host and all subdomains if the URL's path starts with
 its path; the longest fitting rule wins.
 
-Cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is scored as
-an empty text. If labels of one class are missing, all scores are 0 and the verdict is ``allow``.
+Cases: a null URL, or one without ``://``, has an empty host and path and fits no rule. A null is
+scored as an empty text, a URL without ``://`` by all its characters. If labels of one class are missing, all scores are 0 and the verdict is ``allow``.
 Repeated rows get equal verdicts. Other columns are not carried.
 """
 
@@ -210,7 +210,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     """Host, path, rule and verdict of every URL, with its score."""
     host, path = host_and_path(F.col(url_col))
     start = F.instr(F.col(url_col), "://")
-    rest = F.coalesce(F.when(start > 0, F.col(url_col).substr(start + 3, F.length(url_col))), F.lit(""))
+    rest = F.coalesce(F.when(start > 0, F.col(url_col).substr(start + 3, F.length(url_col))).otherwise(F.col(url_col)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "verdict": verdict})

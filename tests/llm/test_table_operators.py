@@ -84,6 +84,15 @@ def test_url_model_learns(spark):
     assert (out[9001], out[9002]) == ("allow", "block")
 
 
+def test_urls_without_a_scheme_are_scored_by_their_characters(spark):
+    data = [(k, f"http://good{k % 7}.com/en/7{k}" if k % 2 else f"http://spam{k % 9}.com/en/{k % 6}") for k in range(600)]
+    data += [(9001, "good3.com/en/71"), (9002, "spam4.com/en/1"), (9003, None), (9004, "")]
+    out = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(data, "page_id long, url string"), [("block", "com", "/en/"), ("allow", "com", "/en/7")]).collect()}
+    assert (out[9001]["verdict"], out[9002]["verdict"]) == ("allow", "block")
+    assert {(out[k]["host"], out[k]["path"], out[k]["rule"]) for k in range(9001, 9005)} == {("", "", None)}
+    assert out[9003]["score"] == out[9004]["score"]
+
+
 def test_url_scores_use_rare_contexts_of_a_large_class(spark):
     hot = [(k, f"http://host.com/en/{k % 10}aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa") for k in range(1500)]
     rare = [(2000 + k, f"http://q{k}zq{k * 7}.com/en/{k}") for k in range(40)]
