@@ -6,7 +6,10 @@ child's draw depends on nothing but the key, its name and its weight: if weights
 only out of subtrees that lost and into subtrees that gained weight.
 
 ``Tree.of(n, base)`` puts ``base`` shards into racks of 4 and regions of 12; every shard beyond
-that is a region of its own, so one more shard takes rows only into itself.
+that is a region of its own, so one more shard takes rows only into itself. ``base`` is ``BASE``
+unless given, so the shard count alone decides and ``grown_shard`` is the shard of ``assign`` with
+one more. Below ``BASE`` the new shard's rack and region gain weight: rows come into these, and
+may go to another shard there.
 
 Slots are numbered by shard and hash bucket: the rows before a bucket come from a table of
 shards * buckets counts, the rest from a row number inside the bucket. No shard is one task's work.
@@ -24,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RACK, REGION, BUCKETS = 4, 12, 256
+RACK, REGION, BASE, BUCKETS = 4, 12, 24, 256
 
 
 @dataclass(frozen=True)
@@ -34,9 +37,8 @@ class Tree:
     children: dict[str, tuple[tuple[str, float], ...]] = field(default_factory=dict)
 
     @staticmethod
-    def of(shards: int, base: int | None = None, weights: dict[int, float] | None = None) -> Tree:
+    def of(shards: int, base: int = BASE, weights: dict[int, float] | None = None) -> Tree:
         """The tree of ``shards`` shards; ``weights`` are 1 unless given."""
-        base = shards if base is None else base
         down: dict[str, dict[str, float]] = {"root": {}}
         for s in range(shards):
             region, rack = (f"region{s // REGION}", f"rack{s // RACK}") if s < base else (f"own{s}", f"own{s}/rack")
@@ -80,7 +82,7 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     key = F.col(id_col)
     rows = docs.select(key, size.alias("size"), crc.alias("text_crc32"), Tree.of(shards).shard(key).alias("shard"))
     slots = with_slots(rows, [id_col, "text_crc32", "size"], id_col)
-    return slots.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", Tree.of(shards + 1, shards).shard(key).alias("grown_shard"))
+    return slots.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", Tree.of(shards + 1).shard(key).alias("grown_shard"))
 
 
 def write(docs: DataFrame, path: str, tree: Tree, id_col: str = "doc_id") -> None:

@@ -135,6 +135,16 @@ def test_shards(spark):
     assert sharding.assign(frame(spark, []), 24).count() == 0
 
 
+def test_grown_shard_is_the_next_assignment(spark):
+    d = frame(spark, [(k, "a", "en", "s", 1, 1, None) for k in range(600)])
+    for n in (7, 24, 25):
+        now, then = sharding.assign(d, n), sharding.assign(d, n + 1)
+        met = now.select("doc_id", "grown_shard").join(then.select("doc_id", "shard"), "doc_id")
+        assert met.count() == 600 and met.where("grown_shard <> shard").count() == 0
+        moved = now.where("grown_shard <> shard").select("grown_shard").distinct().collect()
+        assert n < sharding.BASE or [r[0] for r in moved] == [n]
+
+
 def test_shards_are_even_and_move_little(spark):
     d = spark.range(60_000).select(F.col("id").alias("k"))
     for n, base in ((24, 24), (25, 24), (26, 24), (30, 24)):
