@@ -12,8 +12,8 @@ k-th best exact product known so far, at first that among a bounded sample; thes
 multiplied in double precision on the original vectors. Queries come in blocks of bounded size, broadcast one after the other. Every
 vector is coded and compared; nothing is left out but by its bound.
 
-Cases: vectors that are null, zero, of another length than the first valid one, or hold a null or
-non-finite component take no part, neither as queries nor as candidates. Ties go to the smaller
+Cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither as
+queries nor as candidates. Each length is searched apart: a query's candidates have its own length. Ties go to the smaller
 id. Fewer candidates than ``k``: all of them. Repeated rows with one id are candidates each for itself,
 but none is a candidate of a query of its id. An empty table gives an empty result.
 """
@@ -124,11 +124,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 2.5
     small_batches(spark)
     marked = stash(usable(vectors.withColumn("_query", is_query), id_col, vector_col, ["_query"]), "vectors")
     empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
-    first = marked.limit(1).collect()
-    if not first:
+    lengths = sorted(r[0] for r in marked.select(F.size("vector")).distinct().collect())
+    found = [part for dim in lengths for part in _search(marked.where(F.size("vector") == dim), dim, k, sure)]
+    if not found:
         return empty
-    dim = len(first[0]["vector"])
-    marked = marked.where(F.size("vector") == dim)
+    return reduce(DataFrame.unionAll, found).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _search(marked: DataFrame, dim: int, k: int, sure: float) -> list[DataFrame]:
+    """(query_id, id, score, rank) of the nearest among vectors of one length, by block of queries."""
+    spark = marked.sparkSession
     sample = marked.orderBy(F.xxhash64("id")).limit(CENTRE).collect()  # bounded sample
     drawn, drawn_ids = np.array([r["vector"] for r in sample]), np.array([r["id"] for r in sample])
     centre = drawn.mean(axis=0)
@@ -163,6 +168,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 2.5
         near = held.mapInArrow(work, "query_id long, id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         found.append(stash(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest"))
-    if not found:
-        return empty
-    return reduce(DataFrame.unionAll, found).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return found

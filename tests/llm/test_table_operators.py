@@ -197,6 +197,19 @@ def test_nearest_with_few_candidates(spark):
     assert onebit.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_vectors_of_each_length(spark):
+    rng = np.random.default_rng(8)
+    data = [(0, [1.0, 2.0, 3.0]), (5, [2.0]), (20, [1.5])] + [(40 + k, [float(x) for x in rng.normal(size=6)]) for k in range(30)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in onebit.nearest(d, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {}
+    for n in (1, 3, 6):
+        want |= nearest_brute([r for r in data if len(r[1]) == n], 5)
+    assert got == {q: near for q, near in want.items() if near} and set(got) == {20, 40, 60}
+
+
 def test_estimates_are_nearly_unbiased():
     rng = np.random.default_rng(4)
     x, q = rng.normal(size=(4000, 64)), rng.normal(size=64)
