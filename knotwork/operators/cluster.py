@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -33,12 +34,24 @@ def bin_counts(df: DataFrame, series: str, edges: dict[str, tuple[float, float,
     return long.groupBy(*split_by, series, "b.variable", "b.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cluster_series(df: DataFrame, series: str, edges: dict[str, tuple[float, float, int]], k: int | None = None, restarts: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Clusters of similar series: (series, cluster) and (cluster, weight, representative).
+def cluster_series(df: DataFrame, series: str, edges: dict[str, tuple[float, float, int]], k: int | None = None, restarts: int = 5, seed: int = 0, split_by: Sequence[str] = (), stat: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clusters of similar series: (split..., series, cluster) and (split..., cluster, weight, representative).
 
     Rows of the counts matrix are series, columns bins, normalised by column; k-means++ runs
-    ``restarts`` times and the lowest sum of squares wins. The representative has most rows.
+    ``restarts`` times and the lowest sum of squares wins. The representative has most rows. Each combination of ``split_by`` is clustered for itself.
+    ``stat`` "n" makes a variable one column of its numbers of rows, "n_unique" is a column a bin.
     """
+    if set((stat or {}).values()) - {"n", "n_unique"}:
+        raise ValueError("stat must be n or n_unique")
+    edges = {v: (low, high, 1 if (stat or {}).get(v) == "n" else n) for v, (low, high, n) in edges.items()}
+    if split_by:
+        pairs = []
+        for level in df.select(*split_by).distinct().orderBy(*split_by).collect():  # levels of factors
+            own = df.where(reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(level[c])) for c in split_by]))
+            marks = [F.lit(level[c]).cast(df.schema[c].dataType).alias(c) for c in split_by]
+            pairs.append([d.select(*marks, "*") for d in cluster_series(own, series, edges, k, restarts, seed)])
+        if pairs:
+            return tuple(reduce(DataFrame.unionByName, x) for x in zip(*pairs, strict=True))
     counts = bin_counts(df, series, edges).withColumn("cell", F.concat_ws("_", "variable", "bin"))
     cells = [f"{v}_{b}" for v, (_, _, n) in edges.items() for b in range(n)]
     wide = counts.groupBy(series).pivot("cell", cells).agg(F.sum("n")).fillna(0)

@@ -72,6 +72,19 @@ def test_clusters(spark):
     assert groups.agg(F.sum("weight")).first()[0] == 20
 
 
+def test_clusters_of_sub_groups(spark):
+    rows = [(f"s{k}", "ab"[k % 4 // 2], float(v + 50 * (k % 2)), float(v)) for k in range(24) for v in range(10 if k % 2 else 30)]
+    d = spark.createDataFrame(rows, "s string, g string, v double, w double")
+    edges = bin_edges(d, ["v"], {"v": 6})
+    found, groups = cluster_series(d, "s", edges, k=2, restarts=2, split_by=["g"])
+    seen = found.withColumn("odd", F.substring("s", 2, 3).cast("int") % 2).select("g", "cluster", "odd").distinct()
+    assert seen.count() == 4 and found.count() == 24
+    assert {r["g"]: r["n"] for r in groups.groupBy("g").agg(F.sum("weight").alias("n")).collect()} == {"a": 12, "b": 12}
+    both = bin_edges(d, ["v", "w"], {"v": 6, "w": 6})
+    found, _ = cluster_series(d, "s", both, restarts=1, stat={"v": "n", "w": "n"})
+    assert found.withColumn("odd", F.substring("s", 2, 3).cast("int") % 2).select("cluster", "odd").distinct().count() == 2
+
+
 def test_streams(spark, tmp_path):
     d = spark.range(400).select((F.col("id") / 400).alias("x"), F.sin(F.col("id") / 40).alias("y"))
     d.repartition(4).write.parquet(str(tmp_path / "in"))
