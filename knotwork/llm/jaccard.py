@@ -2,19 +2,25 @@
 
 Two documents link if ``100 * intersection >= percent * union`` of their shingle sets.
 
-1. A count-min sketch of all shingles tells which occur in one document only. A set with too many
-   of those can't link with another text and is done.
+1. A count-min sketch of all shingles grades them: in one document only, rare, common, frequent. A
+   set with too many of the first can't link with another text and is done. The order (grade, hash)
+   is one for all sets. The sketch has a bounded size and only serves to order and to leave out
+   early: whatever its grades, partners share one of the first ``m - least_shared(n) + 1`` of a
+   set's ``m`` shingles that may be shared, and no more than these are listed.
 2. Sets that are equal form a class, by a 128-bit commutative hash; classes are joined, not copies.
 3. Light sets, up to the boundary size, list all their subsets of the sizes that an intersection
    with a partner can have; partners share a subset. Heavy sets scan the inverted lists of their
-   rarest shingles, as many as any partner must share one of. Light sets just below the boundary are in
-   the lists too, for their heavy partners. The boundary is the largest size at which listing subsets
-   costs no more rows than scanning lists does: subsets(n) <= prefix(n) * mean list length.
+   first shingles. Light sets just below the boundary are in the lists too, for their heavy partners. The boundary is
+   the largest size at which listing subsets costs no more rows than scanning lists does:
+   subsets(n) <= prefix(n) * mean list length.
 4. In each list all members are first compared with one hub, the class of most copies. Members near
    the hub are then judged exactly by their differences from it, without comparing sets in pairs;
    pairs with a member far from the hub are compared one by one, where they are in different components and
    sizes and numbers of shared shingles allow a link. No list or partner is left out.
 
+Whole sets are read for classes that a list compares, never shuffled for the others. Intermediate
+tables are deleted when their last reader is done.
+
 The sets are compared by 64-bit shingle hashes. No group is collected: counts are aggregated before
 they are shuffled and joins read plain tables, whose skewed keys Spark splits.
 
@@ -26,7 +32,7 @@ of the input with clashing names are not carried by ``classes`` and are kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -38,8 +44,10 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .shared import Segments, arrow_map, gram_hashes, mix, stash
+from .shared import Segments, arrow_map, gram_hashes, mix, release, stash, unused
 
+#: Cells of the grading sketch, as a power of two: at two bits a cell 32 MB at most.
+GRADES_LOG2 = 27
 _SALTS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 
 
@@ -52,10 +60,10 @@ def subsets(n: int, percent: int) -> int:
     return sum(comb(n, k) for k in range(n - least_shared(n, percent) + 1))
 
 
-def boundary(mean_list: float, percent: int) -> int:
-    """Largest size of a light set."""
+def boundary(mean_list: float, percent: int, largest: int) -> int:
+    """Largest size of a light set, where no set is larger than ``largest``."""
     n = 0
-    while n < 400 and subsets(n + 1, percent) <= (n + 2 - least_shared(n + 1, percent)) * mean_list:
+    while n < largest and subsets(n + 1, percent) <= (n + 2 - least_shared(n + 1, percent)) * mean_list:
         n += 1
     return n
 
@@ -65,12 +73,12 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     seg = Segments(data, offsets, lower=True)
     words = seg.word_hashes()
     first = seg.windows(width)
-    rows = np.searchsorted(seg.bounds, first, "right") - 1
-    hashes = gram_hashes(words, first, width)
-    few = np.flatnonzero((seg.counts > 0) & (seg.counts < width))
-    if len(few):
-        short = np.concatenate([gram_hashes(words, seg.bounds[r : r + 1], int(seg.counts[r])) for r in few])
-        rows, hashes = np.concatenate((rows, few)), np.concatenate((hashes, short))
+    rows, hashes = [np.searchsorted(seg.bounds, first, "right") - 1], [gram_hashes(words, first, width)]
+    for count in range(1, width):
+        few = np.flatnonzero(seg.counts == count)
+        rows.append(few)
+        hashes.append(gram_hashes(words, seg.bounds[few], count))
+    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
     new = np.ones(len(rows), bool)
@@ -95,142 +103,138 @@ def _may_link(n: str, m: str, other_n: str, other_m: str, percent: int) -> Colum
 
 
 def _table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Every document's set size; of those that may link also the hash and the shared shingles."""
+    """Every document's set size; of those that may link also the hash, the number of shingles that may be
+    shared (``m``), these in the common order (``shared``) and those that a list takes (``head``).
+    """
     spark = docs.sparkSession
     expected = sketch.text_bytes(docs, text_col) // 6
-    seen = sketch.build(docs, text_col, expected, lambda data, offsets: _sets(data, offsets, width)[1], depth=1, per_key=2)
-    shared = spark.sparkContext.broadcast(seen)  # bounded, see sketch
+    seen = sketch.build(docs, text_col, expected, lambda data, offsets: _sets(data, offsets, width)[1], depth=1, per_key=2, most=GRADES_LOG2, graded=True)
+    shared = spark.sparkContext.broadcast(seen)  # bounded by GRADES_LOG2
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         rows, hashes = _sets(data, offsets, width)
-        count = batch.num_rows
-        n = np.bincount(rows, minlength=count)
-        known = shared.value.may_repeat(hashes)
-        m = np.bincount(rows[known], minlength=count)
+        n = np.bincount(rows, minlength=batch.num_rows)
+        grade = shared.value.levels(hashes)
+        m = np.bincount(rows[grade > 0], minlength=batch.num_rows)
         live = (n > 0) & (100 * m >= percent * n)
         at = np.append(0, np.cumsum(n))
         sums = []
         for salt in _SALTS:
             total = np.append(np.uint64(0), np.cumsum(mix(hashes ^ salt)))
             sums.append(total[at[1:]] - total[at[:-1]])
-        pick = known & live[rows]
-        elements = _binaries(hashes[pick], np.where(live, m, 0))
-        none = pa.array(~live)
-        empty = pa.scalar(None, pa.int64())
+        pick = (grade > 0) & live[rows]
+        rows, hashes, grade = rows[pick], hashes[pick], grade[pick]
+        order = np.lexsort((hashes, grade, rows))
+        hashes = hashes[order]
+        m = np.where(live, m, 0)
+        listed = np.where(live, m + (-percent * n // 100) + 1, 0)  # m - least_shared(n) + 1
+        head = np.arange(len(hashes)) - np.repeat(np.cumsum(m) - m, m) < np.repeat(listed, m)
+        none, empty = pa.array(~live), pa.scalar(None, pa.binary())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), *(pc.if_else(none, empty, _signed(s)) for s in sums), pc.if_else(none, pa.scalar(None, pa.binary()), elements)],
-            ["_id", "n", "one", "two", "shared"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), *(pc.if_else(none, pa.scalar(None, pa.int64()), _signed(s)) for s in sums), pc.if_else(none, empty, _binaries(hashes[head], listed)), pc.if_else(none, empty, _binaries(hashes, m))],
+            ["_id", "n", "m", "one", "two", "head", "shared"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return stash(arrow_map(rows, "_text", f"_id {kind}, n long, one long, two long, shared binary", work).withColumn("_row", F.monotonically_increasing_id()), "sets")
+    return stash(arrow_map(rows, "_text", f"_id {kind}, n long, m long, one long, two long, head binary, shared binary", work).withColumn("_row", F.monotonically_increasing_id()), "sets")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = np.array([len(x) // 8 for x in batch.column("shared").to_pylist()], np.int64)
-        row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        raw = np.frombuffer(b"".join(batch.column("shared").to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([batch.column("class").take(row), pa.array(raw)], ["class", "element"])
-
+        held = batch.column("head").to_pylist()
+        row = pa.array(np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]))
+        raw = np.frombuffer(b"".join(held), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(raw), *(batch.column(c).take(row) for c in ("class", "n", "m", "copies"))], ["key", "class", "n", "m", "copies"])
 
-def _lists(classes: DataFrame, kind: str, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, class, n, m, copies): what the light sets' subsets and the heavy sets' lists hold;
-    and the classes that may still link, ``shared`` now without what occurs in one class only.
-    """
-    elements = stash(classes.select("class", "shared").mapInArrow(_unpack, f"class {kind}, element long"), "elements")
-    often = stash(elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
-    mean = often.agg(F.avg("df")).first()[0] or 1.0
-    edge = boundary(mean, percent)
-    low = least_shared(edge + 1, percent)
-    ordered = elements.join(often, "element").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("list"))
-    sets = ordered.join(classes.select("class", "n", "copies"), "class").select("class", "n", "copies", F.col("list.element").alias("list")).where(100 * F.size("list") >= percent * F.col("n"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column("list")
-            sizes = np.diff(np.asarray(held.offsets))
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), batch.column("copies"), _binaries(held.flatten().to_numpy(), sizes)], ["class", "n", "copies", "shared"])
 
-    exact = stash(sets.mapInArrow(pack, f"class {kind}, n long, copies long, shared binary"), "exact")
+def _subset_keys(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of all subsets of a light set that may be its intersection with a partner."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            of, found, shared = [], [], []
-            for r, (n, values) in enumerate(zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True)):
-                raw = np.frombuffer(values, "<u8")
-                unique, made = n - len(raw), []
-                if n > edge or n >= low:
-                    made.append(raw[: len(raw) - least_shared(n, percent) + 1])
-                if n <= edge:
-                    mixed = mix(raw ^ _SALTS[0])
-                    whole = mixed.sum(dtype=np.uint64)
-                    for out in range(n - least_shared(n, percent) - unique + 1):
-                        gone = [mixed[list(c)].sum(dtype=np.uint64) for c in combinations(range(len(raw)), out)]
-                        made.append(mix((whole - np.array(gone, np.uint64)) ^ _SALTS[1]))
-                made = np.concatenate(made) if made else np.zeros(0, np.uint64)
-                found.append(made)
-                of.append(np.full(len(made), r))
-                shared.append(len(raw))
-            row = pa.array(np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), *(x.take(row) for x in (batch.column("class"), batch.column("n"), pa.array(shared, pa.int64()), batch.column("copies")))], ["key", "class", "n", "m", "copies"])
-
-    return stash(exact.mapInArrow(keys, f"key long, class {kind}, n long, m long, copies long"), "lists"), exact
-
-
-def _compare(pairs: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
+            found = [np.zeros(0, np.uint64)]
+            for n, values in zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+                mixed = mix(np.frombuffer(values, "<u8") ^ _SALTS[0])
+                whole = mixed.sum(dtype=np.uint64)
+                gone = [mixed[list(c)].sum(dtype=np.uint64) for out in range(len(mixed) - least_shared(n, percent) + 1) for c in combinations(range(len(mixed)), out)]
+                found.append(mix((whole - np.array(gone, np.uint64)) ^ _SALTS[1]))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found[1:]]))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), *(batch.column(c).take(row) for c in ("class", "n", "m", "copies"))], ["key", "class", "n", "m", "copies"])
+
+    return run
+
+
+def _lists(first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, class, n, m, copies): what the light sets' subsets and the heavy sets' lists hold."""
+    schema, known = "key long, class long, n long, m long, copies long", first.select("class", "n", "m", "copies")
+    heads = stash(sets.where("head is not null").select(F.col("_row").alias("class"), "head").join(known, "class").mapInArrow(_unpack, schema), "heads")
+    sized = heads.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1").agg(F.avg("df").alias("mean")).first()
+    largest = first.agg(F.max("n").alias("n")).first()["n"] or 0
+    edge = boundary(sized["mean"] or 1.0, percent, largest)
+    heavy = heads.where(F.col("n") >= min(edge + 1, least_shared(edge + 1, percent)))
+    light = sets.where((F.col("n") <= edge) & F.col("shared").isNotNull()).select(F.col("_row").alias("class"), "shared").join(known, "class")
+    out = stash(heavy.union(light.mapInArrow(_subset_keys(percent), schema)), "lists")
+    release(heads)
+    return out
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b): whether they ``link``; of those about twice as far apart as a link allows,
     the shared shingles of a alone and of b alone (``differ``), their number and that of a's.
     """
     near = 2 * percent - 100
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("shared").alias(f"set_{name}"))
+        return sets.where("shared is not null").select(F.col("_row").alias(name), F.col("n").alias(f"n_{name}"), F.col("m").alias(f"m_{name}"), F.col("shared").alias(f"set_{name}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             link, differ, apart, lack = [], [], [], []
             for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b", "n_a", "n_b")), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y) - len(other := np.setxor1d(x, y, assume_unique=True))
-                both //= 2
+                other = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(other)) // 2
+                close = 100 * both >= near * (p + q - both)
                 link.append(100 * both >= percent * (p + q - both))
-                differ.append(other.tobytes() if 100 * both >= near * (p + q - both) else None)
+                differ.append(np.concatenate((mine := np.intersect1d(other, x, assume_unique=True), np.setdiff1d(other, mine, assume_unique=True))).tobytes() if close else None)
                 apart.append(len(other))
                 lack.append(len(x) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), pa.array(link, pa.bool_()), pa.array(differ, pa.binary()), pa.array(apart, pa.int64()), pa.array(lack, pa.int64())], ["a", "b", "n", "link", "differ", "apart", "lack"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), batch.column("m_b"), pa.array(link, pa.bool_()), pa.array(differ, pa.binary()), pa.array(apart, pa.int64()), pa.array(lack, pa.int64())], ["a", "b", "n", "m", "link", "differ", "apart", "lack"])
 
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.mapInArrow(work, f"a {kind}, b {kind}, n long, link boolean, differ binary, apart long, lack long")
+    joined = pairs.join(side("b"), "b").join(side("a").join(pairs.select("a").distinct(), "a", "left_semi"), "a")
+    return joined.mapInArrow(work, "a long, b long, n long, m long, link boolean, differ binary, apart long, lack long")
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of a difference; ``more``: the hub has it not."""
     for batch in batches:
-        sizes = np.array([len(x) // 8 for x in batch.column("differ").to_pylist()], np.int64)
-        row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        raw = np.frombuffer(b"".join(batch.column("differ").to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("hub", "class", "n", "m", "apart", "lack", "label")), pa.array(raw)], ["hub", "class", "n", "m", "apart", "lack", "label", "element"])
+        held = batch.column("differ").to_pylist()
+        sizes = np.array([len(x) // 8 for x in held], np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        more = place >= batch.column("lack").to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("hub", "class", "label")), pa.array(np.frombuffer(b"".join(held), "<i8")), pa.array(more)], ["hub", "class", "label", "element", "more"])
 
 
-def _links(lists: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
+def _links(lists: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Links that connect what is connected.
 
     Members x and y share exactly ``(|x| + |y| - apart(x) - apart(y)) / 2 + common`` shingles, where ``apart`` is the size of a member's
     difference from the hub and ``common`` the number of shingles in both differences. So members near a hub
     need no comparison of sets: those that link without a common difference are found from sizes,
-    the others by joining on (hub, differing shingle). A link's ends differ in their distances from
-    the hub by no more than a link's, so what links with a member far from the hub has no link with
-    the hub itself; only these pairs are left to be compared one by one.
+    the others by joining on (hub, differing shingle), for shingles that lie in several members' differences.
+    A link's ends differ in their distances from the hub by no more than a link's, so what links
+    with a member far from the hub has no link with the hub itself; only these pairs are left to be compared one by one.
     """
     near = 2 * percent - 100
-    hubs = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", (-F.col("class")).alias("minus"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("m").alias("hub_m"))).alias("h")).where("members > 1")
-    hubs = stash(hubs.select("key", "h.hub", "h.hub_n", "h.hub_m"), "hubs")
-    held = stash(lists.join(hubs, "key"), "held")
-    tried = held.where((F.col("hub") != F.col("class")) & _may_link("n", "m", "hub_n", "hub_m", near)).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    done = stash(_compare(stash(tried, "pairs"), classes, percent, kind), "compared")
+    hubs = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", (-F.col("class")).alias("minus"), F.col("n").alias("hub_n"), F.col("m").alias("hub_m"))).alias("h")).where("members > 1")
+    hubs = stash(hubs.select("key", (-F.col("h.minus")).alias("hub"), "h.hub_n", "h.hub_m"), "hubs")
+    held = stash(lists.join(hubs, "key").where("hub <> class"), "held")
+    release(hubs, lists)
+    tried = stash(held.where(_may_link("n", "m", "hub_n", "hub_m", near)).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    done = stash(_compare(tried, sets, percent), "compared")
+    release(tried)
     linked = done.where("link").select("a", "b")
     label = components(linked)
 
@@ -239,13 +243,13 @@ def _links(lists: DataFrame, classes: DataFrame, percent: int, kind: str) -> Dat
         return rows.join(named, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
     # members near a hub, and the hub itself, of the hubs whose members are in several components
-    own = done.select(F.col("a").alias("hub"), F.col("a").alias("class"), F.lit(b"").alias("differ"), F.lit(0).cast("long").alias("apart"), F.lit(0).cast("long").alias("lack")).distinct()
-    own = own.join(classes.select("class", F.col("n").alias("_n")), "class").select("hub", "class", F.col("_n").alias("n"), "differ", "apart", "lack")
-    around = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("class"), "n", "differ", "apart", "lack").unionByName(own)
-    sizes = classes.select("class", (F.octet_length("shared") / 8).cast("long").alias("m"))
-    around = stash(labelled(around).join(sizes, "class"), "around")
-    several = around.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("hub")
-    around = stash(around.join(several, "hub"), "around")
+    zero = F.lit(0).cast("long")
+    own = done.select(F.col("a").alias("class")).distinct().join(first.select("class", "n", "m"), "class").select(F.col("class").alias("hub"), "class", "n", "m", F.lit(b"").alias("differ"), zero.alias("apart"), zero.alias("lack"))
+    around = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("class"), "n", "m", "differ", "apart", "lack").unionByName(own)
+    every = stash(labelled(around), "around")
+    several = every.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("hub")
+    around = stash(every.join(several, "hub"), "around")
+    release(every)
     main = around.where("class = hub").select("hub", F.col("label").alias("main"))
     out = stash(around.join(main, "hub").where("label <> main").drop("main"), "outside")
 
@@ -256,45 +260,63 @@ def _links(lists: DataFrame, classes: DataFrame, percent: int, kind: str) -> Dat
 
     best = around.groupBy("hub", "label", "n").agg(F.max(F.struct((F.col("m") - F.col("apart")).alias("rest"), "class", "m", "apart")).alias("r"))
     best = best.select("hub", F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("r.class").alias("y"), F.col("r.m").alias("y_m"), F.col("r.apart").alias("y_apart"))
-    plain = out.drop("differ").join(best, "hub").where((F.col("label") != F.col("y_label")) & links(F.lit(0))).select(F.col("class").alias("a"), F.col("y").alias("b"))
-    parts = f"hub {kind}, class {kind}, n long, m long, apart long, lack long, label {kind}, element long"
-    mine = stash(out.mapInArrow(_explode, parts), "mine")
-    theirs = around.mapInArrow(_explode, parts).join(mine.select("hub", "element").distinct(), ["hub", "element"], "left_semi")
-    theirs = theirs.select("hub", "element", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("m").alias("y_m"), F.col("apart").alias("y_apart"), F.col("lack").alias("y_lack"), F.col("label").alias("y_label"))
-    # no more shingles are common than both lack of the hub's, or have beyond it
-    met = mine.join(theirs, ["hub", "element"]).where((F.col("label") != F.col("y_label")) & links(F.least("lack", "y_lack") + F.least(F.col("apart") - F.col("lack"), F.col("y_apart") - F.col("y_lack"))))
-    met = met.groupBy("hub", "class", "y", "n", "m", "apart", "y_n", "y_m", "y_apart").agg(F.count(F.lit(1)).alias("common"))
-    met = met.where(links(F.col("common"))).select(F.col("class").alias("a"), F.col("y").alias("b"))
+    plain = stash(out.drop("differ").join(best, "hub").where((F.col("label") != F.col("y_label")) & links(F.lit(0))).select(F.col("class").alias("a"), F.col("y").alias("b")), "plain")
+    # differing shingles that lie in the differences of several of a hub's members, one of them outside
+    parts = "hub long, class long, label long, element long, more boolean"
+    wanted = out.mapInArrow(_explode, parts).select("hub", "element").distinct()
+    theirs = stash(around.mapInArrow(_explode, parts).join(wanted, ["hub", "element"], "left_semi"), "differences")
+    often = theirs.groupBy("hub", "element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("hub", "element")
+    theirs2 = stash(theirs.join(often, ["hub", "element"]), "differences")
+    release(theirs)
+    # no more shingles are common than both lack, or have beyond the hub, among these
+    room = theirs2.groupBy("hub", "class").agg(F.count(F.when(~F.col("more"), 1)).alias("lacks"), F.count(F.when(F.col("more"), 1)).alias("adds"))
+    room = stash(around.select("hub", "class", "n", "m", "apart", "label").join(room, ["hub", "class"]), "room")
+    release(around)
+    x = theirs2.select("hub", "class", "element").join(out.select("hub", "class"), ["hub", "class"], "left_semi").join(room, ["hub", "class"])
+    y = theirs2.select("hub", "class", "element").join(room, ["hub", "class"]).select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in ("class", "n", "m", "apart", "label", "lacks", "adds")])
+    met = x.join(y, ["hub", "element"]).where((F.col("label") != F.col("y_label")) & links(F.least("lacks", "y_lacks") + F.least("adds", "y_adds")))
+    met = met.groupBy("hub", "class", "y_class", "n", "m", "apart", "y_n", "y_m", "y_apart").agg(F.count(F.lit(1)).alias("common"))
+    met = stash(met.where(links(F.col("common"))).select(F.col("class").alias("a"), F.col("y_class").alias("b")), "met")
+    release(theirs2, room, out)
     # pairs of which one is far from the hub: neither links with it
     state = done.select(F.col("a").alias("hub"), F.col("b").alias("class"), "link", F.col("differ").isNotNull().alias("near"))
-    away = held.where("hub <> class").join(state, ["hub", "class"], "left").where("link is null or not link")
+    away = held.join(state, ["hub", "class"], "left").where("link is null or not link")
     away = stash(labelled(away.select("key", "class", "n", "m", F.coalesce("near", F.lit(False)).alias("near"))), "away")
     other = away.select("key", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("m").alias("y_m"), F.col("label").alias("y_label"))
     rest = away.where("not near").join(other, "key").where((F.col("label") != F.col("y_label")) & _may_link("n", "m", "y_n", "y_m", percent))
-    rest = rest.select(F.least("class", "y").alias("a"), F.greatest("class", "y").alias("b")).distinct()
-    far = _compare(stash(rest, "pairs"), classes, percent, kind).where("link").select("a", "b")
-    return stash(linked.union(plain).union(met).union(far), "links")
+    rest = stash(rest.select(F.least("class", "y").alias("a"), F.greatest("class", "y").alias("b")).distinct(), "pairs")
+    release(held, away)
+    far = stash(_compare(rest, sets, percent).where("link").select("a", "b"), "far")
+    out = stash(linked.union(plain).union(met).union(far), "links")
+    release(done, plain, met, far, rest)
+    return out
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``n_shingles`` and ``component_id``, the smallest id that links reach, of every document."""
-    kind = docs.schema[id_col].dataType.simpleString()
     sets = _table(docs, width, percent, id_col, text_col)
-    live = sets.where("shared is not null and _id is not null")
-    first = stash(live.groupBy("one", "two").agg(F.min(F.struct("_id", "_row")).alias("f"), F.count(F.lit(1)).alias("copies")).select("one", "two", F.col("f._id").alias("class"), F.col("f._row").alias("_row"), "copies"), "classes")
-    own = stash(live.join(first.select("_row", "class", "copies"), "_row").select("class", "n", "copies", "shared"), "own")
-    label = components(_links(*_lists(own, kind, percent), percent, kind))
-    named = stash(first.join(label, first["class"] == label["node"], "left").select("one", "two", F.coalesce("label", "class").alias("component_id")), "named")
-    return sets.select("_id", "n", "one", "two").join(named, ["one", "two"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
+    live = sets.where("one is not null and _id is not null")
+    # a class is known by the row of its smallest id
+    first = stash(live.groupBy("one", "two").agg(F.min(F.struct("_id", "_row", "n", "m")).alias("f"), F.count(F.lit(1)).alias("copies")).select("one", "two", F.col("f._id").alias("least"), F.col("f._row").alias("class"), "f.n", "f.m", "copies"), "classes")
+    lists = _lists(first, sets, percent)
+    links = _links(lists, sets, first, percent)
+    label = first.join(components(links), F.col("class") == F.col("node"), "left").select("one", "two", "least", F.coalesce("label", "class").alias("label"))
+    label = stash(label, "labels")
+    smallest = label.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = stash(label.join(smallest, "label").select("one", "two", "component_id"), "named")
+    rows = stash(sets.select("_id", "n", "one", "two"), "rows")
+    release(sets, first, links, label)
+    return rows.join(named, ["one", "two"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document of the smallest id of each component, with all its columns; of repeated rows one."""
     found = classes(docs, width, percent, id_col, text_col)
-    gone = stash(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")), "gone")
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = stash(docs.groupBy(id_col).count().where(F.col("count") > 1).select(F.col(id_col).alias("_twice")).where("_twice is not null"), "twice")
-    if not twice.limit(1).count():
+    gone, twice = unused("_gone", docs.columns), unused("_twice", docs.columns)
+    lost = stash(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone)), "gone")
+    left = docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
+    repeated = stash(docs.select(F.col(id_col).alias(twice)).groupBy(twice).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(twice).where(F.col(twice).isNotNull()), "twice")
+    if not repeated.limit(1).count():
         return left
-    again = left.join(twice, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(twice, F.col(id_col) == F.col("_twice"), "left_anti").unionByName(again)
+    again = left.join(repeated, F.col(id_col) == F.col(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(repeated, F.col(id_col) == F.col(twice), "left_anti").unionByName(again)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Segments, arrow_map, covered, gram_hashes, repeats_in_row, span_hashes, stash
+from .shared import Segments, arrow_map, covered, gram_hashes, repeats_in_row, run_hashes, stash
 
 #: Posterior probability of good from which a document is kept.
 KEEP_AT = 0.5
@@ -56,7 +56,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = np.concatenate(([0], np.cumsum(seg.inside)))
     has = full[ends] > full[starts]
     starts, ends, of_line = starts[has], ends[has], of_line[has]
-    _, later = repeats_in_row(span_hashes(data, starts, ends), of_line)
+    _, later = repeats_in_row(run_hashes(data, starts, ends), of_line)
     lead = (data & 0xC0) != 0x80
     return {
         "n_words": seg.counts.astype(np.int64),

@@ -14,6 +14,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_powers: dict[int, tuple[np.ndarray, ...]] = {}
+_SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_NEAR = 64
+_COMBINE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +53,23 @@ def stash(df: DataFrame, label: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stashed tables whose last reader is done."""
+    for t in tables:
+        _remove(t.sparkSession, t._stashed_at)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -110,20 +128,6 @@ def arrow_map(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """``n`` powers of hash base number ``which`` and of its inverse, modulo 2**64."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        grown = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            grown.append(np.cumprod(run))
-        _powers[which] = tuple(grown)
-    up, down = _powers[which]
-    return up[:n], down[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising permutation of 64-bit values (splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -133,13 +137,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of the value runs [start, end), equal for equal runs wherever they lie."""
-    up, down = powers(len(values) + 1, which)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] ^ mix((ends - starts).astype(np.uint64)))
+@lru_cache(maxsize=2)
+def _units(which: int) -> np.ndarray:
+    """What ``run_hashes`` makes of a byte at one of the first ``_NEAR`` places."""
+    return mix(np.arange(_NEAR << 8, dtype=np.uint64) + _SALTS[which])
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the runs [start, end) of byte values, which are ascending and do not overlap.
+
+    Each byte is mixed with its place in its run before the run's bytes are added up, so no two
+    strings collide but by chance. Hash number 1 adds up other values of the same bytes.
+    """
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    unit = values[np.repeat(starts, sizes) + place] + (place << 8)
+    if sizes.max(initial=0) <= _NEAR:
+        unit = _units(which)[unit]
+    else:
+        unit = mix(unit.astype(np.uint64) + _SALTS[which])
+    sums = np.zeros(len(unit) + 1, np.uint64)
+    np.cumsum(unit, out=sums[1:])
+    return mix((sums[first + sizes] - sums[first]) ^ mix(sizes.astype(np.uint64) + _SALTS[which]))
+
+
+def _combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _COMBINE + right)
 
 
 class Segments:
@@ -166,8 +190,8 @@ class Segments:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
-    def word_hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+    def word_hashes(self, which: int = 0) -> np.ndarray:
+        return run_hashes(self.data, self.starts, self.ends, which)
 
     def rows(self) -> np.ndarray:
         """Row number of every word."""
@@ -179,9 +203,17 @@ class Segments:
         return np.flatnonzero(room >= width)
 
 
-def gram_hashes(words: np.ndarray, first: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """64-bit hashes of the word runs of ``width`` words that begin at ``first``."""
-    return span_hashes(words, first, first + width, which)
+def gram_hashes(words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the word runs of ``width`` words that begin at ``first``, by doubling."""
+    whole, at, level, size = None, first, words, 1
+    while True:
+        if width & size:
+            part = level[at]
+            whole, at = part if whole is None else _combine(whole, part), at + size
+        if 2 * size > width:
+            return mix(whole ^ np.uint64(width))
+        level = _combine(level[:-size], level[size:]) if len(level) > size else level[:0]
+        size *= 2
 
 
 def repeats_in_row(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

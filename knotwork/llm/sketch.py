@@ -39,17 +39,28 @@ def cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
 
 
 class Sketch:
-    """Bit maps of the cells counted at least twice."""
+    """Level of every cell's count: how many of ``limits`` it exceeds, as bit planes."""
 
-    def __init__(self, log2: int, depth: int = ROWS) -> None:
-        self.log2, self.maps = log2, np.zeros((depth, (1 << log2) // 8), np.uint8)
+    def __init__(self, log2: int, depth: int = ROWS, limits: tuple[float, ...] = (1,)) -> None:
+        self.log2, self.limits = log2, limits
+        self.maps = np.zeros((depth, len(limits).bit_length(), (1 << log2) // 8), np.uint8)
 
-    def may_repeat(self, keys: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(keys), bool)
-        for row in range(len(self.maps)):
+    def put(self, row: int, block: int, planes: bytes) -> None:
+        width = (1 << BLOCK_BITS) // 8
+        self.maps[row, :, block * width : (block + 1) * width] = np.frombuffer(planes, np.uint8).reshape(-1, width)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Smallest level of each key among the rows; level 0 is a key that occurs once at most."""
+        found = None
+        for row, planes in enumerate(self.maps):
             c = cells(keys, row, self.log2)
-            hit &= (self.maps[row][(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return hit
+            at, bit = (c >> np.uint64(3)).astype(np.int64), (c & np.uint64(7)).astype(np.uint8)
+            level = sum((((plane[at] >> bit) & 1) << k for k, plane in enumerate(planes)), np.zeros(len(keys), np.uint8))
+            found = level if found is None else np.minimum(found, level)
+        return found
+
+    def may_repeat(self, keys: np.ndarray) -> np.ndarray:
+        return self.levels(keys) > 0
 
 
 def _emit(keys: np.ndarray, log2: int, depth: int) -> pa.RecordBatch:
@@ -69,21 +80,30 @@ def _emit(keys: np.ndarray, log2: int, depth: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(found, pa.binary())], ["row", "block", "offsets"])
 
 
-def _merge(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count, key = np.zeros(1 << BLOCK_BITS, np.int64), None
-    for batch in group:
-        key = key or (batch.column("row")[0].as_py(), batch.column("block")[0].as_py())
-        for part in batch.column("offsets"):
-            count += np.bincount(np.frombuffer(part.as_buffer(), "<u2"), minlength=1 << BLOCK_BITS)
-    if key is not None and (count >= 2).any():
-        bits = np.packbits(count >= 2, bitorder="little").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits], pa.binary())], ["row", "block", "bits"])
+def _merge(limits: tuple[float, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, key = np.zeros(1 << BLOCK_BITS, np.int64), None
+        for batch in group:
+            key = key or (batch.column("row")[0].as_py(), batch.column("block")[0].as_py())
+            for part in batch.column("offsets"):
+                count += np.bincount(np.frombuffer(part.as_buffer(), "<u2"), minlength=1 << BLOCK_BITS)
+        level = sum((count > x).astype(np.uint8) for x in limits)
+        if key is not None and level.any():
+            planes = b"".join(np.packbits((level >> k) & 1, bitorder="little").tobytes() for k in range(len(limits).bit_length()))
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([planes], pa.binary())], ["row", "block", "planes"])
+
+    return run
+
 
+def build(docs: DataFrame, text: str, expected: int, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], depth: int = ROWS, per_key: int = 4, most: int = MAX_LOG2, graded: bool = False) -> Sketch:
+    """Sketch, of ``depth`` rows, of the keys that ``keys_of(bytes, offsets)`` finds in all texts.
 
-def build(docs: DataFrame, text: str, expected: int, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], depth: int = ROWS, per_key: int = 4, most: int = MAX_LOG2) -> Sketch:
-    """Sketch, of ``depth`` rows, of the keys that ``keys_of(bytes, offsets)`` finds in all texts."""
+    ``graded``: with three limits in place of one, the upper two far above the mean of all cells.
+    """
     small_batches(docs.sparkSession)
     log2 = log2_cells(expected, per_key, most)
+    mean = expected / 2**log2
+    limits = (1, 8 * (1 + mean), 64 * (1 + mean)) if graded else (1,)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -98,11 +118,10 @@ def build(docs: DataFrame, text: str, expected: int, keys_of: Callable[[np.ndarr
             yield _emit(np.concatenate(held), log2, depth)
 
     parts = docs.select(text).mapInArrow(count, "row int, block int, offsets binary")
-    merged = parts.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
-    sketch = Sketch(log2, depth)
-    width = (1 << BLOCK_BITS) // 8
-    for r in merged.toLocalIterator():  # the bit maps' bytes, one partition at a time
-        sketch.maps[r["row"], r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    merged = parts.groupBy("row", "block").applyInArrow(_merge(limits), "row int, block int, planes binary")
+    sketch = Sketch(log2, depth, limits)
+    for r in merged.toLocalIterator():  # the bit planes' bytes, one partition at a time
+        sketch.put(r["row"], r["block"], r["planes"])
     return sketch
 
 

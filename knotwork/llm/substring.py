@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import Segments, arrow_map, covered, gram_hashes, span_hashes, stash
+from .shared import Segments, arrow_map, covered, gram_hashes, mix, release, stash, unused
 
 WIDTH = 50
 
@@ -75,9 +75,12 @@ def _found(docs: DataFrame, seen: sketch.Sketch, width: int, id_col: str, text_c
         first, many, anchor = first[keep], many[keep], anchor[keep]
         row = np.searchsorted(seg.bounds, first, "right") - 1
         each = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-        windows = gram_hashes(words, each, width, 1).astype("<u8").tobytes()
-        ends = 8 * np.cumsum(many)
-        ones, twos = (span_hashes(words, first, first + many + width - 1, k).view(np.int64) for k in (0, 1))
+        window = gram_hashes(seg.word_hashes(1), each, width)
+        windows, ends = window.astype("<u8").tobytes(), 8 * np.cumsum(many)
+        # a bundle's windows in their order, by two hashes made of two hashes of its words
+        order = (each - np.repeat(first, many)).astype(np.uint64)
+        begin = np.cumsum(many) - many
+        ones, twos = (np.add.reduceat(mix(w + mix(order + np.uint64(k))), begin).view(np.int64) for k, w in ((1, window), (2, gram_hashes(words, each, width))))
         hashes = pa.Array.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(np.append(0, ends).astype(np.int64).tobytes()), pa.py_buffer(windows)]).cast(pa.binary())
         picked = pa.array(row)
         return pa.RecordBatch.from_arrays([rows.column(0).take(picked), rows.column(1).take(picked), pa.array(first - seg.bounds[row], pa.int32()), pa.array(many, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(ones), pa.array(twos), hashes], ["_id", "_text", "first", "many", "anchor", "one", "two", "windows"])

@@ -80,6 +80,7 @@ def test_one_of_each_component_stays(spark):
 
 
 def test_boundary_follows_the_cost():
-    assert boundary(1.0, 90) <= boundary(5.0, 90) <= boundary(500.0, 90)
-    b = boundary(8.0, 90)
+    assert boundary(1.0, 90, 10**6) <= boundary(5.0, 90, 10**6) <= boundary(500.0, 90, 10**6)
+    assert boundary(2.0, 100, 700) == 700 and boundary(500.0, 90, 3) == 3
+    b = boundary(8.0, 90, 10**6)
     assert subsets(b, 90) <= (b + 1 - least_shared(b, 90)) * 8.0 < subsets(b + 1, 90) + 8.0 * 99

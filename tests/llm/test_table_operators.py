@@ -265,7 +265,7 @@ def test_sketch_misses_no_repeat():
     sketch = Sketch(20)
     for row in range(len(sketch.maps)):
         n = np.bincount(cells(np.concatenate((keys, twice)), row, 20).astype(np.int64), minlength=1 << 20)
-        sketch.maps[row] = np.packbits(n >= 2, bitorder="little")
+        sketch.maps[row, 0] = np.packbits(n >= 2, bitorder="little")
     assert sketch.may_repeat(twice).all()
     assert sketch.may_repeat(keys[3000:]).mean() < 0.05
 
