@@ -34,6 +34,11 @@ class ByteBpe:
         byte = _printable()
         ranks = {bytes(byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
         self.special = tuple(special)
+        # a piece's id is its merge rank for the encoder: the file must list its merges in that order
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
+        made = [model["model"]["vocab"][a + b] for a, b in pairs]
+        if any(b <= a for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError(f"{json_file}: the merges are not in the order of their ids")
         self.encoder = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
         for piece, i in ranks.items():
@@ -54,8 +59,8 @@ class ByteBpe:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         try:
             return np.asarray(self.encoder.encode_to_numpy(text, disallowed_special=()), np.uint32)
-        except (ValueError, RuntimeError, BaseException) as why:  # noqa: B014  the encoder's own panic is no Exception
-            if isinstance(why, (KeyboardInterrupt, SystemExit)):
+        except BaseException as why:  # noqa: BLE001  the encoder's own panic is no Exception
+            if not isinstance(why, (ValueError, RuntimeError)) and type(why).__name__ != "PanicException":
                 raise
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -9,8 +9,11 @@ bits by popcounts, and the rounding's standard error is added to the bound.
 
 Each task codes its vectors and finds for each query of a block those whose upper bound reaches the
 k-th best exact product known so far, at first that among a bounded sample; these alone are
-multiplied in double precision on the original vectors. Queries come in blocks of bounded size, broadcast one after the other. Every
-vector is coded and compared; nothing is left out but by its bound.
+multiplied in double precision on the original vectors, and those below it are not sent on.
+Queries come in blocks of bounded size, broadcast one after the other. Where the table is larger
+than ``STEP`` such samples, a query's floor rises over nested samples of the table, each ``STEP`` times
+the one before: so about ``STEP * k`` rows a query and sample are shuffled, whatever the number of vectors.
+Every vector is coded and compared; nothing is left out but by its bound.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither as
 queries nor as candidates. Each length is searched apart: a query's candidates have its own length. Ties go to the smaller
@@ -28,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stash
+from .shared import small_batches, stash, unused
 
 #: Queries in one broadcast block, vectors coded at once, sampled vectors for the centre.
 BLOCK, CHUNK, CENTRE = 8192, 8192, 4096
+#: Growth of the nested samples that raise the floors.
+STEP = 16
 BITS = 4
 
 
@@ -106,11 +111,12 @@ def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
         best = _best(score, ids[some], k)
         if len(best) == k:
             floor[q] = max(floor[q], score[best[-1]])
+        best = best[score[best] >= floor[q]]
         out.append((np.full(len(best), query_ids[q]), ids[some][best], score[best]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, others: list[str]) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vector_col: str, others: list[Column]) -> DataFrame:
     """``id``, ``vector`` and ``others`` of those that take part."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)
@@ -118,32 +124,36 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, others: list[str])
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), *others)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 2.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sure: float = 2.5, id_col: str = "vec_id", vector_col: str = "embedding", step: int = STEP, sample: int = CENTRE) -> DataFrame:
     """``query_id``, ``rank``, ``id_col`` and ``score`` of each query's ``k`` nearest vectors."""
     spark = vectors.sparkSession
     small_batches(spark)
-    marked = stash(usable(vectors.withColumn("_query", is_query), id_col, vector_col, ["_query"]), "vectors")
+    query = unused("_query", vectors.columns)
+    fine = usable(vectors.withColumn(query, is_query), id_col, vector_col, [F.col(query).alias("_query")])
+    parts = max(1, -(-fine.count() // CHUNK))
+    marked = stash(fine.repartition(parts), "vectors")
     empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     lengths = sorted(r[0] for r in marked.select(F.size("vector")).distinct().collect())
-    found = [part for dim in lengths for part in _search(marked.where(F.size("vector") == dim), dim, k, sure)]
+    found = [part for dim in lengths for part in _search(marked.where(F.size("vector") == dim), dim, k, sure, step, sample)]
     if not found:
         return empty
     return reduce(DataFrame.unionAll, found).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _search(marked: DataFrame, dim: int, k: int, sure: float) -> list[DataFrame]:
+def _search(marked: DataFrame, dim: int, k: int, sure: float, step: int, sample: int) -> list[DataFrame]:
     """(query_id, id, score, rank) of the nearest among vectors of one length, by block of queries."""
     spark = marked.sparkSession
-    sample = marked.orderBy(F.xxhash64("id")).limit(CENTRE).collect()  # bounded sample
-    drawn, drawn_ids = np.array([r["vector"] for r in sample]), np.array([r["id"] for r in sample])
-    centre = drawn.mean(axis=0)
-    turn = rotation(dim)
-    total = marked.count()
-    held = marked.select("id", "vector").repartition(max(1, -(-total // CHUNK)))
-    asked = marked.where("_query")
-    many = asked.count()
-    blocks = max(1, -(-many // BLOCK))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)))
+    drawn = marked.orderBy(F.xxhash64("id")).limit(sample).collect()  # bounded sample
+    near, near_ids = np.array([r["vector"] for r in drawn]), np.array([r["id"] for r in drawn])
+    centre, turn = near.mean(axis=0), rotation(dim)
+    sizes = marked.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("_query"), 1)).alias("asked")).first()
+    # the smaller the remainder, the more samples a vector is in; 1 is the whole table
+    shares, size = [1], sizes["all"] // step
+    while size > step * sample:
+        shares.insert(0, shares[0] * step)
+        size //= step
+    blocks = max(1, -(-sizes["asked"] // BLOCK))
+    asked = marked.where("_query").withColumn("_block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)))
     found = []
     for b in range(blocks):
         part = asked.where(F.col("_block") == b).select("id", "vector").collect()  # about BLOCK rows
@@ -151,21 +161,39 @@ def _search(marked: DataFrame, dim: int, k: int, sure: float) -> list[DataFrame]
             continue
         query_ids, queries = np.array([r["id"] for r in part]), np.array([r["vector"] for r in part])
         # the sample's k-th best, rows of the query's id apart, less what rounding may do
-        known = np.where(drawn_ids[:, None] == query_ids, -np.inf, drawn @ queries.T)
-        known = np.sort(known, axis=0)[-k] if len(drawn) >= k else np.full(len(part), -np.inf)
-        block = spark.sparkContext.broadcast((query_ids, queries, known - 1e-9 * np.abs(known)))
-
-        def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            query_ids, queries, known = block.value
-            floor = known.copy()
-            table = pa.Table.from_batches(list(batches))  # CHUNK rows or so
-            for lo in range(0, table.num_rows, CHUNK):
-                ids = table.column("id").slice(lo, CHUNK).to_numpy()
-                held = table.column("vector").slice(lo, CHUNK).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-                q, i, s = scan(held, ids, queries, query_ids, floor, centre, turn, k, sure)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "id", "score"])
-
-        near = held.mapInArrow(work, "query_id long, id long, score double")
+        known = np.where(near_ids[:, None] == query_ids, -np.inf, near @ queries.T)
+        known = np.sort(known, axis=0)[-k] if len(near) >= k else np.full(len(part), -np.inf)
+        floor = known - 1e-9 * np.abs(known)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        found.append(stash(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest"))
+        for share in shares:
+            held = marked.where(F.pmod(F.xxhash64("id", F.lit("nest")), F.lit(share)) == 0).select("id", "vector")
+            block = spark.sparkContext.broadcast((query_ids, queries, floor))  # about BLOCK vectors
+
+            def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                query_ids, queries, floor = block.value
+                floor = floor.copy()
+                for table in _chunks(batches):
+                    ids, flat = table.column("id").to_numpy(), table.column("vector").combine_chunks().flatten().to_numpy()
+                    q, i, s = scan(flat.reshape(len(ids), -1), ids, queries, query_ids, floor, centre, turn, k, sure)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "id", "score"])
+
+            ranked = held.mapInArrow(work, "query_id long, id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            if share > 1:
+                best = {r[0]: r[1] for r in ranked.where(F.col("rank") == k).select("query_id", "score").collect()}  # a number a query
+                floor = np.maximum(floor, [best.get(int(q), -np.inf) for q in query_ids])
+            else:
+                found.append(stash(ranked, "nearest"))
     return found
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of about ``CHUNK``."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)

@@ -9,10 +9,14 @@ Where a merge could bring forth a pair of a smaller rank than its own, the libra
 pair first; such merges (``unsafe``) are made one occurrence a round, so the ids are always those
 of the library.
 
+Rounds would be many for a very long word. Those of more than ``LONG_WORD`` symbols are merged with a
+heap of pairs by (rank, place), the same order at n log n steps.
+
+A model whose text normalisation is not the one that ``words`` does is refused when it is read.
+
 Cases: a null text counts as empty; an empty text has no ids and decodes to nothing. Bytes of
-characters that the model doesn't know become byte pieces. Repeated rows get equal answers. Long
-words take many rounds but no more memory than their symbols. Input columns other than id and text
-are not carried.
+characters that the model doesn't know become byte pieces. Repeated rows get equal answers. Input
+columns other than id and text are not carried.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -32,6 +37,10 @@ from .shared import arrow_map
 MARK = "▁"
 #: Words whose ids a worker keeps; beyond that it forgets them all.
 KEPT_WORDS = 400_000
+#: Symbols of a word from which its merges are taken from a heap.
+LONG_WORD = 2_000
+#: Texts that tell whether a model normalises as ``words`` does.
+PROBES = ("", " ", "a", " a", "a ", "  a  b  ", "a\tb\n c\r", "A\u0301", "\u00c1", "\ufb01", "\uff21", "\u00a0x\u3000", "\u200bz", "\x00y", "\u2028", "\u00df\u0130", "\u1e9b\u0323", "\u2581b")
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -69,6 +78,9 @@ class Merges:
         self.names = np.array([str(i) for i in range(size)], object)
         self._forget()
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        flat, at = self.encode(list(PROBES))
+        if _lists(flat, at) != sp.encode(list(PROBES)):
+            raise ValueError(f"{model_file}: the model normalises texts in another way than by marks for spaces")
 
     def words(self, text: str) -> list[str]:
         if not text:
@@ -84,6 +96,50 @@ class Merges:
         return np.where(hit, self.rank[into], _NONE), into
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words one after the other, and the number of each word's symbols."""
+        large = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        if not large:
+            return self._rounds(words)
+        sym, sizes = self._rounds(["" if len(w) > LONG_WORD else w for w in words])
+        ends = np.cumsum(sizes)
+        made = [self._by_heap(words[k]) for k in large]
+        sizes[large] = [len(m) for m in made]
+        return np.insert(sym, np.repeat(ends[large], sizes[large]), np.concatenate(made)).astype(np.int32), sizes
+
+    def _by_heap(self, word: str) -> np.ndarray:
+        """Symbols of one word: always the pair of the smallest rank, the leftmost of equals."""
+        sym = np.array([self.symbols.get(c, -1 - ord(c)) for c in word], np.int32)
+        left, right = np.where(sym < 0, self.base, sym), np.where(sym < 0, self.base - 1, sym)
+        rank, into = self._look_up(left[:-1], right[1:])
+        known = np.flatnonzero((rank != _NONE) & (sym[:-1] >= 0) & (sym[1:] >= 0))
+        heap = [(int(rank[k]), int(k), int(into[k]), int(k) + 1) for k in known]
+        heapify(heap)
+        now, after, before = sym.tolist(), list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        table: dict[tuple[int, int], tuple[int, int] | None] = {}
+        while heap:
+            r, k, made, other = heappop(heap)
+            if now[k] is None or after[k] != other or other >= len(now) or now[other] is None or self._pair(now[k], now[other], table) != (r, made):
+                continue
+            now[k], now[other] = made, None
+            after[k] = after[other]
+            if after[k] < len(now):
+                before[after[k]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b < len(now) and (found := self._pair(now[a], now[b], table)) is not None:
+                    heappush(heap, (found[0], a, found[1], b))
+        return np.array([x for x in now if x is not None], np.int32)
+
+    def _pair(self, left: int, right: int, table: dict[tuple[int, int], tuple[int, int] | None]) -> tuple[int, int] | None:
+        """Rank and symbol of a pair, looked up once."""
+        if (left, right) not in table:
+            found = None
+            if left >= 0 and right >= 0:
+                rank, into = self._look_up(np.array([left]), np.array([right]))
+                found = (int(rank[0]), int(into[0])) if rank[0] != _NONE else None
+            table[left, right] = found
+        return table[left, right]
+
+    def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words one after the other, and the number of each word's symbols.
 
         Characters that no piece holds are -1 - code point.

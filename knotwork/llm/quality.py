@@ -23,6 +23,8 @@ from .shared import Segments, arrow_map, covered, gram_hashes, repeats_in_row, r
 
 #: Posterior probability of good from which a document is kept.
 KEEP_AT = 0.5
+#: Words below which the rule ``length`` votes bad.
+SHORT = 20
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 RULES = ("symbols", "capitals", "punctuation", "lines", "repeats", "word_length", "length", "digits")
 GOOD, BAD = 1, 2
@@ -89,7 +91,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         vote((m["n_dup_lines"] == 0) & (m["n_lines"] > 1), share("n_dup_lines", "n_lines") > 0.3),
         vote(100 * m["n_repeat_words"] <= 5 * words, 100 * m["n_repeat_words"] > 15 * words),
         vote((mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
-        vote(words >= 50, words < MIN_WORDS),
+        vote(words >= 50, words < SHORT),
         vote(share("n_digits", "word_chars") < 0.05, share("n_digits", "word_chars") > 0.2),
     )
     code = np.zeros(len(words), np.int64)
@@ -129,8 +131,6 @@ def estimate(counts: dict[int, int], rounds: int = 500) -> tuple[dict[int, float
         moved, post = np.abs(new - post).max(), new
         if moved < 1e-9:
             break
-    # abstentions alone are no evidence: what no rule votes bad is not rejected
-    post = np.where((cast == BAD).any(axis=1), post, np.maximum(post, KEEP_AT))
     return {int(c): float(p) for c, p in zip(codes, post, strict=True)}, odds, share
 
 

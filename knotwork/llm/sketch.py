@@ -6,10 +6,11 @@ more. The blocks of all partitions are merged by adding. What remains is one bit
 the merged count is at least two. A key whose cell is unset in any row occurs once at most; a
 key that occurs twice is never missed.
 
-The number of cells follows the expected number of keys, up to ``most``; so the bit maps, which are
-broadcast, have ``depth`` * 2**most / 8 bytes at most whatever the input (32 MB a row by default;
-executors with more memory can take more). Beyond that size
-more keys pass that occur once, and whoever uses the sketch must group exactly what passes.
+The number of cells follows the expected number of keys, so the share of single keys that pass does
+not grow with the input. Up to 2**``most`` cells (``MAX_LOG2``: 32 MB a row) the bit maps are
+broadcast by ``build``; a caller whose keys need more (``fits`` tells) asks ``repeated``, where
+nothing is broadcast: keys are sent to their cells' blocks and the answers come back by a join, in
+pieces of one slice and block each. A caller may also bound a sketch that merely orders keys.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, slices, small_batches
+from .shared import mix, release, slices, small_batches, stash
 
 BLOCK_BITS, MIN_LOG2, MAX_LOG2, ROWS = 16, 20, 28, 2
 #: Keys that a partition gathers before it emits their cells.
@@ -34,6 +35,11 @@ def log2_cells(expected: int, per_key: int = 4, most: int = MAX_LOG2) -> int:
     return int(min(most, max(MIN_LOG2, (max(expected, 1) * per_key - 1).bit_length())))
 
 
+def fits(expected: int, per_key: int = 4, most: int = MAX_LOG2) -> bool:
+    """Whether a sketch for so many keys may be broadcast."""
+    return log2_cells(expected, per_key, 63) <= most
+
+
 def cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
     return mix(keys ^ _SALT[row]) >> np.uint64(64 - log2)
 
@@ -77,7 +83,7 @@ def _emit(keys: np.ndarray, log2: int, depth: int) -> pa.RecordBatch:
             rows.append(row)
             blocks.append(int(block[a]))
             found.append(offset[a:b].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(found, pa.binary())], ["row", "block", "offsets"])
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int64()), pa.array(found, pa.binary())], ["row", "block", "offsets"])
 
 
 def _merge(limits: tuple[float, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -90,7 +96,7 @@ def _merge(limits: tuple[float, ...]) -> Callable[[Iterator[pa.RecordBatch]], It
         level = sum((count > x).astype(np.uint8) for x in limits)
         if key is not None and level.any():
             planes = b"".join(np.packbits((level >> k) & 1, bitorder="little").tobytes() for k in range(len(limits).bit_length()))
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([planes], pa.binary())], ["row", "block", "planes"])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([planes], pa.binary())], ["row", "block", "planes"])
 
     return run
 
@@ -117,13 +123,57 @@ def build(docs: DataFrame, text: str, expected: int, keys_of: Callable[[np.ndarr
         if n:
             yield _emit(np.concatenate(held), log2, depth)
 
-    parts = docs.select(text).mapInArrow(count, "row int, block int, offsets binary")
-    merged = parts.groupBy("row", "block").applyInArrow(_merge(limits), "row int, block int, planes binary")
+    parts = docs.select(text).mapInArrow(count, "row int, block long, offsets binary")
+    merged = parts.groupBy("row", "block").applyInArrow(_merge(limits), "row int, block long, planes binary")
     sketch = Sketch(log2, depth, limits)
     for r in merged.toLocalIterator():  # the bit planes' bytes, one partition at a time
         sketch.put(r["row"], r["block"], r["planes"])
     return sketch
 
 
+def repeated(keyed: DataFrame, expected: int, per_key: int = 4, depth: int = ROWS) -> DataFrame:
+    """(``slice``, ``hits``): places, as 32-bit integers, of the keys that may repeat among those of each
+    row (``slice``, ``keys``) of a stored table; ``keys`` are 64-bit hashes. Rows without a hit are missing.
+    """
+    log2 = log2_cells(expected, per_key, 63)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, raw in zip(batch.column("slice").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                keys, found = np.frombuffer(raw, "<u8"), []
+                for row in range(depth if len(keys) else 0):
+                    c = cells(keys, row, log2)
+                    order = np.argsort(c, kind="stable")
+                    block = (c[order] >> np.uint64(BLOCK_BITS)).astype(np.int64)
+                    at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                    low = (c[order] & np.uint64((1 << BLOCK_BITS) - 1)).astype("<u2")
+                    found += [(one, row, int(block[a]), low[a:b].tobytes(), order[a:b].astype("<u4").tobytes()) for a, b in zip(at, np.append(at[1:], len(c)), strict=True)]
+                if found:
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["slice", "row", "block", "offsets", "places"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for low, places, plane in zip(*(batch.column(c).to_pylist() for c in ("offsets", "places", "planes")), strict=True):
+                low = np.frombuffer(low, "<u2")
+                bit = (np.frombuffer(plane, np.uint8)[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                hits.append(np.frombuffer(places, "<u4")[bit].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(hits, pa.binary())], ["slice", "hits"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [np.flatnonzero(np.bincount(np.frombuffer(b"".join(x), "<u4")) == depth).astype("<u4").tobytes() for x in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(hits, pa.binary())], ["slice", "hits"])
+
+    parts = stash(keyed.mapInArrow(ask, "slice long, row int, block long, offsets binary, places binary"), "cells")
+    merged = parts.select("row", "block", "offsets").groupBy("row", "block").applyInArrow(_merge((1,)), "row int, block long, planes binary")
+    met = parts.join(merged, ["row", "block"]).mapInArrow(answer, "slice long, hits binary")
+    held = met.where(F.octet_length("hits") > 0).groupBy("slice").agg(F.collect_list("hits").alias("parts"))  # one slice's places
+    out = stash(held.mapInArrow(agree, "slice long, hits binary").where(F.octet_length("hits") > 0), "hits")
+    release(parts)
+    return out
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)

@@ -84,3 +84,8 @@ def test_boundary_follows_the_cost():
     assert boundary(2.0, 100, 700) == 700 and boundary(500.0, 90, 3) == 3
     b = boundary(8.0, 90, 10**6)
     assert subsets(b, 90) <= (b + 1 - least_shared(b, 90)) * 8.0 < subsets(b + 1, 90) + 8.0 * 99
+
+
+def test_clashing_columns_stay(spark):
+    d = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 7, 8), (3, "x", 9, 10), (3, "x", 9, 10)], "doc_id long, text string, _gone long, _twice long")
+    assert sorted(map(tuple, representatives(d).collect())) == [(1, "a b c d e f", 5, 6), (3, "x", 9, 10)]

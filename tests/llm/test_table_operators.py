@@ -1,17 +1,20 @@
 """Operators that relate rows: URL rules, shards, nearest vectors, substring windows, the pipeline."""
 
 import hashlib
+import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from knotwork.llm import onebit, sharding, substring, urlfilter
 from knotwork.llm.queries import URL_RULES
-from knotwork.llm.sketch import Sketch, cells
+from knotwork.llm.sketch import Sketch, cells, repeated
 
 from .common import frame, rows
 
@@ -135,32 +138,68 @@ def test_shards(spark):
     assert sharding.assign(frame(spark, []), 24).count() == 0
 
 
-def test_grown_shard_is_the_next_assignment(spark):
-    d = frame(spark, [(k, "a", "en", "s", 1, 1, None) for k in range(600)])
-    for n in (7, 24, 25):
-        now, then = sharding.assign(d, n), sharding.assign(d, n + 1)
-        met = now.select("doc_id", "grown_shard").join(then.select("doc_id", "shard"), "doc_id")
-        assert met.count() == 600 and met.where("grown_shard <> shard").count() == 0
-        moved = now.where("grown_shard <> shard").select("grown_shard").distinct().collect()
-        assert n < sharding.BASE or [r[0] for r in moved] == [n]
+def shard_brute(key, n, weights=None):
+    """The shard with the earliest time: every node's winning child has the node's time, the others come later."""
 
+    def draw(name, w):
+        h = xxhash.xxh64(name.encode(), seed=xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()).intdigest()
+        return -math.log((h % (1 << 52) + 0.5) / (1 << 52)) / w
 
-def test_shards_are_even_and_move_little(spark):
+    def weight(first, size):
+        return sum((weights or {}).get(s, 1.0) for s in range(first, first + size))
+
+    def times(kind, first, size, step, time):
+        places = [(s, f"{kind}{s // step}", weight(s, step)) for s in range(first, first + size, step)]
+        won = min(places, key=lambda p: draw(p[1], p[2]))[0]
+        return [(s, time if s == won else time + draw(f"{name}/later", w)) for s, name, w in places]
+
+    found = []
+    for region in range(0, n, sharding.REGION):
+        time = draw(f"region{region // sharding.REGION}", weight(region, sharding.REGION))
+        for rack, t in times("rack", region, sharding.REGION, sharding.RACK, time):
+            found += [(u, s) for s, u in times("shard", rack, sharding.RACK, 1, t) if s < n]
+    return min(found)[1]
+
+
+def test_shards_by_brute_force(spark):
+    d = spark.range(-20, 60).select(F.col("id").alias("k"))
+    for n, weights in ((1, {}), (3, {}), (4, {}), (7, {2: 3.0}), (12, {}), (13, {}), (21, {}), (24, {5: 0.5, 20: 4.0}), (25, {}), (31, {30: 2.0})):
+        for k, s in d.select("k", sharding.Tree(n, weights).shard(F.col("k"))).collect():
+            assert s == shard_brute(k, n, weights), (k, n)
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    every = d.select(*[sharding.Tree(n).shard(F.col("doc_id")).alias(f"s{n}") for n in range(1, 42)]).toPandas()
+    for n in range(1, 41):
+        now, then = every[f"s{n}"], every[f"s{n + 1}"]
+        assert set(then[now != then]) == {n} and set(now) == set(range(n))
+    for n in (7, 24):
+        out = sharding.assign(d, n).toPandas().sort_values("doc_id")
+        assert (out["shard"].to_numpy() == every[f"s{n}"]).all() and (out["grown_shard"].to_numpy() == every[f"s{n + 1}"]).all()
+
+
+def test_shards_are_even(spark):
     d = spark.range(60_000).select(F.col("id").alias("k"))
-    for n, base in ((24, 24), (25, 24), (26, 24), (30, 24)):
-        a = d.select("k", sharding.Tree.of(n, base).shard(F.col("k")).alias("a"), sharding.Tree.of(n + 1, base).shard(F.col("k")).alias("b"))
-        moved = a.where("a <> b").select("b").distinct().collect()
-        assert [r[0] for r in moved] == [n]
-        sizes = [r[0] for r in a.groupBy("a").count().select("count").collect()]
+    for n in (5, 24, 30):
+        sizes = [r[1] for r in d.groupBy(sharding.Tree(n).shard(F.col("k"))).count().collect()]
         assert len(sizes) == n and max(sizes) < 1.15 * 60_000 / n and min(sizes) > 0.85 * 60_000 / n
 
 
 def test_weights_move_rows_within_changed_subtrees(spark):
     d = spark.range(20_000).select(F.col("id").alias("k"))
-    plain, heavy = sharding.Tree.of(24), sharding.Tree.of(24, weights={5: 3.0})
-    a = d.select(plain.shard(F.col("k")).alias("a"), heavy.shard(F.col("k")).alias("b")).where("a <> b").collect()
+    a = d.select(sharding.Tree(24).shard(F.col("k")).alias("a"), sharding.Tree(24, {5: 3.0}).shard(F.col("k")).alias("b")).where("a <> b").collect()
     assert a and all(r["b"] // sharding.REGION == 0 for r in a)  # region 0 alone gained weight
     assert Counter(r["b"] for r in a).most_common(1)[0][0] == 5
+    with pytest.raises(ValueError, match="above 0"):
+        sharding.Tree(3, {1: 0.0})
+
+
+def test_shards_keep_clashing_columns(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a", 7, 8, 9), (2, "b", 7, 8, 9)], "doc_id long, text string, _bucket long, _own long, _shard long")
+    sharding.write(d, str(tmp_path / "out"), sharding.Tree(3))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*d.columns, "shard", "slot"} and {tuple(r) for r in back.select("_bucket", "_own", "_shard").collect()} == {(7, 8, 9)}
 
 
 def nearest_brute(data, k):
@@ -190,6 +229,23 @@ def test_nearest_vectors(spark):
     assert all(got[q] == want[q] for q in same)
 
 
+@pytest.mark.parametrize("rows", [1500, 6000])
+def test_nested_samples_bound_what_is_shuffled(spark, rows):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(rows, 16))
+    data = [(int(i) + 7, [float(x) for x in v]) for i, v in enumerate(base)]
+    out = onebit.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), (F.col("vec_id") % 200 == 0), k=5, step=4, sample=64).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    score, hit = base @ base.T, []
+    for q, near in got.items():
+        s = score[q - 7].copy()
+        s[q - 7] = -np.inf
+        hit.append(len(set(near) & set((np.argsort(-s)[:5] + 7).tolist())) / 5)
+    assert len(got) == sum(i % 200 == 0 for i, _ in data) and np.mean(hit) > 0.95
+
+
 def test_nearest_with_few_candidates(spark):
     data = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [1.0, 1.0])]
     out = onebit.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
@@ -238,14 +294,14 @@ def windows_brute(data, width):
     return gone
 
 
-@pytest.mark.parametrize(("seed", "width"), [(0, 50), (1, 4), (2, 2), (3, 12)])
-def test_windows(spark, seed, width):
+@pytest.mark.parametrize(("seed", "width", "most"), [(0, 50, 28), (2, 2, 28), (0, 50, 1), (3, 12, 1)])
+def test_windows(spark, seed, width, most):  # most = 1: the sketch stays a table
     rng = random.Random(seed)
     data = [(r[0], r[1]) for r in rows(seed) if r[0] is not None]
     passage = [" ".join(f"p{rng.randrange(50)}" for _ in range(80)) for _ in range(3)]
     data += [(3000 + k, f"{rng.choice(passage)} q{k} {rng.choice(passage)} r{k % 4} " + "a b " * 40) for k in range(40)]
     data.append((4000, "a b " * 300))
-    out = {r[0]: tuple(r)[1:] for r in substring.removed(spark.createDataFrame(data, "doc_id long, text string"), width).collect()}
+    out = {r[0]: tuple(r)[1:] for r in substring.removed(spark.createDataFrame(data, "doc_id long, text string"), width, most=most).collect()}
     assert out == windows_brute(data, width)
 
 
@@ -258,6 +314,30 @@ def test_windows_edges(spark):
     assert kept == {5: one, 9: "x"}
 
 
+def test_strip_keeps_other_bytes_and_clashing_columns(spark):
+    one = " ".join(f"w{k}" for k in range(60))
+    text = f"a\tb\n\n  c {one}\n\nd  e\x0b\u2003f\n"
+    d = spark.createDataFrame([(5, one, 1, 2, 3), (9, text, 4, 5, 6), (10, None, 7, 8, 9)], "doc_id long, text string, _key long, _spans long, _id long")
+    out = substring.strip(d)
+    assert out.columns == d.columns
+    assert {tuple(r) for r in out.collect()} == {(5, one, 1, 2, 3), (9, "a\tb\n\n  c d  e\x0b\u2003f\n", 4, 5, 6), (10, None, 7, 8, 9)}
+
+
+def test_marks_of_a_sketch_that_is_a_table(spark):
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 2**63, (40, 500), dtype=np.uint64)
+    keys[:, :30] = keys[0, :30]
+    keys[7, 40:60] = keys[3, 40:60]
+    table = spark.createDataFrame([(k, bytearray(row.tobytes())) for k, row in enumerate(keys)], "slice long, keys binary")
+    found = {r["slice"]: np.frombuffer(r["hits"], "<u4") for r in repeated(table, keys.size).collect()}
+    passed = 0
+    for k in range(40):
+        want = {*range(30), *(range(40, 60) if k in (3, 7) else ())}
+        assert want <= set(found[k].tolist())
+        passed += len(found[k]) - len(want)
+    assert passed < 0.02 * keys.size
+
+
 def test_sketch_misses_no_repeat():
     rng = np.random.default_rng(5)
     keys = rng.integers(0, 2**63, 30_000, dtype=np.uint64)

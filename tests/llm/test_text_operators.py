@@ -59,6 +59,49 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert kept == {r[0] for r in quality.quality(d).where("kept").select("doc_id").collect()}
 
 
+def brute_verdicts(texts):
+    """Every document's posterior of good by expectation-maximisation over documents, not patterns."""
+    cast = []
+    for t in texts:
+        t = t or ""
+        n, chars, symbols, twice, again = brute_counts(t)
+        letters, upper = len(re.findall("[A-Za-z]", t)), len(re.findall("[A-Z]", t))
+        marks, digits = len([c for c in t if "!" <= c <= "~" and not c.isalnum()]), len(re.findall("[0-9]", t))
+        lines = len([x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        share, mean = (lambda a, b: a / max(b, 1)), chars / max(n, 1)
+        pairs = [
+            (share(symbols, n) <= 0.05, share(symbols, n) > 0.3), (letters > 0 and share(upper, letters) < 0.2, share(upper, letters) > 0.4),
+            (share(marks, chars) < 0.08, share(marks, chars) > 0.16), (twice == 0 and lines > 1, share(twice, lines) > 0.3),
+            (100 * again <= 5 * n, 100 * again > 15 * n), (3 <= mean <= 10, mean < 2.5 or mean > 14), (n >= 50, n < 20), (share(digits, chars) < 0.05, share(digits, chars) > 0.2),
+        ]
+        cast.append([2 if bad else 1 if good else 0 for good, bad in pairs])
+    post = [1 / (1 + np.exp(3 * v.count(2) - 2.0)) for v in cast]
+    for _ in range(500):
+        odds = [[[0.5] * 3 for _ in range(8)] for _ in range(2)]
+        for v, p in zip(cast, post, strict=True):
+            for k, x in enumerate(v):
+                odds[0][k][x] += p
+                odds[1][k][x] += 1 - p
+        odds = [[[x / sum(r) for x in r] for r in side] for side in odds]
+        share = (sum(post) + 1) / (len(post) + 2)
+        new = [1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + sum(np.log(odds[0][k][x] / odds[1][k][x]) for k, x in enumerate(v)), -500, 500))) for v in cast]
+        moved, post = max(abs(a - b) for a, b in zip(new, post, strict=True)), new
+        if moved < 1e-9:
+            break
+    return post
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = d.select("doc_id", "text").collect()
+    post = dict(zip([r[0] for r in rows], brute_verdicts([r[1] for r in rows]), strict=True))
+    out = quality.quality(d).collect()
+    assert len(out) == len(rows) and {r["kept"] for r in out} == {True, False}
+    for r in out:
+        assert abs(r["posterior"] - post[r["doc_id"]]) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and post[r["doc_id"]] >= 0.5)
+
+
 def test_em_finds_a_rule_that_is_never_wrong():
     rng = np.random.default_rng(0)
     good = rng.uniform(size=4000) < 0.8
@@ -110,6 +153,29 @@ def test_network_matches_a_plain_convolution():
     assert np.allclose(net.probabilities(window, net.pairs()), want, atol=1e-5)
 
 
+def test_language_of_whole_documents_by_brute_force(spark):
+    d = frame(spark, rows(1))
+    net = langid.fit(d)
+    out = {r["doc_id"]: r for r in langid.predict(d, net).collect()}
+    for i, text in {r[0]: r[1] for r in rows(1)}.items():
+        raw = (text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            continue
+        total = np.zeros(len(net.langs))
+        for a in range(0, len(raw), net.window):
+            part = raw[a : a + net.window]
+            codes = [langid._CLASS[b] for b in part] + [0] * (net.window - len(part) + 4)
+            pooled = [max(sum(t[k][codes[p + k]][f] for k in range(len(t))) for p in range(net.window)) for t in net.tables for f in range(t.shape[2])] if len(raw) < 600 else None
+            if pooled is None:
+                break
+            logits = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+            e = np.exp(logits - logits.max())
+            total += e / e.sum() * len(part)
+        else:
+            want = total / len(raw)
+            assert out[i]["lang_pred"] == net.langs[int(want.argmax())] and abs(out[i]["score"] - want.max()) < 1e-4
+
+
 def test_byte_ids_are_the_librarys():
     coder = byte_bpe(BYTE)
     rng = random.Random(0)
@@ -207,6 +273,19 @@ def test_piece_ids_are_the_librarys():
     assert piece_bpe.encode(made, PIECE) == coder.library.encode(made)
 
 
+def test_long_words_have_the_librarys_ids():
+    coder, rng = piece_bpe.merges(PIECE), random.Random(3)
+    made = ["".join(rng.choice("aabeinst") for _ in range(n)) for n in (2001, 2500, 9000)] + ["the" * 3000, "中é𝄞a" * 900, "x" * 4001]
+    made = [f"one {w} two {w[:1990]}" for w in made] + ["".join(made)]
+    assert piece_bpe.encode(made, PIECE) == coder.library.encode(made)
+
+
+def test_another_normaliser_is_refused(monkeypatch):
+    monkeypatch.setattr(piece_bpe.Merges, "words", lambda self, text: [piece_bpe.MARK + text.lower()] if text else [])
+    with pytest.raises(ValueError, match="normalises"):
+        piece_bpe.Merges(PIECE)
+
+
 def test_piece_digests(spark):
     data = rows(4, 25)
     library = piece_bpe.merges(PIECE).library
