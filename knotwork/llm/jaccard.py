@@ -270,14 +270,15 @@ def _links(lists: DataFrame, sets: DataFrame, first: DataFrame, percent: int) ->
     release(theirs)
     # no more shingles are common than both lack, or have beyond the hub, among these
     room = theirs2.groupBy("hub", "class").agg(F.count(F.when(~F.col("more"), 1)).alias("lacks"), F.count(F.when(F.col("more"), 1)).alias("adds"))
-    room = stash(around.select("hub", "class", "n", "m", "apart", "label").join(room, ["hub", "class"]), "room")
-    release(around)
-    x = theirs2.select("hub", "class", "element").join(out.select("hub", "class"), ["hub", "class"], "left_semi").join(room, ["hub", "class"])
-    y = theirs2.select("hub", "class", "element").join(room, ["hub", "class"]).select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in ("class", "n", "m", "apart", "label", "lacks", "adds")])
-    met = x.join(y, ["hub", "element"]).where((F.col("label") != F.col("y_label")) & links(F.least("lacks", "y_lacks") + F.least("adds", "y_adds")))
+    room = around.join(main, "hub").select("hub", "class", "n", "m", "apart", "label", (F.col("label") != F.col("main")).alias("outside")).join(room, ["hub", "class"])
+    room = stash(room, "room")
+    each = stash(theirs2.select("hub", "class", "element").join(room, ["hub", "class"]), "each")
+    release(theirs2, room)
+    y = each.select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in ("class", "n", "m", "apart", "label", "lacks", "adds")])
+    met = each.where("outside").join(y, ["hub", "element"]).where((F.col("label") != F.col("y_label")) & links(F.least("lacks", "y_lacks") + F.least("adds", "y_adds")))
     met = met.groupBy("hub", "class", "y_class", "n", "m", "apart", "y_n", "y_m", "y_apart").agg(F.count(F.lit(1)).alias("common"))
     met = stash(met.where(links(F.col("common"))).select(F.col("class").alias("a"), F.col("y_class").alias("b")), "met")
-    release(theirs2, room, out)
+    release(each, out, around)
     # pairs of which one is far from the hub: neither links with it
     state = done.select(F.col("a").alias("hub"), F.col("b").alias("class"), "link", F.col("differ").isNotNull().alias("near"))
     away = held.join(state, ["hub", "class"], "left").where("link is null or not link")

@@ -26,6 +26,8 @@ from ..session import ensure_importable
 SLICE_BYTES = 1 << 19
 #: Rows in one Arrow batch sent to Python. Texts are long, so the default of 10,000 is lowered.
 BATCH_ROWS = 1024
+#: Bytes from which a batch is sent with fewer rows.
+BATCH_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -82,11 +84,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Before Python work: workers find this package, and an Arrow batch has ``BATCH_ROWS`` rows at most."""
+    """Before Python work: workers find this package, and an Arrow batch has ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at most."""
     ensure_importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
