@@ -48,6 +48,20 @@ class PropHaz(Model):
             rows.unpersist()
         return self
 
+    def at(self, df: DataFrame, coef: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Partial log-likelihood, gradient and Hessian at given coefficients, which become the model's."""
+        f, coef = self.formula, np.asarray(coef, float)
+        self.designs = [spec.build(df, f, enc.learn(df, f.variables(), f.as_factor, f.codebook))]
+        rows = self._rows(df).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            spec.settle(self.designs[0], rows)
+            llk, grad, hess = self.evaluate(rows, coef)
+            lvi = np.linalg.pinv(np.linalg.cholesky(-hess + 1e-12 * np.eye(len(coef))))
+            self.fitted = S.Fit(coef, lvi, 1.0, float(len(coef)), [], [], -hess, llk=llk, n=rows.count())
+        finally:
+            rows.unpersist()
+        return llk, grad, hess
+
     def _before(self, rows: DataFrame, coef: np.ndarray) -> list[tuple[float, float, np.ndarray]]:
         """(smallest time, risk sum, weighted covariates) of each partition, latest times first."""
         design, p = self.designs[0], len(coef)
@@ -136,7 +150,7 @@ class PropHaz(Model):
 
         design = self.designs[0]
         penalties, coef = design.penalties(lam=lam), np.zeros(design.n_coef)
-        last = None
+        last, control = None, S.StepControl(penalties)
         for k in range(outer):
             s = S.total(penalties, len(coef))
             old, before = None, -np.inf
@@ -156,7 +170,10 @@ class PropHaz(Model):
                 llk, _, hess = self.evaluate(rows, coef)
             lvi, _ = inverse_factor(-hess + s)
             edf, each = S.edf_of(penalties, lvi.T @ lvi, -hess)
-            moved = S.step_lambda(penalties, lvi.T @ lvi, coef, 1.0, 1.3 if k > 2 else 1.0) if penalties else 0.0
+            if penalties and k and not control.judge(lvi.T @ lvi, coef, 1.0):
+                last = edf
+                continue
+            moved = control.step(lvi.T @ lvi, coef, 1.0) if penalties else 0.0
             if moved < 1e-6 or (last is not None and abs(edf - last) < 1e-3):
                 break
             last = edf

@@ -233,6 +233,13 @@ class Joint(Model):
             rows.unpersist()
         return self
 
+    def at(self, df: DataFrame, coef: np.ndarray) -> tuple[float, np.ndarray, np.ndarray | None]:
+        """Log-likelihood, gradient and Hessian at given coefficients."""
+        rows = self._prepare(df)
+        for d in self.designs:
+            spec.settle(d, rows)
+        return self.local(rows, np.asarray(coef, float))
+
     def _start(self, rows: DataFrame) -> np.ndarray:
         return np.zeros(self.splits[-1] + self.family.extra)
 
@@ -248,7 +255,7 @@ class Joint(Model):
             if np.isfinite(self.llks(rows, [coef])[0]):
                 break
             coef = np.random.default_rng(attempt).normal(0, 0.3, p)
-        alive, checked = np.ones(p, bool), quasi
+        alive, checked, control = np.ones(p, bool), quasi, S.StepControl(penalties)
         for k in range(outer):
             s = S.total(penalties, p)
             value, settled, stuck = None, quasi, False
@@ -294,14 +301,14 @@ class Joint(Model):
             if callback is not None:
                 callback(k, llk, coef)
             last.append(llk - 0.5 * float(coef @ s @ coef))
-            moved = 0.0
+            moved, stands = 0.0, True
             edfs.append(S.edf_of(penalties, cov, h)[0])
-            if penalties and not fixed:
-                damp = 1.5 if 2 < k < 50 else 1.0 if k < 50 else 0.9 ** (k - 50)
-                moved = S.step_lambda(penalties, cov, coef, 1.0, boost=max(damp, 0.05))
+            if penalties and not fixed:  # a move of the lambdas that went too far is halved and tried again
+                stands = k == 0 or control.judge(cov, coef, 1.0)
+                moved = control.step(cov, coef, 1.0) if stands else np.inf
             # lambdas that grow without end move nothing but themselves
             still = len(last) > 2 and abs(edfs[-1] - edfs[-2]) < 1e-3 and abs(last[-1] - last[-2]) < 10 * tol * abs(last[-1])
-            ended = not penalties or fixed or moved < 1e-6 or still
+            ended = not penalties or fixed or moved < 1e-6 or (stands and still)
             if ended and (settled or stuck):
                 break
         s = S.total(penalties, p)

@@ -72,19 +72,64 @@ def traces(penalties: list[Penalty], cov: np.ndarray, coef: np.ndarray) -> tuple
     return lgdet, ldet, bsb, logdet, rank
 
 
+def reml_gradient(penalties: list[Penalty], cov: np.ndarray, coef: np.ndarray, scale: float) -> np.ndarray:
+    """Slope of the restricted likelihood in the log of each lambda, one for each that is shared."""
+    lgdet, ldet, bsb, _, _ = traces(penalties, cov, coef)
+    each = np.array([t.lam for t in penalties]) * 0.5 * (lgdet - ldet - bsb / scale)
+    return np.array([each[members].sum() for members in merged(penalties)])
+
+
+def get_logs(penalties: list[Penalty]) -> np.ndarray:
+    """Logs of the lambdas, one for each that is shared."""
+    return np.log([penalties[members[0]].lam for members in merged(penalties)])
+
+
+def set_logs(penalties: list[Penalty], rho: np.ndarray) -> None:
+    for members, r in zip(merged(penalties), rho, strict=True):
+        for k in members:
+            penalties[k].lam = float(np.clip(np.exp(r), LOW, HIGH))
+
+
 def step_lambda(penalties: list[Penalty], cov: np.ndarray, coef: np.ndarray, scale: float, boost: float = 1.0) -> float:
     """One Fellner-Schall update of all lambdas; returns the largest change of a log lambda."""
     lgdet, ldet, bsb, _, _ = traces(penalties, cov, coef)
-    moved = 0.0
-    for members in merged(penalties):
+    old, new = get_logs(penalties), []
+    for members, before in zip(merged(penalties), old, strict=True):
         up, down = sum(max(0.0, lgdet[k] - ldet[k]) for k in members), sum(max(0.0, bsb[k]) for k in members)
-        old = penalties[members[0]].lam
-        ratio = scale * up / down if down > 0 else HIGH / old
-        new = float(np.clip(old * max(ratio, 1e-300) ** boost, LOW, HIGH))
-        for k in members:
-            penalties[k].lam = new
-        moved = max(moved, abs(np.log(new) - np.log(old)))
-    return moved
+        ratio = scale * up / down if down > 0 else HIGH / np.exp(before)
+        new.append(before + boost * np.log(max(ratio, 1e-300)))
+    set_logs(penalties, np.array(new))
+    return float(np.abs(get_logs(penalties) - old).max(initial=0.0))
+
+
+class StepControl:
+    """Judges each move of the log lambdas by the restricted likelihood's slope at its end.
+
+    A move against that slope went beyond the best point along it and is halved, at most ``most`` times;
+    after one that the slope confirms the next is lengthened.
+    """
+
+    def __init__(self, penalties: list[Penalty], most: int = 6) -> None:
+        self.penalties, self.most = penalties, most
+        self.before, self.boost, self.halved = get_logs(penalties), 1.0, 0
+
+    def judge(self, cov: np.ndarray, coef: np.ndarray, scale: float) -> bool:
+        """Whether the last move stands; if not, it has been halved and is to be tried again."""
+        move = get_logs(self.penalties) - self.before
+        slope = reml_gradient(self.penalties, cov, coef, scale)
+        gain = float(slope @ move)
+        if gain < -1e-9 and self.halved < self.most:
+            self.halved += 1
+            self.boost = 1.0
+            set_logs(self.penalties, self.before + move / 2)
+            return False
+        self.boost = min(self.boost * 1.25, 2.0) if gain > 0 and not self.halved and np.abs(move).max(initial=0) > 0 else 1.0
+        self.halved = 0
+        return True
+
+    def step(self, cov: np.ndarray, coef: np.ndarray, scale: float) -> float:
+        self.before = get_logs(self.penalties)
+        return step_lambda(self.penalties, cov, coef, scale, self.boost)
 
 
 def reml(llk: float, hessian: np.ndarray, coef: np.ndarray, scale: float, penalties: list[Penalty]) -> float:
@@ -114,33 +159,29 @@ def solve(a: np.ndarray, b: np.ndarray, yy: float, n: float, penalties: list[Pen
     """Coefficients and lambdas of a penalised least-squares problem from its cross products.
 
     ``scale`` None: it is estimated. ``fixed``: lambdas stay. Columns without data get coefficient 0.
-    An update that goes on in the same direction is lengthened while the criterion allows it.
+    Every step of the lambdas is judged by ``StepControl``.
     """
     p = len(b)
     dead = np.diag(a) <= 0
     guard = np.diag(np.where(dead, 1.0, 0.0)) * max(np.trace(a) / max(p, 1), 1.0)
-    coef, previous, boost, phi = np.zeros(p), None, 1.0, scale or 1.0
-    for k in range(most):
+    phi, control = scale or 1.0, StepControl(penalties)
+
+    def at() -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray, float]:
         lvi, _ = inverse_factor(a + total(penalties, p) + guard)
         cov = lvi.T @ lvi
         coef = cov @ b
         coef[dead] = 0.0
         edf, each = edf_of(penalties, cov, a)
         rss = max(yy - 2 * float(coef @ b) + float(coef @ a @ coef), 1e-300)
-        phi = scale or rss / max(n - edf, 1.0)
-        criterion = rss / phi + (n * np.log(phi) if scale is None else 0.0)
-        if fixed or not penalties:
-            return Fit(coef, lvi, phi, edf, term_edf(each, penalties), penalties, a, n=int(n), converged=True, iterations=k + 1)
-        moved = step_lambda(penalties, cov, coef, phi, boost)
-        boost = min(boost * 1.25, 2.0) if previous is not None and moved < previous else 1.0
-        change = abs(moved)
-        previous = moved
-        if change < tol or (k > 3 and change < 1e-5 and np.isfinite(criterion)):
-            break
-    lvi, _ = inverse_factor(a + total(penalties, p) + guard)
-    cov = lvi.T @ lvi
-    coef = cov @ b
-    coef[dead] = 0.0
-    edf, each = edf_of(penalties, cov, a)
-    rss = max(yy - 2 * float(coef @ b) + float(coef @ a @ coef), 1e-300)
-    return Fit(coef, lvi, scale or rss / max(n - edf, 1.0), edf, term_edf(each, penalties), penalties, a, n=int(n), converged=k + 1 < most, iterations=k + 1)
+        return lvi, cov, coef, edf, each, scale or rss / max(n - edf, 1.0)
+
+    lvi, cov, coef, edf, each, phi = at()
+    done, k = fixed or not penalties, 0
+    while not done and k < most:
+        k += 1
+        moved = control.step(cov, coef, phi)
+        lvi, cov, coef, edf, each, phi = at()
+        while not control.judge(cov, coef, phi):
+            lvi, cov, coef, edf, each, phi = at()
+        done = moved < tol or (k > 3 and moved < 1e-5)
+    return Fit(coef, lvi, phi, edf, term_edf(each, penalties), penalties, a, n=int(n), converged=bool(done), iterations=max(k, 1))

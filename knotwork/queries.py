@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,35 +14,14 @@ from .functions.basis import bspline_columns, tensor_columns, truncated_power
 from .functions.links import LOG, Identity, LOGb, Logit
 from .operators import encode as enc
 from .operators.cluster import bin_counts, bin_edges, cluster_series
-from .operators.partials import cross_pairs
+from .operators.partials import Block, cross_pairs, gather
 from .plans import inference
 from .plans.gamm import GAMM
 from .plans.hazard import PropHaz, cumulative_hazard, next_time
 from .plans.hsmm import HSMM, HSMMFamily
 from .plans.joint import GAMMLSS, GSMM, Adapter, MultiGauss
 from .plans.terms import Formula, f, fs, i, irf, l, lhs, li, ri, rs
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(g: Query) -> Query:
-        QUERIES[g.__name__] = g
-        if sql is not None:
-            SQL[g.__name__] = sql
-        return g
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def frame(spark: SparkSession, pdf: pd.DataFrame) -> DataFrame:
-    return spark.createDataFrame(pdf)
+from .registry import QUERIES, SQL, frame, query, table
 
 
 def smooth_response() -> Column:
@@ -188,10 +166,16 @@ def deviances(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with d as (select case when event_type = 'error' then 1.0 else 0.0 end as y, 0.1 + value / 1000.0 as mu from events)
 select round(avg((y - mu)/(mu*(1-mu)) + ln(mu/(1-mu))), 5) as z, round(avg(mu*(1-mu)), 6) as w, round(avg(mu*(1-mu)*((y - mu)/(mu*(1-mu)) + ln(mu/(1-mu)))), 5) as wz from d""")
 def pirls_step(spark: SparkSession, sf: str) -> DataFrame:
-    g = fam.Binomial()
+    """The working response and weight that ``Binomial`` gives a weighted step."""
     y, mu = F.when(F.col("event_type") == "error", 1.0).otherwise(0.0), 0.1 + F.col("value") / 1000.0
-    z, w = g.link.dy1(mu) * (y - mu) + g.link.f(mu), 1 / (g.link.dy1(mu) * g.link.dy1(mu) * g.V(mu))
-    return table(spark, sf, "events").agg(F.round(F.avg(z), 5).alias("z"), F.round(F.avg(w), 6).alias("w"), F.round(F.avg(w * z), 5).alias("wz"))
+    g = fam.Binomial()
+
+    def work(v: Block) -> dict[str, list[float]]:
+        z, w = g.working(v["y"], g.link.f(v["mu"]))
+        return {"sums": [float(z.sum()), float(w.sum()), float((w * z).sum()), len(z)]}
+
+    z, w, wz, n = gather(table(spark, sf, "events").select(y.alias("y"), mu.alias("mu")), work, {"sums": (4,)})["sums"]
+    return frame(spark, pd.DataFrame([{"z": z / n, "w": w / n, "wz": wz / n}])).select(F.round("z", 5).alias("z"), F.round("w", 6).alias("w"), F.round("wz", 5).alias("wz"))
 
 
 @query("""with d as (select event_type, value, lag(value) over (partition by user_id order by ts, event_id) as p from events)
@@ -248,23 +232,21 @@ def survival_asof(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with d as (select case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end as y, value / 245 - 1 as x from events),
 e as (select y, x, ln(1 + exp(0.2*x) + exp(0.4*x) + exp(0.6*x) + exp(0.8*x)) as z from d) select round(avg(0.2 * y * x - z), 6) as llk from e""")
 def softmax_llk(spark: SparkSession, sf: str) -> DataFrame:
-    classes = ["click", "error", "purchase", "signup"]
-    y = F.lit(4)
-    for k, c in enumerate(classes):
-        y = F.when(F.col("event_type") == c, k).otherwise(y)
-    x = F.col("value") / 245 - 1
-    z = F.lit(1.0)
-    for k in range(1, 5):
-        z = z + F.exp(0.2 * k * x)
-    return table(spark, sf, "events").agg(F.round(F.avg(0.2 * y * x - F.log(z)), 6).alias("llk"))
+    y, family = F.lit(4.0), fam.MULNOMLSS(4)
+    for k, c in enumerate(["click", "error", "purchase", "signup"]):
+        y = F.when(F.col("event_type") == c, float(k)).otherwise(y)
+    rows = table(spark, sf, "events").select(y.alias("y"), (F.col("value") / 245 - 1).alias("x"))
+    total, n = gather(rows, lambda v: {"sums": [family.llk(v["y"], *(0.2 * k * v["x"] for k in range(1, 5))), len(v["y"])]}, {"sums": (2,)})["sums"]
+    return frame(spark, pd.DataFrame([{"llk": total / n}])).select(F.round("llk", 6).alias("llk"))
 
 
 @query("select round(avg(ln(0.05) + ln(2.0) - 0.5*(power(0.05*(l_quantity-25) + 0.3*(l_discount-0.05)*20, 2) + power(2*(l_discount-0.05)*20, 2))), 6) as llk from lineitem")
 def mvn_llk(spark: SparkSession, sf: str) -> DataFrame:
-    r = np.array([[0.05, 0.3], [0.0, 2.0]])
-    e = [F.col("l_quantity") - 25, (F.col("l_discount") - 0.05) * 20]
-    u = [sum((float(r[a, b]) * e[b] for b in range(a, 2)), F.lit(0.0)) for a in range(2)]
-    return table(spark, sf, "lineitem").agg(F.round(F.avg(F.lit(float(np.log(np.diag(r)).sum())) - 0.5 * (u[0] * u[0] + u[1] * u[1])), 6).alias("llk"))
+    family = MultiGauss(2, [Identity(), Identity()])
+    coef, one = np.array([25.0, 1.0, math.log(0.05), 0.3, math.log(2.0)]), lambda v: [np.ones((len(v["a"]), 1))] * 2
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_discount") * 20).alias("b"))
+    total, n = gather(rows, lambda v: {"sums": [family.llk(coef, [0, 1, 2], [v["a"], v["b"]], one(v)), len(v["a"])]}, {"sums": (2,)})["sums"]
+    return frame(spark, pd.DataFrame([{"llk": total / n}])).select(F.round("llk", 6).alias("llk"))
 
 
 @query("select user_id, 'value' as variable, cast(least(floor((value - (select min(value) from events)) / (((select max(value) from events) - (select min(value) from events)) / 8)), 7) as integer) as bin, count(*) as n from events group by 1, 2, 3")
@@ -476,5 +458,8 @@ def series_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return cluster_series(d, "user_id", bin_edges(d, ["value"], {"value": 6}), k=5, restarts=2)[0]
 
 
+from . import closed_forms  # noqa: E402, F401  registers its queries
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return gamm_gaussian(spark, "/root/testdata/sf0.001")
