@@ -17,6 +17,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.families import ExtendedFamily, Family, GAMLSSFamily
 from ..functions.linalg import dependent_columns, inverse_factor
+from ..functions.quasi import LimitedMemory, lbfgs, sampled_pairs
 from ..operators import encode as enc
 from ..operators.partials import Block, columns, gather
 from ..session import ensure_importable
@@ -216,11 +217,13 @@ class Joint(Model):
         return float(got["llk"][0]), got["grad"], (got["hess"] + got["hess"].T) / 2 if second else None
 
     # fitting ----------------------------------------------------------------------------------------
-    def fit(self, df: DataFrame, max_outer: int = 100, max_inner: int = 20, conv_tol: float = 1e-7, lam: float = 10.0, init_coef: np.ndarray | None = None, method: str = "Newton", fixed_lam: bool = False, extra_penalties: Sequence[Penalty] = (), callback: Callable[[int, float, np.ndarray], None] | None = None) -> Joint:
+    def fit(self, df: DataFrame, max_outer: int = 100, max_inner: int = 20, conv_tol: float = 1e-7, lam: float = 10.0, init_coef: np.ndarray | None = None, method: str = "Newton", fixed_lam: bool = False, extra_penalties: Sequence[Penalty] = (), callback: Callable[[int, float, np.ndarray], None] | None = None, memory: int = 30, sample: bool = False, prefit: int = 0) -> Joint:
         """Newton steps on all coefficients inside, Fellner-Schall steps on all lambdas outside.
 
-        ``method`` "qEFS" replaces the Hessian by a quasi-Newton approximation from gradients: damped
-        BFGS updates, or with "SR1" symmetric rank-one updates where they are well defined. Start
+        ``method`` "qEFS" replaces the Hessian by a limited-memory approximation from the last ``memory``
+        gradient differences: damped BFGS updates, or with "SR1" symmetric rank-one updates where they
+        are well defined; "L-BFGS" maximises by two-loop steps first, "Grad" takes gradient steps. ``sample`` adds pairs
+        along random directions before each update of the lambdas. ``prefit`` gradient steps come first. Start
         values without a finite likelihood are drawn anew; coefficients that the data and the penalties
         can't tell apart from others stay 0 (``dropped``).
         """
@@ -228,7 +231,10 @@ class Joint(Model):
         try:
             for d in self.designs:
                 spec.settle(d, rows)
-            self._fit(rows, max_outer, max_inner, conv_tol, lam, init_coef, method, fixed_lam, list(extra_penalties), callback)
+            if prefit:
+                self._fit(rows, 1, prefit, conv_tol, lam, init_coef, "Grad", True, list(extra_penalties), None, memory, False)
+                init_coef = self.fitted.coef
+            self._fit(rows, max_outer, max_inner, conv_tol, lam, init_coef, method, fixed_lam, list(extra_penalties), callback, memory, sample)
         finally:
             rows.unpersist()
         return self
@@ -243,14 +249,16 @@ class Joint(Model):
     def _start(self, rows: DataFrame) -> np.ndarray:
         return np.zeros(self.splits[-1] + self.family.extra)
 
-    def _fit(self, rows: DataFrame, outer: int, inner: int, tol: float, lam: float, coef: np.ndarray | None, method: str, fixed: bool, extra: list[Penalty], callback: Callable | None) -> None:
+    def _fit(self, rows: DataFrame, outer: int, inner: int, tol: float, lam: float, coef: np.ndarray | None, method: str, fixed: bool, extra: list[Penalty], callback: Callable | None, memory: int = 30, sampled: bool = False) -> None:
         splits = self.splits
         penalties = [p for d, at in zip(self.designs, splits, strict=False) for p in d.penalties(at, lam)] + extra
         if coef is None:
             coef = self.family.init_coef(splits)
         coef = self._start(rows) if coef is None else np.array(coef, float)
         p, approx, last, edfs = len(coef), None, [], []
-        quasi, update = method in ("qEFS", "SR1"), _sr1 if method == "SR1" else _damped
+        if method not in ("Newton", "qEFS", "SR1", "Grad", "L-BFGS"):
+            raise ValueError(f"unknown method {method!r}")
+        quasi = method != "Newton"
         for attempt in range(8):
             if np.isfinite(self.llks(rows, [coef])[0]):
                 break
@@ -259,20 +267,23 @@ class Joint(Model):
         for k in range(outer):
             s = S.total(penalties, p)
             value, settled, stuck = None, quasi, False
+            if method == "L-BFGS":  # its pairs serve the approximation as well
+                coef = self._lbfgs(rows, coef, s, inner, tol)
             for step in range(inner):
                 llk, grad, hess = self.local(rows, coef, second=not quasi)
-                if quasi:
-                    if approx is None:
-                        approx = np.eye(p) * max(1.0, float(np.abs(grad).max()))
-                    hess = -approx
+                if quasi and (approx is None or method == "Grad"):
+                    approx = LimitedMemory(p, "SR1" if method == "SR1" else "BFGS", memory, max(1.0, float(np.abs(grad).max())))
                 slope = grad - s @ coef
                 value = llk - 0.5 * float(coef @ s @ coef)
                 if not checked:
                     checked, alive = True, self._identified(rows, s, grad, hess)
                     coef = np.where(alive, coef, 0.0)
-                lvi, _ = inverse_factor((-hess + s)[np.ix_(alive, alive)])
                 direction = np.zeros(p)
-                direction[alive] = lvi.T @ (lvi @ slope[alive])
+                if quasi:
+                    direction = approx.solver(_blocks(penalties))(slope)
+                else:
+                    lvi, _ = inverse_factor((-hess + s)[np.ix_(alive, alive)])
+                    direction[alive] = lvi.T @ (lvi @ slope[alive])
                 trials = [coef + t * direction for t in STEPS]
                 found = self.llks(rows, trials) - np.array([0.5 * float(c @ s @ c) for c in trials])
                 good = np.flatnonzero(found > value - 1e-12 * abs(value))
@@ -286,14 +297,19 @@ class Joint(Model):
                 new = trials[best]
                 if quasi:
                     after = self.local(rows, new, second=False)[1]
-                    approx = update(approx, new - coef, grad - after)
+                    approx.add(new - coef, grad - after)
                 gain, coef = found[best] - value, new
                 value = found[best]
                 if gain < tol * max(1.0, abs(value)):
                     settled = True
                     break
             llk, grad, hess = self.local(rows, coef, second=not quasi)
-            hess = -approx if quasi and approx is not None else hess
+            if quasi:
+                approx = approx or LimitedMemory(p, "BFGS", memory, max(1.0, float(np.abs(grad).max())))
+                if sampled:
+                    for pair in sampled_pairs(lambda cs: self.gradients(rows, cs), coef, approx.solver(_blocks(penalties)), min(memory, 2 * p)):
+                        approx.add(*pair)
+                hess = -approx.dense()
             h = np.where(np.outer(alive, alive), -hess, 0.0)
             guard = np.diag(np.where(alive, 0.0, 1e12))
             lvi, _ = inverse_factor(h + s + guard)
@@ -319,6 +335,25 @@ class Joint(Model):
         self.fitted = S.Fit(coef, lvi, 1.0, edf, S.term_edf(each, penalties), penalties, h, llk=llk, n=rows.count(), converged=bool(ended and settled), iterations=k + 1)
         self.fitted.reml = S.reml(llk, h, coef, 1.0, penalties)
 
+    def gradients(self, rows: DataFrame, coefs: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """Gradients at several coefficients; one pass where the family has a gradient."""
+        family, splits, parts, p = self.family, self.splits, self._parts, len(coefs[0])
+        if family.gradient is None:
+            return [self.local(rows, c, second=False)[1] for c in coefs]
+
+        def work(block: Block) -> dict[str, np.ndarray]:
+            ys, xs = parts(block)
+            return {"g": np.nan_to_num(np.stack([family.gradient(c, splits, ys, xs) for c in coefs]), nan=0.0, posinf=0.0, neginf=0.0)}
+
+        return list(self._gather(rows, work, {"g": (len(coefs), p)})["g"])
+
+    def _lbfgs(self, rows: DataFrame, coef: np.ndarray, s: np.ndarray, most: int, tol: float) -> np.ndarray:
+        def value(c: np.ndarray) -> tuple[float, np.ndarray]:
+            llk, grad, _ = self.local(rows, c, second=False)
+            return (llk if np.isfinite(llk) else -np.inf) - 0.5 * float(c @ s @ c), grad - s @ c
+
+        return lbfgs(value, coef, most, tol=tol)[0]
+
     def _identified(self, rows: DataFrame, s: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
         """Coefficients that the columns and the penalty (at unit size) tell apart and that have an effect."""
         designs = self.designs
@@ -342,28 +377,12 @@ class Joint(Model):
         return self.fitted.reml
 
 
-def _sr1(b: np.ndarray, s: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Symmetric rank-one update of an approximate negative Hessian, skipped where it is not well defined."""
-    r = y - b @ s
-    bottom = float(r @ s)
-    if abs(bottom) < 1e-8 * np.linalg.norm(r) * np.linalg.norm(s) or bottom == 0:
-        return b
-    new = b + np.outer(r, r) / bottom
-    value, vector = np.linalg.eigh((new + new.T) / 2)
-    return (vector * np.maximum(value, 1e-8 * max(value.max(), 1e-300))) @ vector.T
-
-
-def _damped(b: np.ndarray, s: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """BFGS update of an approximate negative Hessian, damped so that it stays positive definite."""
-    bs = b @ s
-    sbs, sy = float(s @ bs), float(s @ y)
-    if sbs <= 1e-300:
-        return b
-    if sy < 0.2 * sbs:
-        mixing = 0.8 * sbs / (sbs - sy)
-        y = mixing * y + (1 - mixing) * bs
-        sy = float(s @ y)
-    return b - np.outer(bs, bs) / sbs + np.outer(y, y) / sy
+def _blocks(penalties: list[Penalty]) -> list[tuple[int, np.ndarray]]:
+    """The penalties' sum as diagonal blocks."""
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for t in penalties:
+        found[t.start, t.size] = found.get((t.start, t.size), 0.0) + t.lam * t.full()
+    return [(start, m) for (start, _), m in sorted(found.items())]
 
 
 class GAMMLSS(Joint):
