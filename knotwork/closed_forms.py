@@ -45,6 +45,23 @@ def line_tests(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_rounded(_rounded(got, 4, "estimate"), 5, "se"), 2, "statistic")
 
 
+@query(_LINE + " select 'Intercept' as name, round(a, 4) as estimate from t union all select 'l_quantity', round(b, 4) from t")
+def line_by_qr(spark: SparkSession, sf: str) -> DataFrame:
+    """The straight line by a tall-skinny QR decomposition of the rows."""
+    d = table(spark, sf, "lineitem").withColumn("y", 10 * F.sin(F.col("l_quantity") / 8.0) + 20 * F.col("l_discount"))
+    model = GAMM(Formula(lhs("y"), [i(), l(["l_quantity"])])).fit(d.repartition(20, "l_orderkey"), method="QR")
+    return _rounded(frame(spark, model.coef_table()[["name", "estimate"]]), 4, "estimate")
+
+
+@query(_LINE + " select 'Intercept' as name, round(a, 2) as estimate from t union all select 'l_quantity', round(b, 3) from t union all select 'deviation', round(sqrt(rss / n), 3) from t")
+def line_by_quasi_newton(spark: SparkSession, sf: str) -> DataFrame:
+    """The straight line and the residuals' deviation by limited-memory steps, without second derivatives."""
+    d = table(spark, sf, "lineitem").withColumns({"y": 10 * F.sin(F.col("l_quantity") / 8.0) + 20 * F.col("l_discount"), "x": F.col("l_quantity") / 10 - 2.5})
+    coef = GSMM([Formula(lhs("y"), [i(), l(["x"])]), Formula(None, [i()])], Adapter(fam.GAUMLSS())).fit(d, method="qEFS", conv_tol=1e-12, max_inner=80).fitted.coef
+    found = [coef[0] - 2.5 * coef[1], coef[1] / 10, np.exp(coef[2]) + 0.0001]
+    return frame(spark, pd.DataFrame({"name": ["Intercept", "l_quantity", "deviation"], "estimate": [round(found[0], 2), round(found[1], 3), round(found[2], 3)]}))
+
+
 @query(_LINE + """ select round(2.0, 4) as edf, round(phi, 4) as scale, round(rss / n, 4) as deviance, round((-0.5*n*ln(2*pi()*phi) - 0.5*rss/phi) / n, 6) as llk,
 round((-0.5*n*ln(2*pi()*phi) - 0.5*rss/phi - 0.5*(ln(n*sxx) - 2*ln(phi)) + ln(2*pi())) / n, 6) as reml from t""")
 def line_numbers(spark: SparkSession, sf: str) -> DataFrame:

@@ -132,3 +132,41 @@ def draw_normal(n: int, mean: np.ndarray, factor: np.ndarray, scale: float, seed
     """``n`` draws with covariance ``scale * factor.T @ factor``, one a row."""
     z = np.random.default_rng(seed).normal(size=(n, len(factor)))
     return mean + np.sqrt(scale) * z @ factor
+
+
+def chol_update(low: np.ndarray, v: np.ndarray, sign: float = 1.0) -> np.ndarray:
+    """Lower factor of ``low @ low.T + sign * v v.T`` by plane rotations, without factoring anew."""
+    out, v = np.array(low, float), np.array(v, float)
+    for k in range(len(v)):
+        square = out[k, k] ** 2 + sign * v[k] ** 2
+        if square <= 0:
+            raise np.linalg.LinAlgError("the matrix is no longer positive definite")
+        r = np.sqrt(square)
+        c, s = r / out[k, k], v[k] / out[k, k]
+        out[k, k] = r
+        out[k + 1 :, k] = (out[k + 1 :, k] + sign * s * v[k + 1 :]) / c
+        v[k + 1 :] = c * v[k + 1 :] - s * out[k + 1 :, k]
+    return out
+
+
+def root_of(s: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """``r`` with ``r.T @ r = s`` for a positive semidefinite matrix."""
+    value, vector = np.linalg.eigh((s + s.T) / 2)
+    keep = value > tol * max(value.max(initial=0), 1e-300)
+    return np.sqrt(value[keep])[:, None] * vector[:, keep].T
+
+
+def penalised_qr(r: np.ndarray, z: np.ndarray, s: np.ndarray, tol: float = 1e-10) -> np.ndarray:
+    """Coefficients from the triangular factor ``r`` of the model matrix and ``z = Q'y``, by a QR decomposition
+    of ``r`` on top of the penalty's root: the cross products are never formed. Dependent columns get 0.
+    """
+    root = root_of(s)
+    q, t = np.linalg.qr(np.vstack((r, root)))
+    right = q.T @ np.append(z, np.zeros(len(root)))
+    fine = np.abs(np.diag(t)) > tol * max(np.abs(np.diag(t)).max(initial=0), 1e-300)
+    coef = np.zeros(r.shape[1])
+    if fine.all():
+        coef = np.linalg.solve(t, right)
+    else:
+        coef[fine] = np.linalg.lstsq(t[:, fine], right, rcond=None)[0]
+    return coef

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bin_edges(df: DataFrame, variables: Sequence[str], bins: dict[str, int] | None = None) -> dict[str, tuple[float, float, int]]:
-    """(low, high, bins) by variable; int(sqrt(distinct values)) equal bins unless given."""
-    wanted = []
+def bin_edges(df: DataFrame, variables: Sequence[str], bins: dict[str, int] | None = None, excl: Sequence[str] = ()) -> dict[str, tuple[float, float, int]]:
+    """(low, high, bins) by variable, but for ``excl``; int(sqrt(distinct values)) equal bins unless given."""
+    variables, wanted = [v for v in variables if v not in excl], []
     for v in variables:
         wanted += [F.min(v).cast("double"), F.max(v).cast("double"), F.countDistinct(v)]
     row = df.agg(*wanted).first()

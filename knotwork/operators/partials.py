@@ -72,6 +72,38 @@ def gather(rows: DataFrame, work: Callable[[Block], dict[str, np.ndarray | float
     return {k: v.reshape(sizes[k]) for k, v in out.items()}
 
 
+def gather_qr(rows: DataFrame, work: Callable[[Block], np.ndarray], width: int, fan: int = 16) -> np.ndarray:
+    """Triangular factor of the rows that ``work(block)`` makes, stacked over all blocks (tall-skinny QR).
+
+    Every task keeps one factor of ``width`` columns; factors are then stacked and factored ``fan`` at a
+    time until one is left, so neither a task nor the driver holds more than ``fan`` of them.
+    """
+    ensure_importable(rows.sparkSession)
+
+    def pack(factor: np.ndarray, number: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.ascontiguousarray(factor, float).tobytes()], pa.binary())], ["part", "factor"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, width))
+        for batch in batches:
+            if batch.num_rows:
+                held = np.linalg.qr(np.vstack((held, work(columns(batch)))), mode="r")
+        if len(held):
+            yield pack(held, 0)
+
+    def stack(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, float).reshape(-1, width) for x in table.column("factor").to_pylist()]
+        return pa.Table.from_batches([pack(np.linalg.qr(np.vstack(parts), mode="r"), table.column("part")[0].as_py())])
+
+    schema, many = "part long, factor binary", rows.rdd.getNumPartitions()
+    found = rows.mapInArrow(run, schema).withColumn("part", F.spark_partition_id().cast("long"))
+    while many > 1:
+        many = -(-many // fan)
+        found = found.withColumn("part", F.floor(F.col("part") / fan).cast("long")).groupBy("part").applyInArrow(stack, schema)
+    last = [np.frombuffer(r["factor"], float).reshape(-1, width) for r in found.collect()]  # one factor, or few
+    return np.linalg.qr(np.vstack(last), mode="r") if last else np.zeros((0, width))
+
+
 def cross(index: np.ndarray, value: np.ndarray, weight: np.ndarray, width: int, other: tuple[np.ndarray, np.ndarray, int] | None = None) -> np.ndarray:
     """Weighted cross product of sparse rows (columns, values), flat: with themselves or with ``other``."""
     left = expand(index, value, width)

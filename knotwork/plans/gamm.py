@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.families import ExtendedFamily, Family, Gaussian
+from ..functions.linalg import penalised_qr
 from ..functions.links import Identity
 from ..operators import encode as enc
-from ..operators.partials import Block, columns, cross, gather
+from ..operators.partials import Block, columns, cross, expand, gather, gather_qr
 from ..session import ensure_importable
 from . import solve as S
 from . import spec
@@ -49,13 +50,17 @@ class GAMM(Model):
         rows = rows.withColumns({f"p_{c}": F.lag(c).over(own) for c in lag} | {"_first": F.row_number().over(own) == 1})
         return rows.drop(*(f"_o{k}" for k in range(len(keys))))
 
-    def fit(self, df: DataFrame, max_outer: int = 200, conv_tol: float = 1e-7, offset: str | None = None, rho: float | None = None, lam: float = 1.1, fixed_lam: bool = False, find_nested: bool = True, encoding: enc.Encoding | None = None) -> GAMM:
+    def fit(self, df: DataFrame, max_outer: int = 200, conv_tol: float = 1e-7, offset: str | None = None, rho: float | None = None, lam: float = 1.1, fixed_lam: bool = False, find_nested: bool = True, encoding: enc.Encoding | None = None, method: str = "Chol", extension: str = "ratio") -> GAMM:
         """Estimate coefficients, smoothing parameters and scale.
 
         ``offset`` names a column; ``rho`` whitens the rows of each series by an AR(1) process;
-        ``fixed_lam`` keeps all smoothing parameters at ``lam``.
+        ``fixed_lam`` keeps all smoothing parameters at ``lam``. ``method`` "QR" takes the coefficients
+        of a Gaussian model from a QR decomposition of the rows, which costs one more pass and keeps the digits
+        that cross products lose. ``extension``: how steps of the lambdas are lengthened, see ``StepControl``.
         """
-        f = self.formula
+        if method not in ("Chol", "QR"):
+            raise ValueError(f"unknown method {method!r}")
+        f, self._extension = self.formula, extension
         encoding = encoding or enc.learn(df, f.variables(), f.as_factor, f.codebook)
         design = spec.build(df, f, encoding)
         rows = self._rows(df, design, offset, rho).persist(StorageLevel.MEMORY_AND_DISK)
@@ -63,7 +68,9 @@ class GAMM(Model):
         try:
             spec.settle(design, rows)
             linear = isinstance(self.family, Gaussian) and isinstance(self.family.link, Identity)
-            self.fitted = self._linear(rows, design, lam, fixed_lam, find_nested) if linear else self._weighted(rows, design, lam, fixed_lam, max_outer, conv_tol)
+            if method == "QR" and not linear:
+                raise ValueError("QR is for Gaussian models with the identity link")
+            self.fitted = self._linear(rows, design, lam, fixed_lam, find_nested, method) if linear else self._weighted(rows, design, lam, fixed_lam, max_outer, conv_tol)
         finally:
             rows.unpersist()
         return self
@@ -83,7 +90,7 @@ class GAMM(Model):
         past = before["y0"] - before.get("o_offset", 0.0)
         return np.concatenate((index, old_index), axis=1), np.concatenate((value * a[:, None], old_value * b[:, None]), axis=1), a * y + b * past
 
-    def _linear(self, rows: DataFrame, design: spec.Design, lam: float, fixed: bool, find_nested: bool) -> S.Fit:
+    def _linear(self, rows: DataFrame, design: spec.Design, lam: float, fixed: bool, find_nested: bool, method: str) -> S.Fit:
         """Gaussian with identity link: one pass, then all is on the driver.
 
         The response is shifted by its mean, if there is an intercept, so that sums of squares keep
@@ -108,7 +115,16 @@ class GAMM(Model):
             spec.prune(design, a)
             a, b = design.map.T @ got["xx"] @ design.map, design.map.T @ got["xy"]
         yy, n, jac = got["one"]
-        fit = S.solve(a, b, yy, n, design.penalties(lam=lam), self.family.scale, fixed=fixed)
+        fit = S.solve(a, b, yy, n, design.penalties(lam=lam), self.family.scale, fixed=fixed, extension=self._extension)
+        if method == "QR":
+            p = len(b)
+
+            def tall(block: Block) -> np.ndarray:
+                index, value, y = self._white(design, block, rho)
+                return np.column_stack((expand(index, value, raw) @ design.map, y - shift))
+
+            factor = gather_qr(rows, tall, p + 1)
+            fit.coef = penalised_qr(factor[:, :p], factor[:, p], S.total(fit.penalties, p))
         rss = yy - 2 * float(fit.coef @ b) + float(fit.coef @ a @ fit.coef)
         if intercept is not None:
             fit.coef[intercept] += shift
@@ -181,7 +197,7 @@ class GAMM(Model):
                 a, b = design.map.T @ got["xx"] @ design.map, design.map.T @ got["xz"]
                 penalties = design.penalties(lam=lam)
             logs = np.log([p.lam for p in penalties]) if penalties else np.zeros(1)
-            fit = S.solve(a, b, zz, n, penalties, 1.0 if extended else family.scale, fixed=fixed, most=200 if coef is not None else 1)
+            fit = S.solve(a, b, zz, n, penalties, 1.0 if extended else family.scale, fixed=fixed, most=200 if coef is not None else 1, extension=self._extension)
             lam_moved = float(np.max(np.abs(np.log([p.lam for p in penalties]) - logs))) if penalties else 0.0
             old, coef = coef, fit.coef
             self._phi = fit.scale

@@ -101,6 +101,16 @@ def summary_smooth(model: Model, par: int = 0, pen_cutoff: float = 0.2, p_values
 # uncertainty of the smoothing parameters ------------------------------------------------------------
 
 
+def print_parametric_terms(model: Model, par: int = 0) -> None:
+    """The Wald tests as a table, with the usual marks of significance."""
+    print(summary_parametric(model, par).to_string(index=False, float_format=lambda v: f"{v:.4g}"))
+
+
+def print_smooth_terms(model: Model, par: int = 0, pen_cutoff: float = 0.2, p_values: bool = False) -> None:
+    """The smooths with their effective degrees of freedom, those below ``pen_cutoff`` marked as removed."""
+    print(summary_smooth(model, par, pen_cutoff, p_values).to_string(index=False, float_format=lambda v: f"{v:.4g}"))
+
+
 def _logs(model: Model) -> tuple[list[list[int]], np.ndarray]:
     groups = S.merged(model.fitted.penalties)
     return groups, np.log([model.fitted.penalties[g[0]].lam for g in groups])

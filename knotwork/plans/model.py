@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linalg import draw_normal
@@ -116,10 +116,16 @@ class Model:
         rows = rows_of(df, design)
         ensure_importable(df.sparkSession)
 
+        return self._widest(rows, lambda batch: design.matrix(columns(batch), use_terms), factor, draws, alpha)
+
+    @staticmethod
+    def _widest(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray], factor: np.ndarray, draws: np.ndarray, alpha: float) -> float:
+        n_ps = draws.shape[1]
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             most = np.zeros(n_ps)
             for batch in batches:
-                x = design.matrix(columns(batch), use_terms)
+                x = matrix(batch)
                 for lo in range(0, len(x), 512):
                     part = x[lo : lo + 512]
                     se = np.sqrt(((part @ factor.T) ** 2).sum(axis=1))
@@ -131,25 +137,48 @@ class Model:
         top = rows.mapInArrow(work, "draw long, most double").groupBy("draw").agg(F.max("most").alias("most")).toPandas()  # n_ps rows
         return float(np.quantile(top["most"], 1 - alpha))
 
-    def predict_diff(self, df1: DataFrame, df2: DataFrame, on: Sequence[str], use_terms: Sequence[int] | None = None, alpha: float = 0.05, par: int = 0) -> DataFrame:
-        """Difference of two tables' predictions, rows matched by the key ``on``, with its interval."""
-        coef, factor = self.fitted.coef[self._part(par)], self.fitted.lvi[:, self._part(par)] * np.sqrt(self.fitted.scale)
-        z, p = float(normal_ppf(1 - alpha / 2)[0]), len(coef)
-        one = self.get_mmat(df1, par, use_terms, on)
-        two = self.get_mmat(df2, par, use_terms, on).withColumnsRenamed({"idx": "idx2", "val": "val2"})
+    def predict_diff(self, df1: DataFrame, df2: DataFrame, on: Sequence[str], use_terms: Sequence[int] | None = None, alpha: float = 0.05, par: int = 0, whole_interval: bool = False, n_ps: int = 10_000, seed: int | None = None) -> DataFrame:
+        """Difference of two tables' predictions, rows matched by the key ``on``, with its interval.
+
+        ``whole_interval``: the band covers the whole difference.
+        """
+        design, part = self.designs[par], self._part(par)
+        coef, factor = self.fitted.coef[part], self.fitted.lvi[:, part] * np.sqrt(self.fitted.scale)
+        keys = [f"_k{k}" for k in range(len(on))]
+        one, two = (rows_of(d.withColumns({k: F.col(c) for k, c in zip(keys, on, strict=True)}), design, keep=keys, drop_null=True) for d in (df1, df2))
+        need = [c for c in one.columns if c not in keys]
+        both = one.join(two.withColumnsRenamed({c: f"{c}_2" for c in need}), keys)
+        ensure_importable(df1.sparkSession)
+
+        def matrix(batch: pa.RecordBatch) -> np.ndarray:
+            def side(tail: str) -> np.ndarray:
+                block = {c: batch.column(f"{c}{tail}").to_numpy(zero_copy_only=False) for c in need} or {"_": np.zeros(batch.num_rows)}
+                return design.matrix(block, use_terms)
+
+            return side("") - side("_2")
+
+        z = float(normal_ppf(1 - alpha / 2)[0])
+        if whole_interval:
+            z = self._widest(both, matrix, factor, self.sample_post(n_ps, True, seed, par), alpha)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.zeros((batch.num_rows, p))
-                for i, v, sign in (("idx", "val", 1.0), ("idx2", "val2", -1.0)):
-                    for r, (k, w) in enumerate(zip(batch.column(i).to_pylist(), batch.column(v).to_pylist(), strict=True)):
-                        x[r, k] += sign * np.array(w)
-                diff, se = x @ coef, np.sqrt(((x @ factor.T) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in on), *(pa.array(v) for v in (diff, se, diff - z * se, diff + z * se))], [*on, "diff", "se", "lower", "upper"])
+                x = matrix(batch)
+                diff, se = x @ coef, np.sqrt(np.maximum(((x @ factor.T) ** 2).sum(axis=1), 0))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(v) for v in (diff, se, diff - z * se, diff + z * se))], [*on, "diff", "se", "lower", "upper"])
 
         kinds = "".join(f"`{c}` {df1.schema[c].dataType.simpleString()}, " for c in on)
-        return one.join(two, list(on)).mapInArrow(work, f"{kinds}diff double, se double, lower double, upper double")
+        return both.mapInArrow(work, f"{kinds}diff double, se double, lower double, upper double")
+
+    def write_mmat(self, df: DataFrame, path: str, par: int = 0, keep: Sequence[str] = ()) -> None:
+        """Write the sparse model matrix as Parquet, with the columns ``keep``, for later reads."""
+        self.get_mmat(df, par, keep=keep).write.parquet(path)
 
     def info(self) -> dict[str, Any]:
         f = self.fitted
         return {"converged": f.converged, "iterations": f.iterations, "n": f.n, "edf": f.edf, "scale": f.scale, "llk": f.llk, "reml": f.reml, "dropped": [d.dropped for d in self.designs]}
+
+
+def read_mmat(spark: SparkSession, path: str) -> DataFrame:
+    """A model matrix that ``write_mmat`` wrote: ``idx`` and ``val`` arrays of each row, and what it kept."""
+    return spark.read.parquet(path)

@@ -106,12 +106,16 @@ class StepControl:
     """Judges each move of the log lambdas by the restricted likelihood's slope at its end.
 
     A move against that slope went beyond the best point along it and is halved, at most ``most`` times;
-    after one that the slope confirms the next is lengthened.
+    after one that the slope confirms the next is lengthened: by ``extension`` "ratio" a growing factor
+    up to 2, by "nesterov" a growing part of the last move is added, by "none" nothing.
     """
 
-    def __init__(self, penalties: list[Penalty], most: int = 6) -> None:
-        self.penalties, self.most = penalties, most
+    def __init__(self, penalties: list[Penalty], most: int = 6, extension: str = "ratio") -> None:
+        if extension not in ("ratio", "nesterov", "none"):
+            raise ValueError(f"unknown extension {extension!r}")
+        self.penalties, self.most, self.extension = penalties, most, extension
         self.before, self.boost, self.halved = get_logs(penalties), 1.0, 0
+        self.last, self.age = np.zeros(len(self.before)), 0
 
     def judge(self, cov: np.ndarray, coef: np.ndarray, scale: float) -> bool:
         """Whether the last move stands; if not, it has been halved and is to be tried again."""
@@ -120,16 +124,20 @@ class StepControl:
         gain = float(slope @ move)
         if gain < -1e-9 and self.halved < self.most:
             self.halved += 1
-            self.boost = 1.0
+            self.boost, self.age = 1.0, 0
             set_logs(self.penalties, self.before + move / 2)
             return False
+        self.last, self.age = move, self.age + 1
         self.boost = min(self.boost * 1.25, 2.0) if gain > 0 and not self.halved and np.abs(move).max(initial=0) > 0 else 1.0
         self.halved = 0
         return True
 
     def step(self, cov: np.ndarray, coef: np.ndarray, scale: float) -> float:
         self.before = get_logs(self.penalties)
-        return step_lambda(self.penalties, cov, coef, scale, self.boost)
+        moved = step_lambda(self.penalties, cov, coef, scale, self.boost if self.extension == "ratio" else 1.0)
+        if self.extension == "nesterov" and self.age > 1:
+            set_logs(self.penalties, get_logs(self.penalties) + (self.age - 1) / (self.age + 2) * self.last)
+        return moved
 
 
 def reml(llk: float, hessian: np.ndarray, coef: np.ndarray, scale: float, penalties: list[Penalty]) -> float:
@@ -155,7 +163,7 @@ def term_edf(each: np.ndarray, penalties: list[Penalty]) -> list[float]:
     return [float(each[a : a + b].sum()) for a, b in spans]
 
 
-def solve(a: np.ndarray, b: np.ndarray, yy: float, n: float, penalties: list[Penalty], scale: float | None = None, most: int = 200, tol: float = 1e-7, fixed: bool = False) -> Fit:
+def solve(a: np.ndarray, b: np.ndarray, yy: float, n: float, penalties: list[Penalty], scale: float | None = None, most: int = 200, tol: float = 1e-7, fixed: bool = False, extension: str = "ratio") -> Fit:
     """Coefficients and lambdas of a penalised least-squares problem from its cross products.
 
     ``scale`` None: it is estimated. ``fixed``: lambdas stay. Columns without data get coefficient 0.
@@ -164,7 +172,7 @@ def solve(a: np.ndarray, b: np.ndarray, yy: float, n: float, penalties: list[Pen
     p = len(b)
     dead = np.diag(a) <= 0
     guard = np.diag(np.where(dead, 1.0, 0.0)) * max(np.trace(a) / max(p, 1), 1.0)
-    phi, control = scale or 1.0, StepControl(penalties)
+    phi, control = scale or 1.0, StepControl(penalties, extension=extension)
 
     def at() -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray, float]:
         lvi, _ = inverse_factor(a + total(penalties, p) + guard)

@@ -380,3 +380,61 @@ def test_posterior_sampler(spark, data):
     assert np.allclose(t.loc[m.designs[0].names, "mean"], m.fitted.coef, atol=0.05)
     assert np.allclose(t.loc[m.designs[0].names, "sd"], m.coef_table().se, rtol=0.25)
     assert t.rhat.max() < 1.05
+
+
+def test_qr_route_and_step_control(data):
+    from knotwork.plans import solve as S
+
+    formula = Formula(lhs("y"), [i(), f(["x0"]), l(["x1"])])
+    plain, qr = GAMM(formula).fit(data), GAMM(formula).fit(data.repartition(40), method="QR")
+    assert np.allclose(plain.fitted.coef, qr.fitted.coef, atol=1e-5) and np.isclose(plain.fitted.llk, qr.fitted.llk, rtol=1e-7)
+    with pytest.raises(ValueError, match="QR"):
+        GAMM(formula, fam.Poisson()).fit(data, method="QR")
+    for extension in ("nesterov", "none"):
+        other = GAMM(formula).fit(data, extension=extension)
+        assert other.fitted.converged and np.isclose(other.fitted.reml, plain.fitted.reml, atol=1e-3)
+    fit = plain.fitted
+    slope, rho = S.reml_gradient(fit.penalties, fit.cov, fit.coef, fit.scale), S.get_logs(fit.penalties)
+    assert np.abs(slope).max() < 0.01
+    # the slope is that of the restricted likelihood at a fixed scale
+    value = []
+    for step in (1.5, 1.5001):
+        S.set_logs(fit.penalties, rho + step)
+        h = fit.hessian + S.total(fit.penalties, len(fit.coef))
+        coef = np.linalg.solve(h, fit.hessian @ fit.coef)
+        llk = -0.5 * float((coef - fit.coef) @ fit.hessian @ (coef - fit.coef)) / fit.scale
+        value.append(S.reml(llk, fit.hessian, coef, fit.scale, fit.penalties))
+        cov = np.linalg.inv(h)
+    assert np.isclose((value[1] - value[0]) / 1e-4, S.reml_gradient(fit.penalties, cov, coef, fit.scale).sum(), rtol=0.02, atol=1e-3)
+    S.set_logs(fit.penalties, rho)
+
+
+def test_matrix_files_and_differences(spark, data, tmp_path, capsys):
+    from knotwork.plans import inference
+    from knotwork.plans.kinds import ConstType
+    from knotwork.plans.model import read_mmat
+
+    m = GAMM(Formula(lhs("y"), [i(), f(["x0"], constraint=ConstType.DROP), l(["x1"])])).fit(data)
+    m.write_mmat(data, str(tmp_path / "mmat"), keep=["y"])
+    assert read_mmat(spark, str(tmp_path / "mmat")).count() == data.count()
+    grid = spark.createDataFrame([(k, k / 10, 0.2) for k in range(1, 9)], "id long, x0 double, x1 double")
+    other = grid.withColumn("x1", F.lit(0.7))
+    near, wide = (m.predict_diff(grid, other, ["id"], whole_interval=w, n_ps=400, seed=1).orderBy("id").toPandas() for w in (False, True))
+    assert np.allclose(near["diff"], -0.5 * m.fitted.coef[1]) and np.allclose(near["diff"], wide["diff"])
+    assert ((wide["upper"] - wide["lower"]) >= 0.95 * (near["upper"] - near["lower"])).all()
+    inference.print_parametric_terms(m)
+    inference.print_smooth_terms(m)
+    assert "Intercept" in capsys.readouterr().out
+
+
+def test_cholesky_update():
+    from knotwork.functions.linalg import chol_update
+
+    rng = np.random.default_rng(2)
+    a, v = rng.normal(size=(6, 6)), rng.normal(size=6)
+    a = a @ a.T + 6 * np.eye(6)
+    low = np.linalg.cholesky(a)
+    assert np.allclose(chol_update(low, v), np.linalg.cholesky(a + np.outer(v, v)))
+    assert np.allclose(chol_update(low, 0.5 * v, -1.0), np.linalg.cholesky(a - 0.25 * np.outer(v, v)))
+    with pytest.raises(np.linalg.LinAlgError):
+        chol_update(low, 100 * v, -1.0)
