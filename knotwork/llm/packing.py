@@ -3,7 +3,9 @@
 A sequence has three capacities: tokens, documents (pieces) and attention cost (the sum of squared
 piece lengths). Pieces go, longest first, to the open sequence in which every capacity still
 suffices and whose remaining capacities after the placement have the smallest norm (``residual``)
-or the largest weighted dot product with the piece's needs (``dot``).
+or the largest weighted dot product with the piece's needs (``dot``). The default number of
+documents binds where many short ones meet; the default cost is that of one full piece, which
+must fit, so it can't bind by itself and only shades the choice.
 
 Equal lengths are the same item, so the whole choice is made on the histogram of lengths, which has
 at most ``capacity`` entries however many documents there are: sequences in the same state form
@@ -37,7 +39,7 @@ END_ID = 2
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 1024
-    documents: int = 1024
+    documents: int = 48
     attention: int = 1024 * 1024
     #: Weights of the three dimensions in the norm and in the dot product.
     weights: tuple[float, float, float] = (1.0, 0.05, 0.25)
@@ -98,7 +100,7 @@ def plan(histogram: Mapping[int, int], cap: Capacity = Capacity()) -> list[tuple
                 state, begin, room = left[best], int(first[best]), int(many[best])
             else:
                 best, state, begin, room = -1, full, opened, None
-            each = int(np.min(state // need))
+            each = 1 if best >= 0 and cap.rule == "dot" else int(np.min(state // need))
             bins = waiting // each
             if not bins:
                 bins, each = 1, waiting

@@ -123,6 +123,27 @@ def test_url_scores_use_rare_contexts_of_a_large_class(spark):
         assert np.isclose(out[k]["score"], want, rtol=1e-9, atol=1e-12), url
 
 
+def test_verdicts_without_a_rule_by_brute_force(spark):
+    """Threshold: of all cuts between bins the one that gets the largest share of both held-out classes right."""
+    rng = random.Random(5)
+    data = [(k, f"http://{rng.choice(['good', 'fine', 'mix'])}{rng.randrange(40)}.com/en/7{k}" if k % 2 else f"http://{rng.choice(['spam', 'junk', 'mix'])}{rng.randrange(40)}.com/en/{k % 6}") for k in range(1200)]
+    data += [(5000 + k, f"http://{rng.choice(['good', 'spam', 'mix', 'junk'])}{rng.randrange(40)}.info/{'x' * (k % 50)}") for k in range(200)]
+    data += [(9000, "http://" + "long" * 20_000 + ".info/")]
+    d = spark.createDataFrame(data, "page_id long, url string")
+    out = {r["page_id"]: r for r in urlfilter.judge(d, [("block", "com", "/en/"), ("allow", "com", "/en/7")]).collect()}
+    rest = F.expr("coalesce(substr(url, instr(url, '://') + 3), '')")
+    apart = {r[0] for r in d.where(F.pmod(F.xxhash64(rest, F.lit("calibrate")), F.lit(urlfilter.CALIBRATE)) == 0).select("page_id").collect()}
+    held = [(out[k]["score"], out[k]["verdict"] == "allow") for k, _ in data[:1200] if k in apart]
+    good, bad = [s for s, a in held if a], [s for s, a in held if not a]
+    bins = {s: min(max(math.floor((s + 4) / 8 * 4000), 0), 3999) for s, _ in held}
+    right = [sum(bins[s] >= b for s in good) / len(good) + sum(bins[s] < b for s in bad) / len(bad) for b in range(4001)]
+    best = [b for b, v in enumerate(right) if v >= max(right) - 1e-12]
+    cut = (best[0] + best[-1]) / 2 / 4000 * 8 - 4
+    for k, _ in data[1200:]:
+        assert out[k]["rule"] is None and out[k]["verdict"] == ("allow" if out[k]["score"] >= cut else "block")
+    assert {out[k]["verdict"] for k, _ in data[1200:]} == {"allow", "block"}
+
+
 def test_shards(spark):
     data = rows(7, 120)
     out = sharding.assign(frame(spark, data), 24).collect()
