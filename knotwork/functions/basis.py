@@ -65,8 +65,10 @@ def tensor(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], w
     return column.reshape(len(column), -1), value.reshape(len(value), -1)
 
 
-def tensor_columns(a: Column, b: Column) -> Column:
-    """Row-wise Kronecker product of two array columns."""
+def tensor_columns(a: Column, b: Column, sizes: tuple[int, int] | None = None) -> Column:
+    """Row-wise products of two arrays; with their ``sizes`` as plain expressions, which are compiled."""
+    if sizes is not None:
+        return F.array(*[a[u] * b[v] for u in range(sizes[0]) for v in range(sizes[1])])
     return F.flatten(F.transform(a, lambda u: F.transform(b, lambda v: u * v)))
 
 

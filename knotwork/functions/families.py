@@ -397,11 +397,19 @@ class MULNOMLSS(GAMLSSFamily):
         return first, [[-p[i] * ((i == j) - p[j]) for j in range(self.n_par)] for i in range(self.n_par)]
 
     def get_resid(self, y: np.ndarray, *pars: np.ndarray) -> np.ndarray:
-        """Randomised quantile residuals, seeded by the block's content."""
+        """Randomised quantile residuals; the random part comes from each row's own numbers."""
+        seed = np.ascontiguousarray(np.column_stack((y, *pars)).astype(float)).view(np.uint64)
+        mixed = np.zeros(len(y), np.uint64)
+        for column in seed.T:
+            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return self.quantile_resid(y, (mixed >> np.uint64(11)).astype(float) / 2.0**53, *pars)
+
+    def quantile_resid(self, y: np.ndarray, u: np.ndarray, *pars: np.ndarray) -> np.ndarray:
+        """The residuals for given uniform numbers, one a row."""
         p = np.roll(self.get_probs(*pars), -1, axis=0)
         place, at = (y.astype(int) - 1) % len(p), np.arange(len(y))
         high = np.cumsum(p, axis=0)[place, at]
-        u = np.random.default_rng(abs(hash((len(y), float(y.sum())))) % 2**32).uniform(size=len(y))
         return normal_ppf(np.clip(high - u * p[place, at], 1e-12, 1 - 1e-12))
 
     def rvs(self, rng: np.random.Generator, *pars: np.ndarray) -> np.ndarray:

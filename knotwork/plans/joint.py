@@ -405,18 +405,24 @@ class GAMMLSS(Joint):
         """Distribution parameters ``par0``..., residual and a random draw for each usable row."""
         designs, splits, dist, coef = self.designs, self.splits, self.dist, self.fitted.coef
         ensure_importable(df.sparkSession)
+        # what is random about a residual comes from the row, so batches and partitions don't matter
+        own = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1 << 52))
+        df = df.withColumn("o_own", own)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k, batch in enumerate(batches):
+            for batch in batches:
                 block = columns(batch.select([c for c in batch.schema.names if not c.startswith("_q")]))
                 mus = dist.means([d.predictor(block, coef[a:b]) for d, a, b in zip(designs, splits[:-1], splits[1:], strict=True)])
-                rng = np.random.default_rng((seed, k, batch.num_rows))
-                made = [*mus, dist.get_resid(block["y0"], *mus), dist.rvs(rng, *mus).astype(float)]
+                number = batch.column(f"_q{len(keep)}").to_numpy()
+                u = (number + 0.5) / (1 << 52)
+                resid = dist.quantile_resid(block["y0"], u, *mus) if hasattr(dist, "quantile_resid") else dist.get_resid(block["y0"], *mus)
+                draws = dist.rvs(np.random.default_rng((seed, *number[:1])), *mus).astype(float)
+                made = [*mus, resid, draws]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f"_q{j}") for j in range(len(keep))), *(pa.array(v) for v in made)], [*keep, *(f"par{j}" for j in range(len(mus))), "resid", "draw"])
 
         kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
         pars = "".join(f"par{j} double, " for j in range(len(designs)))
-        return self.rows(df, keep).mapInArrow(work, f"{kinds}{pars}resid double, draw double")
+        return self.rows(df, [*keep, "o_own"]).mapInArrow(work, f"{kinds}{pars}resid double, draw double")
 
 
 class GSMM(Joint):

@@ -129,9 +129,11 @@ def bspline_gram(spark: SparkSession, sf: str) -> DataFrame:
 def tensor_basis(spark: SparkSession, sf: str) -> DataFrame:
     rows = _quantity_basis(spark, sf)
     n, d = rows.count(), F.col("l_discount") * 10
-    both = rows.withColumn("val", tensor_columns(F.col("val"), F.array(1 - d, d)))
-    flat = both.select("c", F.posexplode("val").alias("pos", "v"))
-    return flat.groupBy((F.col("c") + F.floor(F.col("pos") / 2)).cast("int").alias("k"), (F.col("pos") % 2).alias("m")).agg(F.round(F.sum(F.col("v") / n), 6).alias("share"))
+    both = rows.select("c", tensor_columns(F.col("val"), F.array(1 - d, d), (4, 2)).alias("val"))
+    # summed by first basis function before the eight products are spread
+    part = both.groupBy("c").agg(*[F.sum(F.col("val")[k] / n).alias(f"v{k}") for k in range(8)])
+    flat = part.select("c", F.posexplode(F.array(*[f"v{k}" for k in range(8)])).alias("pos", "v"))
+    return flat.groupBy((F.col("c") + F.floor(F.col("pos") / 2)).cast("int").alias("k"), (F.col("pos") % 2).alias("m")).agg(F.round(F.sum("v"), 6).alias("share"))
 
 
 @query("select p_partkey, round(case when p_size > 20 then power((p_size - 20) / 10.0, 3) else 0 end, 6) as value from part")
@@ -266,7 +268,7 @@ def ranef_shrunk_means(spark: SparkSession, sf: str) -> DataFrame:
 def _summary(spark: SparkSession, model, **more) -> DataFrame:  # noqa: ANN001, ANN003
     """Coefficients with the fit's numbers beside them."""
     t = model.coef_table()
-    info = {k: float(v) for k, v in model.info().items() if k in ("edf", "scale", "llk", "reml")} | {k: float(v) for k, v in more.items()}
+    info = {k: float(v) for k, v in model.info().items() if k in ("edf", "scale", "llk", "reml", "converged")} | {k: float(v) for k, v in more.items()}
     return frame(spark, t.assign(**info))
 
 
@@ -342,43 +344,43 @@ def gamm_impulse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gammlss_normal(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary(spark, GAMMLSS([Formula(lhs("y"), [i(), f(["l_quantity"])]), Formula(None, [i(), l(["l_discount"])])], fam.GAUMLSS()).fit(signal(spark, sf), max_outer=15))
+    return _summary(spark, GAMMLSS([Formula(lhs("y"), [i(), f(["l_quantity"])]), Formula(None, [i(), l(["l_discount"])])], fam.GAUMLSS()).fit(signal(spark, sf)))
 
 
 @query()
 def gammlss_gamma(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "events").withColumn("y", F.col("value") / 100 + 0.1)
-    return _summary(spark, GAMMLSS([Formula(lhs("y"), [i(), l(["event_type"])]), Formula(None, [i()])], fam.GAMMALS()).fit(d, max_outer=10))
+    return _summary(spark, GAMMLSS([Formula(lhs("y"), [i(), l(["event_type"])]), Formula(None, [i()])], fam.GAMMALS()).fit(d))
 
 
 @query()
 def gammlss_multinomial(spark: SparkSession, sf: str) -> DataFrame:
     y = F.when(F.col("event_type") == "click", 0.0).when(F.col("event_type") == "error", 1.0).otherwise(2.0)
     d = table(spark, sf, "events").withColumns({"y": y, "x": F.col("value") / 100})
-    return _summary(spark, GAMMLSS([Formula(lhs("y"), [i(), l(["x"])]), Formula(None, [i(), l(["x"])])], fam.MULNOMLSS(2)).fit(d, max_outer=10))
+    return _summary(spark, GAMMLSS([Formula(lhs("y"), [i(), l(["x"])]), Formula(None, [i(), l(["x"])])], fam.MULNOMLSS(2)).fit(d))
 
 
 @query()
 def gsmm_multivariate(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem").withColumns({"a": F.col("l_quantity") / 10, "b": F.col("l_tax") * 20})
-    return _summary(spark, GSMM([Formula(lhs("a"), [i(), l(["l_discount"])]), Formula(lhs("b"), [i()])], MultiGauss(2, [Identity(), Identity()])).fit(d, max_outer=5))
+    return _summary(spark, GSMM([Formula(lhs("a"), [i(), l(["l_discount"])]), Formula(lhs("b"), [i()])], MultiGauss(2, [Identity(), Identity()])).fit(d))
 
 
 @query()
 def gsmm_quasi_newton(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem").withColumn("a", F.col("l_quantity") / 10)
-    return _summary(spark, GSMM([Formula(lhs("a"), [i(), l(["l_discount"])]), Formula(None, [i()])], Adapter(fam.GAUMLSS())).fit(d, max_outer=3, method="qEFS", lam=1.0))
+    return _summary(spark, GSMM([Formula(lhs("a"), [i(), l(["l_discount"])]), Formula(None, [i()])], Adapter(fam.GAUMLSS())).fit(d, method="qEFS", lam=1.0))
 
 
 @query()
 def cox_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary(spark, PropHaz(Formula(lhs("t"), [f(["x"], nk=5)]), "d").fit(_survivors(spark, sf), max_outer=10))
+    return _summary(spark, PropHaz(Formula(lhs("t"), [f(["x"], nk=5)]), "d").fit(_survivors(spark, sf)))
 
 
 @query()
 def cox_residuals(spark: SparkSession, sf: str) -> DataFrame:
     s = _survivors(spark, sf)
-    return PropHaz(Formula(lhs("t"), [l(["x"])]), "d").fit(s, max_outer=3).get_resid(s).select("user_id", "resid")
+    return PropHaz(Formula(lhs("t"), [l(["x"])]), "d").fit(s).get_resid(s).select("user_id", "resid")
 
 
 @query()
@@ -437,7 +439,7 @@ def _hsmm(spark: SparkSession, sf: str) -> tuple[HSMM, DataFrame]:
 @query()
 def hsmm_fit(spark: SparkSession, sf: str) -> DataFrame:
     model = _hsmm(spark, sf)[0]
-    return _summary(spark, model, converged=model.fitted.converged)
+    return _summary(spark, model)
 
 
 @query()
