@@ -2,11 +2,13 @@
 
 Two documents link if ``100 * intersection >= percent * union`` of their shingle sets.
 
-1. A count-min sketch of all shingles grades them: in one document only, rare, common, frequent. A
-   set with too many of the first can't link with another text and is done. The order (grade, hash)
-   is one for all sets. The sketch has a bounded size and only serves to order and to leave out
-   early: whatever its grades, partners share one of the first ``m - least_shared(n) + 1`` of a
-   set's ``m`` shingles that may be shared, and no more than these are listed.
+1. The shingles of the lowest hashes (``graded_share``) are graded by how many documents hold them. A set
+   with too many that one document holds can't link with another text and is done. The order (grade,
+   hash), then the other shingles by hash, is one for all sets; partners share one of the first
+   ``m - least_shared(n) + 1`` of a set's ``m`` shingles that may be shared, and no more are listed.
+   Grades come from a count-min sketch that is broadcast, in one pass, while the sketch has at most
+   2**``GRADES_LOG2`` cells. Beyond that they are exact counts, by grouping the shingles of the lowest hashes, and the
+   texts of the classes that a list compares are read again for their sets.
 2. Sets that are equal form a class, by a 128-bit commutative hash; classes are joined, not copies.
 3. Light sets, up to the boundary size, list all their subsets of the sizes that an intersection
    with a partner can have; partners share a subset. Heavy sets scan the inverted lists of their
@@ -18,8 +20,7 @@ Two documents link if ``100 * intersection >= percent * union`` of their shingle
    pairs with a member far from the hub are compared one by one, where they are in different components and
    sizes and numbers of shared shingles allow a link. No list or partner is left out.
 
-Whole sets are read for classes that a list compares, never shuffled for the others. Intermediate
-tables are deleted when their last reader is done.
+Whole sets are read for classes that a list compares, not for the others. Intermediate tables are deleted when their last reader is done.
 
 The sets are compared by 64-bit shingle hashes. No group is collected: counts are aggregated before
 they are shuffled and joins read plain tables, whose skewed keys Spark splits.
@@ -46,8 +47,12 @@ from . import sketch
 from .components import components
 from .shared import Segments, arrow_map, gram_hashes, mix, release, stash, unused
 
-#: Cells of the grading sketch, as a power of two: at two bits a cell 32 MB at most.
+#: Most cells of a grading sketch that is broadcast, as a power of two: at two bits a cell 32 MB.
 GRADES_LOG2 = 27
+#: Sets up to this size are kept whole where the larger ones are read again.
+SMALL = 64
+#: Grade of shingles beyond those of the lowest hashes.
+_UNGRADED = 9
 _SALTS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 
 
@@ -56,6 +61,11 @@ def least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def graded_share(percent: int) -> float:
+    """Share of all hashes whose shingles are graded: enough to choose a set's listed ones among them."""
+    return min(1.0, max(0.05, 2.5 * (100 - percent) / 100))
+
+
 def subsets(n: int, percent: int) -> int:
     return sum(comb(n, k) for k in range(n - least_shared(n, percent) + 1))
 
@@ -102,42 +112,116 @@ def _may_link(n: str, m: str, other_n: str, other_m: str, percent: int) -> Colum
     return 100 * most >= percent * (F.col(n) + F.col(other_n) - most)
 
 
-def _table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _sums(hashes: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Two commutative hashes of each row's set."""
+    at, out = np.append(0, np.cumsum(n)), []
+    for salt in _SALTS:
+        total = np.append(np.uint64(0), np.cumsum(mix(hashes ^ salt)))
+        out.append(_signed(total[at[1:]] - total[at[:-1]]))
+    return out
+
+
+def _rank(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of consecutive runs of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _hide(column: pa.Array, none: pa.Array) -> pa.Array:
+    return pc.if_else(none, pa.scalar(None, column.type), column)
+
+
+def _table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, most: int) -> tuple[DataFrame, bool]:
     """Every document's set size; of those that may link also the hash, the number of shingles that may be
     shared (``m``), these in the common order (``shared``) and those that a list takes (``head``).
+    And whether ``shared`` holds larger sets as well.
     """
-    spark = docs.sparkSession
-    expected = sketch.text_bytes(docs, text_col) // 6
-    seen = sketch.build(docs, text_col, expected, lambda data, offsets: _sets(data, offsets, width)[1], depth=1, per_key=2, most=GRADES_LOG2, graded=True)
-    shared = spark.sparkContext.broadcast(seen)  # bounded by GRADES_LOG2
+    limit = np.uint64(min(int(2**64 * graded_share(percent)), 2**64 - 1))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    expected = int(sketch.text_bytes(docs, text_col) // 6 * graded_share(percent))
+    names = "n long, m long, one long, two long, head binary, shared binary"
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, _key long, {names}"
+    if not sketch.fits(expected, 2, most):
+        return stash(_counted(rows, schema, limit, width, percent), "sets"), False
+
+    def graded(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        hashes = _sets(data, offsets, width)[1]
+        return hashes[hashes <= limit]
+
+    seen = rows.sparkSession.sparkContext.broadcast(sketch.build(rows, "_text", expected, graded, depth=1, per_key=2, most=most, graded=True))  # at most 2**most cells
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        rows, hashes = _sets(data, offsets, width)
-        n = np.bincount(rows, minlength=batch.num_rows)
-        grade = shared.value.levels(hashes)
-        m = np.bincount(rows[grade > 0], minlength=batch.num_rows)
+        row, hashes = _sets(data, offsets, width)
+        n = np.bincount(row, minlength=batch.num_rows)
+        sums, grade = _sums(hashes, n), np.full(len(hashes), _UNGRADED, np.uint8)
+        low = hashes <= limit
+        grade[low] = seen.value.levels(hashes[low])
+        m = n - np.bincount(row[grade == 0], minlength=batch.num_rows)
         live = (n > 0) & (100 * m >= percent * n)
-        at = np.append(0, np.cumsum(n))
-        sums = []
-        for salt in _SALTS:
-            total = np.append(np.uint64(0), np.cumsum(mix(hashes ^ salt)))
-            sums.append(total[at[1:]] - total[at[:-1]])
-        pick = (grade > 0) & live[rows]
-        rows, hashes, grade = rows[pick], hashes[pick], grade[pick]
-        order = np.lexsort((hashes, grade, rows))
-        hashes = hashes[order]
-        m = np.where(live, m, 0)
+        pick = (grade > 0) & live[row]
+        row, hashes, grade, m = row[pick], hashes[pick], grade[pick], np.where(live, m, 0)
+        hashes = hashes[np.lexsort((hashes, grade, row))]
         listed = np.where(live, m + (-percent * n // 100) + 1, 0)  # m - least_shared(n) + 1
-        head = np.arange(len(hashes)) - np.repeat(np.cumsum(m) - m, m) < np.repeat(listed, m)
-        none, empty = pa.array(~live), pa.scalar(None, pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), *(pc.if_else(none, pa.scalar(None, pa.int64()), _signed(s)) for s in sums), pc.if_else(none, empty, _binaries(hashes[head], listed)), pc.if_else(none, empty, _binaries(hashes, m))],
-            ["_id", "n", "m", "one", "two", "head", "shared"],
-        )
+        head, none = _rank(m) < np.repeat(listed, m), pa.array(~live)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(m, pa.int64()), *(_hide(c, none) for c in (*sums, _binaries(hashes[head], listed), _binaries(hashes, m)))], ["_id", "_key", *(x.split()[0] for x in names.split(", "))])
+
+    return stash(arrow_map(rows, "_text", schema, work).withColumn("_row", F.monotonically_increasing_id()), "sets"), True
+
+
+def _counted(rows: DataFrame, schema: str, limit: np.uint64, width: int, percent: int) -> DataFrame:
+    """The table with grades from exact counts; ``shared`` holds sets of up to ``SMALL`` shingles."""
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return stash(arrow_map(rows, "_text", f"_id {kind}, n long, m long, one long, two long, head binary, shared binary", work).withColumn("_row", F.monotonically_increasing_id()), "sets")
+    def lowest(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        row, hashes = _sets(data, offsets, width)
+        n = np.bincount(row, minlength=batch.num_rows)
+        low = np.bincount(row[hashes <= limit], minlength=batch.num_rows)
+        size = np.where(n <= SMALL, n, np.maximum(low, n + (-percent * n // 100) + 1))  # enough to list from
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *_sums(hashes, n), _binaries(hashes[_rank(n) < np.repeat(size, n)], size)], ["_id", "_key", "n", "one", "two", "low"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    low = stash(arrow_map(rows, "_text", f"_id {kind}, _key long, n long, one long, two long, low binary", lowest).withColumn("_row", F.monotonically_increasing_id()), "lowest")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x, "<u8") for x in batch.column("low").to_pylist()]
+            held = [x[x <= limit] for x in held]
+            of = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(of), _signed(np.concatenate([np.zeros(0, np.uint64), *held]))], ["_row", "element"])
+
+    elements = low.where("n > 0").mapInArrow(spread, "_row long, element long")
+    often = stash(elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    known = elements.join(often, "element").groupBy(F.col("_row").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("known"))  # one set's shingles
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, whole, ms = [], [], []
+            for n, raw, found in zip(batch.column("n").to_pylist(), batch.column("low").to_pylist(), batch.column("known").to_pylist(), strict=True):
+                held = np.frombuffer(raw, "<u8")
+                graded = held <= limit
+                ranked = np.array([x["element"] for x in found or []], np.int64).view(np.uint64)
+                once = int(graded.sum()) - len(ranked)
+                live = n > 0 and 100 * (n - once) >= percent * n
+                listed = n - once - least_shared(n, percent) + 1
+                heads.append(np.concatenate((ranked, held[~graded]))[:listed].tobytes() if live else None)
+                whole.append(held.tobytes() if live and n <= SMALL else None)
+                ms.append(n)
+            none = pa.array([h is None for h in heads], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), batch.column("n"), pa.array(ms, pa.int64()), _hide(batch.column("one"), none), _hide(batch.column("two"), none), pa.array(heads, pa.binary()), pa.array(whole, pa.binary()), batch.column("_row")], ["_id", "_key", "n", "m", "one", "two", "head", "shared", "_row"])
+
+    met = low.join(known, low["_row"] == known["_of"], "left").drop("_of")
+    return met.mapInArrow(choose, f"{schema}, _row long")
+
+
+def _read_again(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Whole sets, as ``shared``, of the classes ``wanted`` (class, _id, _key)."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    met = rows.join(wanted, ["_id", "_key"]).dropDuplicates(["class"]).select("class", "_text")
+
+    def work(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        row, hashes = _sets(data, offsets, width)
+        n = np.bincount(row, minlength=batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(n, pa.int64()), _binaries(hashes, n)], ["_row", "n", "m", "shared"])
+
+    return stash(arrow_map(met, "_text", "_row long, n long, m long, shared binary", work), "sets")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +249,16 @@ def _subset_keys(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _lists(first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, class, n, m, copies): what the light sets' subsets and the heavy sets' lists hold."""
+def _lists(first: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Rows (key, class, n, m, copies): what the light sets' subsets and the heavy sets' lists hold.
+
+    Where ``sets`` are not ``whole``, the largest light set is one that it holds.
+    """
     schema, known = "key long, class long, n long, m long, copies long", first.select("class", "n", "m", "copies")
     heads = stash(sets.where("head is not null").select(F.col("_row").alias("class"), "head").join(known, "class").mapInArrow(_unpack, schema), "heads")
     sized = heads.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1").agg(F.avg("df").alias("mean")).first()
     largest = first.agg(F.max("n").alias("n")).first()["n"] or 0
+    largest = largest if whole else min(largest, SMALL)
     edge = boundary(sized["mean"] or 1.0, percent, largest)
     heavy = heads.where(F.col("n") >= min(edge + 1, least_shared(edge + 1, percent)))
     light = sets.where((F.col("n") <= edge) & F.col("shared").isNotNull()).select(F.col("_row").alias("class"), "shared").join(known, "class")
@@ -217,7 +305,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("hub", "class", "label")), pa.array(np.frombuffer(b"".join(held), "<i8")), pa.array(more)], ["hub", "class", "label", "element", "more"])
 
 
-def _links(lists: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def _links(lists: DataFrame, sets: Callable[[DataFrame], DataFrame], first: DataFrame, percent: int) -> DataFrame:
     """Links that connect what is connected.
 
     Members x and y share exactly ``(|x| + |y| - apart(x) - apart(y)) / 2 + common`` shingles, where ``apart`` is the size of a member's
@@ -232,6 +320,7 @@ def _links(lists: DataFrame, sets: DataFrame, first: DataFrame, percent: int) ->
     hubs = stash(hubs.select("key", (-F.col("h.minus")).alias("hub"), "h.hub_n", "h.hub_m"), "hubs")
     held = stash(lists.join(hubs, "key").where("hub <> class"), "held")
     release(hubs, lists)
+    sets = sets(held.select("class").union(held.select("hub")).distinct())
     tried = stash(held.where(_may_link("n", "m", "hub_n", "hub_m", near)).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     done = stash(_compare(tried, sets, percent), "compared")
     release(tried)
@@ -293,20 +382,28 @@ def _links(lists: DataFrame, sets: DataFrame, first: DataFrame, percent: int) ->
     return out
 
 
-def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = GRADES_LOG2) -> DataFrame:
     """``n_shingles`` and ``component_id``, the smallest id that links reach, of every document."""
-    sets = _table(docs, width, percent, id_col, text_col)
-    live = sets.where("one is not null and _id is not null")
+    table, whole = _table(docs, width, percent, id_col, text_col, most)
+    live = table.where("one is not null and _id is not null")
     # a class is known by the row of its smallest id
-    first = stash(live.groupBy("one", "two").agg(F.min(F.struct("_id", "_row", "n", "m")).alias("f"), F.count(F.lit(1)).alias("copies")).select("one", "two", F.col("f._id").alias("least"), F.col("f._row").alias("class"), "f.n", "f.m", "copies"), "classes")
-    lists = _lists(first, sets, percent)
+    first = stash(live.groupBy("one", "two").agg(F.min(F.struct("_id", "_row", "_key", "n", "m")).alias("f"), F.count(F.lit(1)).alias("copies")).select("one", "two", F.col("f._id").alias("least"), F.col("f._row").alias("class"), F.col("f._key").alias("_key"), "f.n", "f.m", "copies"), "classes")
+    lists = _lists(first, table, percent, whole)
+    again: list[DataFrame] = []
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        if whole:
+            return table
+        again.append(_read_again(docs, first.join(wanted, "class").select("class", F.col("least").alias("_id"), "_key"), width, id_col, text_col))
+        return again[0]
+
     links = _links(lists, sets, first, percent)
     label = first.join(components(links), F.col("class") == F.col("node"), "left").select("one", "two", "least", F.coalesce("label", "class").alias("label"))
     label = stash(label, "labels")
     smallest = label.groupBy("label").agg(F.min("least").alias("component_id"))
     named = stash(label.join(smallest, "label").select("one", "two", "component_id"), "named")
-    rows = stash(sets.select("_id", "n", "one", "two"), "rows")
-    release(sets, first, links, label)
+    rows = stash(table.select("_id", "n", "one", "two"), "rows")
+    release(table, first, links, label, *again)
     return rows.join(named, ["one", "two"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
 
 

@@ -47,17 +47,17 @@ def clusters(seed, template=60):
     return [(i, t) for i, t in enumerate(found)]
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 70), (2, 60)])
-def test_against_brute_force(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "most"), [(3, 90, 27), (5, 80, 1), (1, 70, 27), (2, 60, 1)])
+def test_against_brute_force(spark, width, percent, most):  # most = 1: grades are counts, sets are read again
     data = rows(width)
-    found = {r[0]: (r[1], r[2]) for r in classes(frame(spark, data), width, percent).collect() if r[0] is not None}
+    found = {r[0]: (r[1], r[2]) for r in classes(frame(spark, data), width, percent, most=most).collect() if r[0] is not None}
     assert found == brute([(r[0], r[1]) for r in data if r[0] is not None], width, percent)
 
 
-@pytest.mark.parametrize(("seed", "template", "width", "percent"), [(1, 60, 3, 90), (2, 60, 3, 80), (3, 40, 2, 85), (4, 14, 1, 80)])
-def test_near_copies(spark, seed, template, width, percent):
+@pytest.mark.parametrize(("seed", "template", "width", "percent", "most"), [(1, 60, 3, 90, 27), (1, 120, 3, 90, 1), (2, 60, 3, 80, 27), (3, 40, 2, 85, 1), (4, 14, 1, 80, 27)])
+def test_near_copies(spark, seed, template, width, percent, most):
     data = clusters(seed, template)
-    found = {r[0]: (r[1], r[2]) for r in classes(spark.createDataFrame(data, "doc_id long, text string"), width, percent).collect()}
+    found = {r[0]: (r[1], r[2]) for r in classes(spark.createDataFrame(data, "doc_id long, text string"), width, percent, most=most).collect()}
     assert found == brute(data, width, percent)
 
 
