@@ -267,6 +267,70 @@ class HSMMFamily(GSMMFamily):
         return total
 
 
+    #: The likelihood does many coefficients in one recursion, so second derivatives come from it.
+    batched = True
+
+    def gradient(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> np.ndarray:
+        """Gradient of a series' log-likelihood: the complete-data score, expected under the posterior of the states.
+
+        One forward and one backward recursion give the probabilities of states, of entries with each
+        duration, of moves and of the first state. With events differences of the likelihood are taken.
+        """
+        out, s = np.zeros(len(coef)), self.states
+        if self.events:
+            step = 1e-5 * np.maximum(np.abs(coef), 1.0)
+            moves = np.diag(step)
+            both = self.llks([*(coef + m for m in moves), *(coef - m for m in moves)], splits, ys, xs)
+            return (both[: len(coef)] - both[len(coef) :]) / (2 * step)
+        c, _ = self.chain(coef, splits, ys, xs)
+        llk, a, scale = forward(c)
+        if not np.isfinite(llk):
+            return out
+        b = backward(c, scale)
+        state = (a * b).sum(axis=1)  # (n, S)
+        seen = b * c.emit[:, None] / scale[:, None, None]
+        enter = np.vstack((c.first[None], a[:-1, 0] @ c.move))  # weight of entering at each sample
+        stays = c.last * np.einsum("tj,trj->rj", enter, seen)  # expected stays by duration and state
+        reached = np.einsum("rj,trj->tj", c.last, seen)
+        moved = c.move * (a[:-1, 0].T @ reached[1:])
+        begun = c.first * reached[0]
+
+        def add(k: int, value: np.ndarray) -> None:
+            out[splits[k] : splits[k + 1]] += value
+
+        etas, at = self.etas(coef, splits, xs), 0
+        for j in range(s):
+            for y, f in zip(ys, self.families, strict=True):
+                with np.errstate(all="ignore"):
+                    first, _ = f.derivatives(y, etas[at : at + f.n_par])
+                for k in range(f.n_par):
+                    add(at + k, xs[at + k].T @ (state[:, j] * first[k]))
+                at += f.n_par
+        # the duration's probabilities are differences of a distribution function without closed slopes in its shape
+        step, shifted = 1e-5, []
+        for k in range(2 * s):
+            for sign in (1, -1):
+                moved_coef, x = coef.copy(), xs[at + k][0]
+                moved_coef[splits[at + k] : splits[at + k + 1]] += sign * step * x / max(float(x @ x), 1e-300)
+                shifted.append(moved_coef)
+        logs = np.log(np.maximum(self.durations(shifted, splits, xs), 1e-300))
+        for k in range(2 * s):
+            slope = (logs[2 * k, :, k // 2] - logs[2 * k + 1, :, k // 2]) / (2 * step)
+            add(at + k, xs[at + k][0] * float(stays[:, k // 2] @ slope))
+        at += 2 * s
+        if self.move is None:
+            for j in range(s):
+                others = [k for k in range(s) if k != j]
+                slope = moved[j, others] - c.move[j, others] * moved[j].sum()
+                for k in range(s - 2):
+                    add(at + k, xs[at + k][0] * slope[k + 1])
+                at += s - 2
+        if self.first is None:
+            for k in range(s - 1):
+                add(at + k, xs[at + k][0] * (begun[k + 1] - c.first[k + 1]))
+        return out
+
+
 class HSMM(GSMM):
     """``GSMM`` with a semi-Markov family: adds what works on single series."""
 

@@ -52,6 +52,8 @@ class GSMMFamily(ABC):
 
     gradient: Callable | None = None
     hessian: Callable | None = None
+    #: Whether ``llks`` costs little more than ``llk``, so that second differences come from it.
+    batched = False
 
     def init_coef(self, splits: list[int]) -> np.ndarray | None:
         return None
@@ -192,7 +194,7 @@ class Joint(Model):
                 out = {"llk": family.llk(coef, splits, ys, xs), "grad": gradient(coef, ys, xs)}
                 if second and family.hessian is not None:
                     out["hess"] = family.hessian(coef, splits, ys, xs)
-                elif second and family.gradient is not None:
+                elif second and family.gradient is not None and not family.batched:
                     cols = []
                     for k in range(p):
                         up, down = ends(k)

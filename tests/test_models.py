@@ -438,3 +438,21 @@ def test_cholesky_update():
     assert np.allclose(chol_update(low, 0.5 * v, -1.0), np.linalg.cholesky(a - 0.25 * np.outer(v, v)))
     with pytest.raises(np.linalg.LinAlgError):
         chol_update(low, 100 * v, -1.0)
+
+
+@pytest.mark.parametrize(("states", "fixed", "last"), [(2, True, False), (3, False, False), (3, False, True)])
+def test_semi_markov_gradient(states, fixed, last):
+    rng = np.random.default_rng(states)
+    families = [fam.GAUMLSS(), fam.GAMMALS()] if states == 2 else [fam.GAUMLSS()]
+    move = np.array([[0.0, 1.0], [1.0, 0.0]]) if fixed else None
+    family = HSMMFamily(states, families, 9, move=move, first=np.full(states, 1 / states) if fixed else None, ends_with_last=last)
+    n = 40
+    ys = [rng.normal(size=n) + 3 * (np.arange(n) % 9 > 4), rng.gamma(2.0, 1.0, n)][: len(families)]
+    xs = [np.column_stack((np.ones(n), rng.normal(size=n))) for _ in range(family.n_par)]
+    splits = list(range(0, 2 * family.n_par + 1, 2))
+    coef = rng.normal(0, 0.3, splits[-1])
+    step, want = 1e-5, []
+    for k in range(len(coef)):
+        e = step * np.eye(len(coef))[k]
+        want.append((family.llk(coef + e, splits, ys, xs) - family.llk(coef - e, splits, ys, xs)) / (2 * step))
+    assert np.allclose(family.gradient(coef, splits, ys, xs), want, rtol=1e-4, atol=1e-4)
