@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import families as fam
-from .functions.basis import difference_penalty
+from .functions import special as sp
+from .functions.basis import difference_penalty, natural, null_penalty, sum_to_zero
+from .functions.linalg import penalty_logdet
 from .functions.links import Identity
-from .operators.partials import gather
+from .operators.partials import cross_pairs, gather
 from .plans import inference
 from .plans import solve as S
 from .plans.gamm import GAMM
@@ -19,6 +21,7 @@ from .plans.hazard import PropHaz
 from .plans.joint import GAMMLSS, GSMM, Adapter, MultiGauss
 from .plans.terms import Formula, f, i, l, lhs, ri, rs
 from .registry import frame, query, table
+from .sources import readers
 
 _Y = "10*sin(l_quantity/8.0) + 20*l_discount"
 #: Sums of the straight line y ~ l_quantity.
@@ -315,3 +318,67 @@ def difference_penalty_entries(spark: SparkSession, sf: str) -> DataFrame:
     s = difference_penalty(10)
     at = [(a, b) for a in range(10) for b in range(10) if abs(a - b) < 3]
     return frame(spark, pd.DataFrame({"i": np.array([a for a, _ in at], np.int32), "j": np.array([b for _, b in at], np.int32), "v": [float(s[a, b]) for a, b in at]}))
+
+
+# numbers of the size of a model -----------------------------------------------------------------------------
+@query("""select cast(x as double) as x, round(exp(-x/2.0) * (1 + x/2.0), 6) as chi2, round(power(1 + 2*x/10.0, -5), 6) as f, round(1 - x / sqrt(2.0 + x*x), 6) as t, round(1 - exp(-x/3.0), 6) as gamma,
+round(exp(-x/4.0) * (1 + x/4.0), 4) as weighted, round(lgamma(x + 0.5), 6) as lgamma from range(1, 16) r(x)""")
+def special_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Tails of chi-squared (4), F (2, 10), t (2), Gamma (1, 3) and of twice a chi-squared (4), and the log-gamma function."""
+    x = np.arange(1.0, 16.0)
+    got = {"x": x, "chi2": sp.chi2_sf(x, 4.0), "f": sp.f_sf(x, 2.0, 10.0), "t": sp.t_sf_two_sided(x, 2.0), "gamma": sp.gamma_cdf(x, np.float64(1.0), np.float64(3.0)), "weighted": [float(np.ravel(sp.weighted_chi2_sf(float(v), np.full(4, 2.0)))[0]) for v in x], "lgamma": sp.lgamma(x + 0.5)}
+    out = frame(spark, pd.DataFrame({k: np.asarray(v, float) for k, v in got.items()}))
+    return _rounded(_rounded(out, 6, "chi2", "f", "t", "gamma", "lgamma"), 4, "weighted")
+
+
+@query("select cast(a as integer) as i, cast(b as integer) as j, round(1/12.0 + (a - 5.5) * (b - 5.5) / 143.0, 6) as v from range(0, 12) x(a), range(0, 12) y(b)")
+def null_space_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    """The penalty of straight lines, which second differences leave free."""
+    s = null_penalty(difference_penalty(12))
+    i, j = np.divmod(np.arange(144, dtype=np.int32), 12)
+    return _rounded(frame(spark, pd.DataFrame({"i": i, "j": j, "v": s.ravel()})), 6, "v")
+
+
+@query("select cast(n as integer) as n, round(ln(n) + (n - 1) * ln(3.0), 6) as logdet, cast(n - 1 as integer) as rank from range(4, 20) r(n)")
+def penalty_determinants(spark: SparkSession, sf: str) -> DataFrame:
+    """Log of the product of the non-zero eigenvalues of thrice the first-difference penalty, and its rank."""
+    rows = [(n, *penalty_logdet([difference_penalty(n, 1)], [3.0])[1:]) for n in range(4, 20)]
+    out = pd.DataFrame({"n": np.array([r[0] for r in rows], np.int32), "logdet": [r[1] for r in rows], "rank": np.array([r[2] for r in rows], np.int32)})
+    return _rounded(frame(spark, out), 6, "logdet")
+
+
+@query("select kind, cast(a as integer) as i, cast(b as integer) as j, case when a = b then 1.0::double else 0.0::double end as v from (values ('constraint'), ('natural')) k(kind), range(0, 9) x(a), range(0, 9) y(b)")
+def orthonormal_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """The QR constraint of a smooth of all rows has orthonormal columns; so has its natural basis under the cross product."""
+    from .queries import _quantity_basis
+
+    rows = _quantity_basis(spark, sf)
+    flat = rows.select(F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy("e.idx").agg(F.sum("e.val").alias("v")).orderBy("idx").toPandas()
+    pairs = cross_pairs(rows, "idx", "val").toPandas()
+    gram = np.zeros((10, 10))
+    gram[pairs["i"], pairs["j"]] = gram[pairs["j"], pairs["i"]] = pairs["v"]
+    z = sum_to_zero(flat["v"].to_numpy())
+    inner = z.T @ gram @ z / rows.count()
+    b, _ = natural(inner, z.T @ difference_penalty(10) @ z)
+    i, j = np.divmod(np.arange(81, dtype=np.int32), 9)
+    parts = [pd.DataFrame({"kind": k, "i": i, "j": j, "v": m.ravel()}) for k, m in (("constraint", z.T @ z), ("natural", b.T @ inner @ b))]
+    return frame(spark, pd.concat(parts)).withColumn("v", F.abs(F.round("v", 5)))
+
+
+@query("select round(sum(2 * n / (n + 5.0) - (n / (n + 5.0)) * (n / (n + 5.0))), 6) as edf1, round(sum(n / (n + 5.0)), 6) as edf from (select count(*) as n from orders group by o_orderpriority)")
+def ridge_edf1(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "orders").withColumn("y", (F.col("o_totalprice") - 250000) / 1000)
+    model = GAMM(Formula(lhs("y"), [ri("o_orderpriority")])).fit(d, lam=5.0, fixed_lam=True)
+    return _rounded(frame(spark, pd.DataFrame([{"edf1": float(inference.edf1(model).sum()), "edf": model.fitted.edf}])), 6, "edf1", "edf")
+
+
+@query("select distinct o_orderpriority as level from orders where o_orderpriority is not null")
+def unique_values(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, pd.DataFrame({"level": readers.read_unique(table(spark, sf, "orders"), "o_orderpriority")}))
+
+
+@query("select count(*) as n, round(sum(value), 2) as total from events where event_id % 17 <> 0")
+def covariate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """One covariate where the response is known."""
+    d = table(spark, sf, "events").withColumn("y", F.when(F.col("event_id") % 17 != 0, 1.0))
+    return readers.read_cov(d, "y", "value").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
