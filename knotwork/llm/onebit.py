@@ -149,7 +149,7 @@ def _search(marked: DataFrame, dim: int, k: int, sure: float, step: int, sample:
     sizes = marked.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("_query"), 1)).alias("asked")).first()
     # the smaller the remainder, the more samples a vector is in; 1 is the whole table
     shares, size = [1], sizes["all"] // step
-    while size > step * sample:
+    while size > sample:
         shares.insert(0, shares[0] * step)
         size //= step
     blocks = max(1, -(-sizes["asked"] // BLOCK))
