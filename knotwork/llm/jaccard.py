@@ -2,13 +2,13 @@
 
 Two documents link if ``100 * intersection >= percent * union`` of their shingle sets.
 
-1. The shingles of the lowest hashes (``graded_share``) are graded by how many documents hold them. A set
-   with too many that one document holds can't link with another text and is done. The order (grade,
-   hash), then the other shingles by hash, is one for all sets; partners share one of the first
-   ``m - least_shared(n) + 1`` of a set's ``m`` shingles that may be shared, and no more are listed.
-   Grades come from a count-min sketch that is broadcast, in one pass, while the sketch has at most
-   2**``GRADES_LOG2`` cells. Beyond that they are exact counts, by grouping the shingles of the lowest hashes, and the
-   texts of the classes that a list compares are read again for their sets.
+1. Shingles are graded by how many documents hold them. A set with too many that one document holds
+   can't link with another text and is done. The order (grade, hash) is one for all sets; partners share
+   one of the first ``m - least_shared(n) + 1`` of a set's ``m`` shingles that may be shared, and no
+   more are listed. Grades come from a count-min sketch that is broadcast, while it has ``LOAD`` shingles a
+   cell at most with 2**``GRADES_LOG2`` cells. Beyond that they are exact counts, by grouping the shingles of
+   the lowest hashes (``graded_share``; the others come last in the order), and the texts of the classes
+   that a list compares are read again for their sets.
 2. Sets that are equal form a class, by a 128-bit commutative hash; classes are joined, not copies.
 3. Light sets, up to the boundary size, list all their subsets of the sizes that an intersection
    with a partner can have; partners share a subset. Heavy sets scan the inverted lists of their
@@ -49,10 +49,10 @@ from .shared import Segments, arrow_map, gram_hashes, mix, release, stash, unuse
 
 #: Most cells of a grading sketch that is broadcast, as a power of two: at two bits a cell 32 MB.
 GRADES_LOG2 = 27
+#: Shingles a cell from which that sketch tells too little.
+LOAD = 1.5
 #: Sets up to this size are kept whole where the larger ones are read again.
 SMALL = 64
-#: Grade of shingles beyond those of the lowest hashes.
-_UNGRADED = 9
 _SALTS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 
 
@@ -62,8 +62,8 @@ def least_shared(n: int, percent: int) -> int:
 
 
 def graded_share(percent: int) -> float:
-    """Share of all hashes whose shingles are graded: enough to choose a set's listed ones among them."""
-    return min(1.0, max(0.05, 2.5 * (100 - percent) / 100))
+    """Share of all hashes whose shingles are counted: enough to choose a set's listed ones among the rare ones."""
+    return min(1.0, max(0.1, 5 * (100 - percent) / 100))
 
 
 def subsets(n: int, percent: int) -> int:
@@ -135,26 +135,19 @@ def _table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     shared (``m``), these in the common order (``shared``) and those that a list takes (``head``).
     And whether ``shared`` holds larger sets as well.
     """
-    limit = np.uint64(min(int(2**64 * graded_share(percent)), 2**64 - 1))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    expected = int(sketch.text_bytes(docs, text_col) // 6 * graded_share(percent))
+    expected = sketch.text_bytes(docs, text_col) // 6
     names = "n long, m long, one long, two long, head binary, shared binary"
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, _key long, {names}"
-    if not sketch.fits(expected, 2, most):
+    if expected > LOAD * 2**most:
+        limit = np.uint64(min(int(2**64 * graded_share(percent)), 2**64 - 1))
         return stash(_counted(rows, schema, limit, width, percent), "sets"), False
-
-    def graded(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        hashes = _sets(data, offsets, width)[1]
-        return hashes[hashes <= limit]
-
-    seen = rows.sparkSession.sparkContext.broadcast(sketch.build(rows, "_text", expected, graded, depth=1, per_key=2, most=most, graded=True))  # at most 2**most cells
+    seen = rows.sparkSession.sparkContext.broadcast(sketch.build(rows, "_text", expected, lambda data, offsets: _sets(data, offsets, width)[1], depth=1, per_key=2, most=most, graded=True))  # at most 2**most cells
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         row, hashes = _sets(data, offsets, width)
         n = np.bincount(row, minlength=batch.num_rows)
-        sums, grade = _sums(hashes, n), np.full(len(hashes), _UNGRADED, np.uint8)
-        low = hashes <= limit
-        grade[low] = seen.value.levels(hashes[low])
+        sums, grade = _sums(hashes, n), seen.value.levels(hashes)
         m = n - np.bincount(row[grade == 0], minlength=batch.num_rows)
         live = (n > 0) & (100 * m >= percent * n)
         pick = (grade > 0) & live[row]
