@@ -9,7 +9,7 @@ from .plans.arrow import ArrowGAMM
 from .plans.gamm import GAMM
 from .plans.hazard import PropHaz
 from .plans.hsmm import HSMM, HSMMFamily
-from .plans.inference import RhoPrior, UniformRhoPrior, aic, compare_CDL, convergence, correct_covariance, edf1, estimate_vp, print_parametric_terms, print_smooth_terms, sample_posterior, smooth_p_values, summary_parametric, summary_smooth
+from .plans.inference import RhoPrior, UniformRhoPrior, aic, compare_CDL, convergence, correct_covariance, edf1, estimate_vp, print_parametric_terms, print_smooth_terms, refits, sample_posterior, smooth_p_values, summary_parametric, summary_smooth
 from .plans.kinds import ConstType, Extension, Method, Residual
 from .plans.joint import GAMMLSS, GSMM, Adapter, FamilyAdapter, GSMMFamily, MultiGauss
 from .plans.model import read_mmat

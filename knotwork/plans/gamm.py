@@ -50,11 +50,12 @@ class GAMM(Model):
         rows = rows.withColumns({f"p_{c}": F.lag(c).over(own) for c in lag} | {"_first": F.row_number().over(own) == 1})
         return rows.drop(*(f"_o{k}" for k in range(len(keys))))
 
-    def fit(self, df: DataFrame, max_outer: int = 200, conv_tol: float = 1e-7, offset: str | None = None, rho: float | None = None, lam: float = 1.1, fixed_lam: bool = False, find_nested: bool = True, encoding: enc.Encoding | None = None, method: str = "Chol", extension: str = "ratio") -> GAMM:
+    def fit(self, df: DataFrame, max_outer: int = 200, conv_tol: float = 1e-7, offset: str | None = None, rho: float | None = None, lam: float | Sequence[float] = 1.1, fixed_lam: bool = False, find_nested: bool = True, encoding: enc.Encoding | None = None, method: str = "Chol", extension: str = "ratio", init_coef: np.ndarray | None = None) -> GAMM:
         """Estimate coefficients, smoothing parameters and scale.
 
         ``offset`` names a column; ``rho`` whitens the rows of each series by an AR(1) process;
-        ``fixed_lam`` keeps all smoothing parameters at ``lam``. ``method`` "QR" takes the coefficients
+        ``fixed_lam`` keeps all smoothing parameters at ``lam``, one number or one for each; ``init_coef``
+        are coefficients of an earlier fit to start weighted steps from. ``method`` "QR" takes the coefficients
         of a Gaussian model from a QR decomposition of the rows, which costs one more pass and keeps the digits
         that cross products lose. ``extension``: how steps of the lambdas are lengthened, see ``StepControl``.
         """
@@ -70,7 +71,7 @@ class GAMM(Model):
             linear = isinstance(self.family, Gaussian) and isinstance(self.family.link, Identity)
             if method == "QR" and not linear:
                 raise ValueError("QR is for Gaussian models with the identity link")
-            self.fitted = self._linear(rows, design, lam, fixed_lam, find_nested, method) if linear else self._weighted(rows, design, lam, fixed_lam, max_outer, conv_tol)
+            self.fitted = self._linear(rows, design, lam, fixed_lam, find_nested, method) if linear else self._weighted(rows, design, lam, fixed_lam, max_outer, conv_tol, init_coef)
         finally:
             rows.unpersist()
         return self
@@ -90,7 +91,14 @@ class GAMM(Model):
         past = before["y0"] - before.get("o_offset", 0.0)
         return np.concatenate((index, old_index), axis=1), np.concatenate((value * a[:, None], old_value * b[:, None]), axis=1), a * y + b * past
 
-    def _linear(self, rows: DataFrame, design: spec.Design, lam: float, fixed: bool, find_nested: bool, method: str) -> S.Fit:
+    @staticmethod
+    def _penalties(design: spec.Design, lam: float | Sequence[float]) -> list[S.Penalty]:
+        found = design.penalties(lam=1.1 if np.ndim(lam) else lam)
+        if np.ndim(lam):
+            S.set_logs(found, np.log(np.asarray(lam, float)))
+        return found
+
+    def _linear(self, rows: DataFrame, design: spec.Design, lam: float | Sequence[float], fixed: bool, find_nested: bool, method: str) -> S.Fit:
         """Gaussian with identity link: one pass, then all is on the driver.
 
         The response is shifted by its mean, if there is an intercept, so that sums of squares keep
@@ -115,7 +123,7 @@ class GAMM(Model):
             spec.prune(design, a)
             a, b = design.map.T @ got["xx"] @ design.map, design.map.T @ got["xy"]
         yy, n, jac = got["one"]
-        fit = S.solve(a, b, yy, n, design.penalties(lam=lam), self.family.scale, fixed=fixed, extension=self._extension)
+        fit = S.solve(a, b, yy, n, self._penalties(design, lam), self.family.scale, fixed=fixed, extension=self._extension)
         if method == "QR":
             p = len(b)
 
@@ -136,14 +144,14 @@ class GAMM(Model):
         fit.reml = S.reml(fit.llk, a, centred, fit.scale, fit.penalties)
         return fit
 
-    def _weighted(self, rows: DataFrame, design: spec.Design, lam: float, fixed: bool, most: int, tol: float) -> S.Fit:
+    def _weighted(self, rows: DataFrame, design: spec.Design, lam: float | Sequence[float], fixed: bool, most: int, tol: float, start: np.ndarray | None = None) -> S.Fit:
         """A pass for each weighted step: working response and weights at the current coefficients.
 
         Rows with a useless weight or response leave that step. If the penalised deviance rises, one
         more pass finds the longest of several shortened steps that lowers it.
         """
         family, raw = self.family, design.raw_width
-        penalties = design.penalties(lam=lam)
+        penalties = self._penalties(design, lam)
         extended = isinstance(family, ExtendedFamily)
 
         def statistics(coef: np.ndarray | None, newton: bool = False) -> Callable[[Block], dict[str, np.ndarray | float]]:
@@ -170,9 +178,10 @@ class GAMM(Model):
             q = len(family.theta)
             sizes["theta"] = (1 + q + q * q,)
         self._phi = family.scale or 1.0
-        coef, fit, before = None, None, np.inf
+        coef, fit, before, old = None, None, np.inf, None
         for k in range(most):
-            got = gather(rows, statistics(coef), sizes)
+            first = start if coef is None and start is not None and len(start) == design.n_coef else coef
+            got = gather(rows, statistics(first), sizes)
             zz, n, dev, llk, chi = got["one"]
             if coef is not None:
                 s = S.total(fit.penalties, len(coef))
@@ -195,7 +204,7 @@ class GAMM(Model):
             if coef is None:
                 spec.prune(design, a)
                 a, b = design.map.T @ got["xx"] @ design.map, design.map.T @ got["xz"]
-                penalties = design.penalties(lam=lam)
+                penalties = self._penalties(design, lam)
             logs = np.log([p.lam for p in penalties]) if penalties else np.zeros(1)
             fit = S.solve(a, b, zz, n, penalties, 1.0 if extended else family.scale, fixed=fixed, most=200 if coef is not None else 1, extension=self._extension)
             lam_moved = float(np.max(np.abs(np.log([p.lam for p in penalties]) - logs))) if penalties else 0.0

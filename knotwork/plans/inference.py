@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
 from ..functions.linalg import chol_derivative, inverse_factor, pseudo_inverse_logdet
 from ..functions.linalg import penalty_logdet as logdet_of
@@ -116,11 +118,31 @@ def _logs(model: Model) -> tuple[list[list[int]], np.ndarray]:
     return groups, np.log([model.fitted.penalties[g[0]].lam for g in groups])
 
 
-def candidate(model: Model, rho: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def refits(model: Model, df: DataFrame) -> Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]:
+    """REML, coefficients and covariance of an additive model fitted anew at other log lambdas, the data's
+    own for every family; each costs the passes of a fit from the present coefficients.
+    """
+    known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
+
+    def at(rho: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        key = np.round(np.asarray(rho, float), 12).tobytes()
+        if key not in known:
+            new = type(model)(model.formula, copy.deepcopy(model.family))
+            new.fit(df, lam=np.exp(rho), fixed_lam=True, offset=model.offset, rho=model.rho, encoding=model.designs[0].encoding, init_coef=model.fitted.coef, conv_tol=1e-10)
+            known[key] = new.fitted.reml, new.fitted.coef, new.fitted.lvi
+        return known[key]
+
+    return at
+
+
+def candidate(model: Model, rho: np.ndarray, refit: Callable | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """REML, coefficients and covariance at other log lambdas, with the Hessian as it is.
 
-    The likelihood is its quadratic expansion at the estimate, which is exact for a Gaussian response.
+    The likelihood is its quadratic expansion at the estimate, which is exact for a Gaussian response;
+    ``refit`` (see ``refits``) fits anew instead.
     """
+    if refit is not None:
+        return refit(rho)
     fit = model.fitted
     groups, _ = _logs(model)
     old = [p.lam for p in fit.penalties]
@@ -146,18 +168,18 @@ def candidate(model: Model, rho: np.ndarray) -> tuple[float, np.ndarray, np.ndar
             p.lam = lam
 
 
-def estimate_vp(model: Model, step: float = 1e-2, regularise: float = 0.0) -> np.ndarray:
+def estimate_vp(model: Model, step: float = 1e-2, regularise: float = 0.0, refit: Callable | None = None) -> np.ndarray:
     """Covariance of the log lambdas: inverse Hessian of the negative REML by differences."""
     _, rho = _logs(model)
-    q, at = len(rho), candidate(model, _logs(model)[1])[0]
+    q, at = len(rho), candidate(model, rho, refit)[0]
     h = np.zeros((q, q))
     for a in range(q):
         for b in range(a + 1):
             e, g = step * np.eye(q)[a], step * np.eye(q)[b]
             if a == b:
-                h[a, a] = (candidate(model, rho + e)[0] - 2 * at + candidate(model, rho - e)[0]) / step**2
+                h[a, a] = (candidate(model, rho + e, refit)[0] - 2 * at + candidate(model, rho - e, refit)[0]) / step**2
             else:
-                h[a, b] = h[b, a] = (candidate(model, rho + e + g)[0] - candidate(model, rho + e - g)[0] - candidate(model, rho - e + g)[0] + candidate(model, rho - e - g)[0]) / (4 * step**2)
+                h[a, b] = h[b, a] = (candidate(model, rho + e + g, refit)[0] - candidate(model, rho + e - g, refit)[0] - candidate(model, rho - e + g, refit)[0] + candidate(model, rho - e - g, refit)[0]) / (4 * step**2)
     value, vector = np.linalg.eigh(-h)
     keep = value > 1e-7
     return (vector[:, keep] / (value[keep] + regularise)) @ vector[:, keep].T
@@ -179,11 +201,12 @@ class UniformRhoPrior(RhoPrior):
         return np.where(inside, -rho.shape[1] * np.log(self.high - self.low), -np.inf)
 
 
-def correct_covariance(model: Model, grid: str = "JJJ1", draws: int = 250, df: float = 40, prior: RhoPrior | None = None, seed: int = 0) -> tuple[np.ndarray, float]:
+def correct_covariance(model: Model, grid: str = "JJJ1", draws: int = 250, df: float = 40, prior: RhoPrior | None = None, seed: int = 0, refit: Callable | None = None) -> tuple[np.ndarray, float]:
     """Covariance (unscaled) and edf that take in the uncertainty of the smoothing parameters.
 
     JJJ1 adds the first-order terms of coefficients and Cholesky factor; JJJ2 averages V over draws of
-    log lambda from a multivariate t and adds the coefficients' term; JJJ3 averages both.
+    log lambda from a multivariate t and adds the coefficients' term; JJJ3 averages both. ``refit``
+    judges other lambdas by new fits, which matters for families other than the Gaussian.
     """
     fit = model.fitted
     groups, rho = _logs(model)
@@ -192,18 +215,18 @@ def correct_covariance(model: Model, grid: str = "JJJ1", draws: int = 250, df: f
         return v, fit.edf
     jac = np.stack([-v @ sum((_embed(fit.penalties[k], p) for k in g), np.zeros((p, p))) @ fit.coef for g in groups], axis=1)
     if grid == "JJJ1":
-        vp = estimate_vp(model)
+        vp = estimate_vp(model, step=0.1 if refit else 1e-2, refit=refit)
         low = np.linalg.cholesky(v + 1e-12 * np.trace(v) / p * np.eye(p))
         slopes = [chol_derivative(low, -v @ sum((_embed(fit.penalties[k], p) for k in g), np.zeros((p, p))) @ v) for g in groups]
         vcc = sum(vp[a, b] * slopes[a] @ slopes[b].T for a in range(len(groups)) for b in range(len(groups)))
         out = v + jac @ vp @ jac.T / fit.scale + vcc
     elif grid in ("JJJ2", "JJJ3"):
-        vp = estimate_vp(model, regularise=0.1)
+        vp = estimate_vp(model, step=0.1 if refit else 1e-2, regularise=0.1, refit=refit)
         rng = np.random.default_rng(seed)
         root = np.linalg.cholesky(vp + 1e-10 * np.eye(len(vp)))
         t = rng.normal(size=(draws, len(rho))) / np.sqrt(rng.chisquare(df, size=(draws, 1)) / df)
         sample = np.vstack((rho, np.clip(rho + t @ root.T, np.log(1e-7), np.log(1e7))))
-        found = [candidate(model, r) for r in sample]
+        found = [candidate(model, r, refit) for r in sample]
         d = np.sum(np.linalg.solve(root, (sample - rho).T) ** 2, axis=0)
         log = np.array([f[0] for f in found]) + (prior or RhoPrior()).logpdf(sample) + 0.5 * (df + len(rho)) * np.log1p(d / df)
         w = np.exp(log - log.max())

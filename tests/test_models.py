@@ -456,3 +456,17 @@ def test_semi_markov_gradient(states, fixed, last):
         e = step * np.eye(len(coef))[k]
         want.append((family.llk(coef + e, splits, ys, xs) - family.llk(coef - e, splits, ys, xs)) / (2 * step))
     assert np.allclose(family.gradient(coef, splits, ys, xs), want, rtol=1e-4, atol=1e-4)
+
+
+def test_other_lambdas_by_new_fits(data):
+    plain = GAMM(Formula(lhs("y"), [i(), f(["x0"], nk=6)])).fit(data)
+    rho = solve.get_logs(plain.fitted.penalties) + 0.5
+    new, near = inference.refits(plain, data)(rho), inference.candidate(plain, rho)
+    assert np.allclose(new[1], near[1], atol=1e-6)
+    counts = data.withColumn("n", F.floor(F.abs("y")).cast("double"))
+    m = GAMM(Formula(lhs("n"), [i(), f(["x0"], nk=6)]), fam.Poisson()).fit(counts)
+    at = inference.refits(m, counts)
+    rho = solve.get_logs(m.fitted.penalties)
+    assert np.allclose(at(rho)[1], m.fitted.coef, atol=1e-4) and np.isclose(at(rho)[0], m.fitted.reml, atol=1e-3)
+    assert at(rho + 3)[0] < at(rho)[0] and at(rho - 3)[0] < at(rho)[0] + 1e-6
+    assert inference.correct_covariance(m, refit=at)[1] >= m.fitted.edf
