@@ -3,9 +3,10 @@
 A sequence has three capacities: tokens, documents (pieces) and attention cost (the sum of squared
 piece lengths). Pieces go, longest first, to the open sequence in which every capacity still
 suffices and whose remaining capacities after the placement have the smallest norm (``residual``)
-or the largest weighted dot product with the piece's needs (``dot``). The default number of
-documents binds where many short ones meet; the default cost is that of one full piece, which
-must fit, so it can't bind by itself and only shades the choice.
+or the largest weighted dot product with the piece's needs (``dot``). The default cost is that of
+one full piece, which must fit, so it can't bind by itself and only shades the choice. Where no
+capacity is given, the number of documents is the smallest of some that costs no sequence
+(``tightest``), so it binds where many short ones meet.
 
 Equal lengths are the same item, so the whole choice is made on the histogram of lengths, which has
 at most ``capacity`` entries however many documents there are: sequences in the same state form
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ END_ID = 2
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 1024
-    documents: int = 48
+    documents: int = 1024
     attention: int = 1024 * 1024
     #: Weights of the three dimensions in the norm and in the dot product.
     weights: tuple[float, float, float] = (1.0, 0.05, 0.25)
@@ -121,13 +122,28 @@ def plan(histogram: Mapping[int, int], cap: Capacity = Capacity()) -> list[tuple
     return rows
 
 
-def place(parts: DataFrame, cap: Capacity = Capacity(), chunks: int = 1024, id_col: str = "doc_id") -> DataFrame:
+def n_sequences(rows: list[tuple[int, int, int, int, int, int]]) -> int:
+    return max((first - (lo - hi) // each for _, lo, hi, first, each, _ in rows), default=0)
+
+
+def tightest(histogram: Mapping[int, int], cap: Capacity = Capacity()) -> Capacity:
+    """``cap`` with the number of documents lowered as long as no more sequences are needed."""
+    least, documents = n_sequences(plan(histogram, cap)), cap.documents
+    for parts in (2, 4, 8, 16, 21, 32, 43, 64, 85, 128):  # halves, and a third less between them
+        fewer = replace(cap, documents=max(cap.documents // parts, 1))
+        if n_sequences(plan(histogram, fewer)) > least:
+            break
+        documents = fewer.documents
+    return replace(cap, documents=documents)
+
+
+def place(parts: DataFrame, cap: Capacity | None = None, chunks: int = 1024, id_col: str = "doc_id") -> DataFrame:
     """``sequence_id`` and ``offset`` of every piece; ``parts`` is read twice and should be a table."""
     spark = parts.sparkSession
     counted = parts.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "piece"), F.lit(chunks)))
     counts = counted.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most cap.tokens rows
-    rows = plan(histogram, cap) or [(-1, 0, 0, 0, 1, 0)]
+    rows = plan(histogram, tightest(histogram) if cap is None else cap) or [(-1, 0, 0, 0, 1, 0)]
     where = spark.createDataFrame(rows, "length long, _from long, _to long, _first long, _each long, _base long")
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
     own = Window.partitionBy("length", "_chunk").orderBy(id_col, "piece")
@@ -142,9 +158,9 @@ def place(parts: DataFrame, cap: Capacity = Capacity(), chunks: int = 1024, id_c
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, cap: Capacity | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places."""
-    return place(stash(pieces(docs, tokenizer, cap.tokens, END_ID, with_ids, id_col, text_col), "pieces"), cap, id_col=id_col)
+    return place(stash(pieces(docs, tokenizer, (cap or Capacity()).tokens, END_ID, with_ids, id_col, text_col), "pieces"), cap, id_col=id_col)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -272,9 +272,13 @@ def test_plan_chooses_as_vector_best_fit_does(cap):
 def test_document_capacity_costs_no_sequence(spark):
     parts = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), BYTE)
     hist = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
-    scalar = packing.Capacity(documents=1024, weights=(1.0, 0.0, 0.0))
-    count = [max(r[3] + -(-(r[2] - r[1]) // r[4]) for r in packing.plan(hist, c)) for c in (packing.Capacity(), scalar)]
-    assert count[0] <= count[1]
+    scalar = packing.n_sequences(packing.plan(hist, packing.Capacity(weights=(1.0, 0.0, 0.0))))
+    cap = packing.tightest(hist)
+    rows = packing.plan(hist, cap)
+    assert packing.n_sequences(rows) <= scalar and cap.documents < 1024
+    tiny = {20: 30_000, 1: 500}  # no lower number than the tokens ask for
+    assert packing.n_sequences(packing.plan(tiny, packing.tightest(tiny))) == packing.n_sequences(packing.plan(tiny))
+    assert packing.tightest({}) is not None and packing.n_sequences([]) == 0
 
 
 def test_sequences_hold_the_ids(spark):
