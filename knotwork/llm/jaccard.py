@@ -265,9 +265,14 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     the shared shingles of a alone and of b alone (``differ``), their number and that of a's.
     """
     near = 2 * percent - 100
+    # one look at the sets for both ends of all pairs; a's own row goes with its pairs
+    ends = pairs.select(F.col("b").alias("_row"), "a").union(pairs.select(F.col("a").alias("_row"), "a").distinct())
+    held = sets.where("shared is not null").select("_row", "n", "m", "shared").join(ends, "_row")
+    held = stash(held, "ends")
 
-    def side(name: str) -> DataFrame:
-        return sets.where("shared is not null").select(F.col("_row").alias(name), F.col("n").alias(f"n_{name}"), F.col("m").alias(f"m_{name}"), F.col("shared").alias(f"set_{name}"))
+    def side(name: str, own: bool) -> DataFrame:
+        rows = held.where((F.col("_row") == F.col("a")) == F.lit(own))
+        return rows.select("a", *([] if own else [F.col("_row").alias("b")]), *[F.col(c).alias(f"{t}_{name}") for c, t in (("n", "n"), ("m", "m"), ("shared", "set"))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,8 +288,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 lack.append(len(x) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), batch.column("m_b"), pa.array(link, pa.bool_()), pa.array(differ, pa.binary()), pa.array(apart, pa.int64()), pa.array(lack, pa.int64())], ["a", "b", "n", "m", "link", "differ", "apart", "lack"])
 
-    joined = pairs.join(side("b"), "b").join(side("a").join(pairs.select("a").distinct(), "a", "left_semi"), "a")
-    return joined.mapInArrow(work, "a long, b long, n long, m long, link boolean, differ binary, apart long, lack long")
+    out = stash(side("b", False).join(side("a", True), "a").mapInArrow(work, "a long, b long, n long, m long, link boolean, differ binary, apart long, lack long"), "compared")
+    release(held)
+    return out
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +321,7 @@ def _links(lists: DataFrame, sets: Callable[[DataFrame], DataFrame], first: Data
     release(hubs, lists)
     sets = sets(held.select("class").union(held.select("hub")).distinct())
     tried = stash(held.where(_may_link("n", "m", "hub_n", "hub_m", near)).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    done = stash(_compare(tried, sets, percent), "compared")
+    done = _compare(tried, sets, percent)
     release(tried)
     linked = done.where("link").select("a", "b")
     label = components(linked)
@@ -369,9 +375,10 @@ def _links(lists: DataFrame, sets: Callable[[DataFrame], DataFrame], first: Data
     rest = away.where("not near").join(other, "key").where((F.col("label") != F.col("y_label")) & _may_link("n", "m", "y_n", "y_m", percent))
     rest = stash(rest.select(F.least("class", "y").alias("a"), F.greatest("class", "y").alias("b")).distinct(), "pairs")
     release(held, away)
-    far = stash(_compare(rest, sets, percent).where("link").select("a", "b"), "far")
+    compared = _compare(rest, sets, percent)
+    far = compared.where("link").select("a", "b")
     out = stash(linked.union(plain).union(met).union(far), "links")
-    release(done, plain, met, far, rest)
+    release(done, plain, met, compared, rest)
     return out
 
 
