@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable
@@ -40,29 +40,51 @@ def _add(total: dict[str, np.ndarray], part: dict[str, np.ndarray | float]) -> N
         total[k] = total[k] + v if k in total else v.copy()
 
 
-def gather(rows: DataFrame, work: Callable[[Block], dict[str, np.ndarray | float]], sizes: dict[str, tuple[int, ...]], by: str | None = None, order: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+def in_series(rows: DataFrame, by: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a series (equal ``by``) in one partition, together and ordered; ``_first`` marks where one begins.
+
+    Series are dealt over a few partitions a core, so that each has many of them for ``gather`` to do at once;
+    where the shuffle makes more partitions, a task takes several.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in order] or [F.lit(0)]
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.repartition(tasks, by)
+    return dealt.withColumn("_first", F.row_number().over(Window.partitionBy(by).orderBy(*keys)) == 1).coalesce(tasks)
+
+
+def whole_series(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
+    """Tables of whole series from batches of ``in_series``, of about ``most`` rows unless one series has more."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size + batch.num_rows > most and held:
+            begun = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            if len(begun):  # all before the last begun series is whole
+                cut = int(begun[-1])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def gather(rows: DataFrame, work: Callable[[Block], dict[str, np.ndarray | float]], sizes: dict[str, tuple[int, ...]], series: bool = False) -> dict[str, np.ndarray]:
     """Sum of ``work(block)`` over all blocks, in the shapes of ``sizes``.
 
-    With ``by`` a block is one whole group (a series), ordered by ``order``.
+    With ``series`` the rows are those of ``in_series``, and a block is several whole series.
     """
     ensure_importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in whole_series(batches) if series else batches:
             if batch.num_rows:
                 _add(total, work(columns(batch)))
         yield _entries(total)
 
-    def group(table: pa.Table) -> pa.Table:
-        if order:
-            table = table.sort_by([(c, "ascending") for c in order])
-        total: dict[str, np.ndarray] = {}
-        _add(total, work(columns(table)))
-        return pa.Table.from_batches([_entries(total)])
-
-    parts = rows.mapInArrow(run, _SCHEMA) if by is None else rows.groupBy(by).applyInArrow(group, _SCHEMA)
-    summed = parts.groupBy("name", "place").agg(F.sum("value").alias("value")).toArrow()
+    summed = rows.mapInArrow(run, _SCHEMA).groupBy("name", "place").agg(F.sum("value").alias("value")).toArrow()
     out = {k: np.zeros(int(np.prod(s, dtype=np.int64))) for k, s in sizes.items()}
     names = np.array(summed.column("name").to_pylist(), object)
     place, value = summed.column("place").to_numpy(), summed.column("value").to_numpy()

@@ -8,7 +8,7 @@ series in Spark tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 
 from ..functions.families import GAMLSSFamily
 from ..functions.special import gamma_cdf, normal_ppf
-from ..operators.partials import columns
+from ..operators.partials import columns, whole_series
 from ..session import ensure_importable
-from .joint import GSMM, GSMMFamily
+from . import chains
+from .joint import GSMM, GSMMFamily, each_series
 
 
 @dataclass
@@ -205,6 +206,22 @@ class HSMMFamily(GSMMFamily):
             p[:, :, j] = np.arange(1, self.longest) == len(self.template)
         return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
 
+    def changes(self, etas: list[np.ndarray], at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of moves and of the first state, from the predictors ``at`` and after at the first row."""
+        move, first, s = self.move, self.first, self.states
+        if move is None:
+            move = np.zeros((s, s))
+            for j in range(s):
+                z = np.array([0.0, *(float(etas[at + k][0]) for k in range(s - 2))])
+                at += s - 2
+                e = np.exp(z - z.max())
+                move[j, [k for k in range(s) if k != j]] = e / e.sum()
+        if first is None:
+            z = np.array([0.0, *(float(etas[at + k][0]) for k in range(s - 1))])
+            e = np.exp(z - z.max())
+            first = e / e.sum()
+        return move, first
+
     def chain(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], last: np.ndarray | None = None) -> tuple[Chain, list[list[list[np.ndarray]]]]:
         """Probabilities of a series, and the emission parameters by state and response."""
         etas, at, s = self.etas(coef, splits, xs), 0, self.states
@@ -226,18 +243,7 @@ class HSMMFamily(GSMMFamily):
                 for rest in range(len(self.template)):
                     scale = self.template[len(self.template) - 1 - rest]
                     log[:, rest, j] = sum(f.lp(y, m[0] * scale, *m[1:]) for y, f, m in zip(ys, self.families, pars[j], strict=True))
-        move, first = self.move, self.first
-        if move is None:
-            move = np.zeros((s, s))
-            for j in range(s):
-                z = np.array([0.0, *(float(etas[at + k][0]) for k in range(s - 2))])
-                at += s - 2
-                e = np.exp(z - z.max())
-                move[j, [k for k in range(s) if k != j]] = e / e.sum()
-        if first is None:
-            z = np.array([0.0, *(float(etas[at + k][0]) for k in range(s - 1))])
-            e = np.exp(z - z.max())
-            first = e / e.sum()
+        move, first = self.changes(etas, at)
         return Chain(np.exp(np.clip(log, -700, 300)), last, move, first, self.ends_with_last), pars
 
     def llk(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray]) -> float:
@@ -294,6 +300,14 @@ class HSMMFamily(GSMMFamily):
         reached = np.einsum("rj,trj->tj", c.last, seen)
         moved = c.move * (a[:-1, 0].T @ reached[1:])
         begun = c.first * reached[0]
+        return self._score(coef, splits, ys, xs, state, stays, moved, begun, c.move, c.first)
+
+    def _score(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], state: np.ndarray, stays: np.ndarray, moved: np.ndarray, begun: np.ndarray, move: np.ndarray, first_p: np.ndarray) -> np.ndarray:
+        """Complete-data score of expected states (n, S), stays (D-1, S), moves (S, S) and first states (S).
+
+        Predictors but those of emissions are read at the first row, so all series must agree in them.
+        """
+        out, s = np.zeros(len(coef)), self.states
 
         def add(k: int, value: np.ndarray) -> None:
             out[splits[k] : splits[k + 1]] += value
@@ -321,13 +335,71 @@ class HSMMFamily(GSMMFamily):
         if self.move is None:
             for j in range(s):
                 others = [k for k in range(s) if k != j]
-                slope = moved[j, others] - c.move[j, others] * moved[j].sum()
+                slope = moved[j, others] - move[j, others] * moved[j].sum()
                 for k in range(s - 2):
                     add(at + k, xs[at + k][0] * slope[k + 1])
                 at += s - 2
         if self.first is None:
             for k in range(s - 1):
-                add(at + k, xs[at + k][0] * (begun[k + 1] - c.first[k + 1]))
+                add(at + k, xs[at + k][0] * (begun[k + 1] - begun.sum() * first_p[k + 1]))
+        return out
+
+    # many series at once -----------------------------------------------------------------------------
+    def lanes(self, xs: list[np.ndarray], starts: np.ndarray) -> list[chains.Lanes]:
+        """Batches of series that agree in what their durations, moves and first state depend on."""
+        at = sum(f.n_par for f in self.families) * self.states
+        own = [x[starts] for x in xs[at:]]
+        alike = np.unique(np.column_stack(own), axis=0, return_inverse=True)[1].ravel() if own else np.zeros(len(starts), int)
+        return chains.lanes(starts, len(xs[0]), alike)
+
+    def emissions(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], made: dict) -> list[np.ndarray]:
+        """Emission probabilities by state; those in ``made`` of equal coefficients are taken from there."""
+        at, out = 0, []
+        for j in range(self.states):
+            width = sum(f.n_par for f in self.families)
+            key = (j, coef[splits[at] : splits[at + width]].tobytes())
+            if key not in made:
+                if len(made) * len(ys[0]) > chains.CELLS:
+                    made.clear()
+                log = np.zeros(len(ys[0]))
+                for y, f in zip(ys, self.families, strict=True):
+                    log += f.lp(y, *f.means([xs[at + k] @ coef[splits[at + k] : splits[at + k + 1]] for k in range(f.n_par)]))
+                    at += f.n_par
+                made[key] = np.exp(np.clip(log, -700, 300, out=log), out=log)
+            else:
+                at += width
+            out.append(made[key])
+        return out
+
+    def tables(self, coefs: Sequence[np.ndarray], splits: list[int], xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of durations, moves and first states at the first row, by coefficients."""
+        at = sum(f.n_par for f in self.families) * self.states + 2 * self.states
+        found = [self.changes(self.etas(c, splits, [x[:1] for x in xs]), at) for c in coefs]
+        return self.durations(coefs, splits, xs), np.stack([m for m, _ in found]), np.stack([f for _, f in found])
+
+    def series_llks(self, coefs: Sequence[np.ndarray], splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        if self.events:
+            return super().series_llks(coefs, splits, ys, xs, starts)
+        out = np.empty((len(starts), len(coefs)))
+        for lane in self.lanes(xs, starts):
+            y, x, made = [v[lane.perm] for v in ys], [v[lane.perm] for v in xs], {}
+            tables = self.tables(coefs, splits, x)
+            few = max(1, min(chains.SERIES // len(lane.series), chains.CELLS // (self.states * len(lane.perm))))
+            for k in range(0, len(coefs), few):
+                part = slice(k, k + few)
+                emit = np.array([self.emissions(c, splits, y, x, made) for c in coefs[part]])
+                out[lane.series, part] = chains.forward(lane, emit, *(v[part] for v in tables), self.ends_with_last).llk.T
+        return out
+
+    def series_gradient(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        if self.events:
+            return super().series_gradient(coef, splits, ys, xs, starts)
+        out = np.zeros(len(coef))
+        for lane in self.lanes(xs, starts):
+            y, x = [v[lane.perm] for v in ys], [v[lane.perm] for v in xs]
+            last, move, first = (v[0] for v in self.tables([coef], splits, x))
+            state, *sums = chains.expected(lane, np.array(self.emissions(coef, splits, y, x, {})), last, move, first, self.ends_with_last)
+            out += self._score(coef, splits, y, x, state.T, *sums, move, first)
         return out
 
 
@@ -349,17 +421,12 @@ class HSMM(GSMM):
         if kind not in ("viterbi", "posterior", "predict", "forward", "predictive", "durations", "probabilities"):
             raise ValueError(f"unknown kind {kind!r}")
         family, splits, parts, coef = self.family, self.splits, self._parts, self.fitted.coef
-        keys = self._keys()
-        order = [(f"_q{k}", "ascending") for k in range(1, len(keys))]
         ensure_importable(df.sparkSession)
 
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by(order)
-            series = table.column("_q0")[0]
-            block = columns(table.select([c for c in table.schema.names if not c.startswith("_q")]))
-            c, pars = family.chain(coef, splits, *parts(block))
-            ys, n = parts(block)[0], table.num_rows
-            rng = np.random.default_rng((seed, abs(hash(str(series.as_py()))) % 2**31))
+        def single(ys: list[np.ndarray], xs: list[np.ndarray], series: str) -> tuple[np.ndarray, ...]:
+            c, pars = family.chain(coef, splits, ys, xs)
+            n = len(ys[0])
+            rng = np.random.default_rng((seed, abs(hash(series)) % 2**31))
             place, which, state, value = [], [], [], []
 
             def add(d: int, s: np.ndarray, v: np.ndarray | float) -> None:
@@ -400,7 +467,45 @@ class HSMM(GSMM):
                 for j in range(family.states):
                     with np.errstate(divide="ignore"):
                         add(j, np.full(n, j), np.log(c.emit[..., j].max(axis=1) if c.emit.ndim == 3 else c.emit[:, j]))
-            out = [np.concatenate(x) for x in (place, which, state, value)]
-            return pa.table({"series": pa.array([str(series.as_py())] * len(out[0])), "place": pa.array(out[0], pa.int64()), "draw": pa.array(out[1], pa.int64()), "state": pa.array(out[2], pa.int64()), "value": pa.array(out[3], pa.float64())})
-
-        return self.rows(df).groupBy("_q0").applyInArrow(run, "series string, place long, draw long, state long, value double")
+            return tuple(np.concatenate(x) for x in (place, which, state, value))
+
+        def together(ys: list[np.ndarray], xs: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, ...]:
+            """The kinds that many series can do at once: state and value of each row."""
+            state, value = np.full(len(ys[0]), -1), np.empty(len(ys[0]))
+            for lane in family.lanes(xs, starts):
+                y, x = [v[lane.perm] for v in ys], [v[lane.perm] for v in xs]
+                last, move, first = (v[0] for v in family.tables([coef], splits, x))
+                emit = np.array(family.emissions(coef, splits, y, x, {}))
+                if kind == "viterbi":
+                    state[lane.perm], rest = chains.viterbi(lane, emit, last, move, first, family.ends_with_last)
+                    value[lane.perm] = rest[lane.rank()]
+                else:
+                    cdf, width, f = [], sum(g.n_par for g in family.families), family.families[0]
+                    for j in range(family.states):
+                        mus = f.means([x[j * width + k] @ coef[splits[j * width + k] : splits[j * width + k + 1]] for k in range(f.n_par)])
+                        cdf.append(np.exp(f.lcp(y[0], *mus)))
+                    u = chains.mixtures(lane, emit, last, move, first, family.ends_with_last, np.stack(cdf))
+                    value[lane.perm] = normal_ppf(np.clip(u, 1e-12, 1 - 1e-12))
+            return state, value
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_series(batches):
+                block = columns(table.drop_columns(["_q0"]))
+                starts = np.flatnonzero(block["_first"])
+                names = [str(v) for v in table.column("_q0").take(pa.array(starts)).to_pylist()]
+                ys, xs = parts(block)
+                if kind in ("viterbi", "forward") and not family.events:
+                    size = np.diff(np.append(starts, table.num_rows))
+                    place = np.arange(table.num_rows) - np.repeat(starts, size)
+                    found = [(place, np.zeros(len(place), int), *together(ys, xs, starts))]
+                    sizes = size
+                else:
+                    found = [single(*part, name) for part, name in zip(each_series(ys, xs, starts), names, strict=True)]
+                    sizes = [len(f[0]) for f in found]
+                out = [np.concatenate(v) for v in zip(*found, strict=True)]
+                which = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), sizes)))
+                whole = pa.RecordBatch.from_arrays([which, *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.float64())], ["series", "place", "draw", "state", "value"])
+                for k in range(0, whole.num_rows, 1 << 16):
+                    yield whole.slice(k, 1 << 16)
+
+        return self.rows(df).mapInArrow(run, "series string, place long, draw long, state long, value double")

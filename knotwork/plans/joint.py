@@ -19,7 +19,7 @@ from ..functions.families import ExtendedFamily, Family, GAMLSSFamily
 from ..functions.linalg import dependent_columns, inverse_factor
 from ..functions.quasi import LimitedMemory, lbfgs, sampled_pairs
 from ..operators import encode as enc
-from ..operators.partials import Block, columns, gather
+from ..operators.partials import Block, columns, gather, in_series
 from ..session import ensure_importable
 from . import solve as S
 from . import spec
@@ -30,11 +30,21 @@ from .terms import Formula
 STEPS = 0.5 ** np.arange(0, 12)
 
 
+def finite(v: np.ndarray | float) -> np.ndarray:
+    return np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def each_series(ys: list[np.ndarray], xs: list[np.ndarray], starts: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    for a, b in zip(starts, [*starts[1:], len(ys[0])], strict=True):
+        yield [y[a:b] for y in ys], [x[a:b] for x in xs]
+
+
 class GSMMFamily(ABC):
     """A likelihood of several linear predictors and ``extra`` further coefficients.
 
     ``llk(coef, splits, ys, xs)`` is the part of one block: rows (``shape`` "rowwise") or a whole
     series ("grouped"). Without ``gradient`` or ``hessian`` differences are used, all of them in one pass.
+    A grouped family can do many series at once: see ``series_llks`` and ``series_gradient``.
     """
 
     shape = "rowwise"
@@ -50,6 +60,14 @@ class GSMMFamily(ABC):
         """``llk`` at several coefficients; a family whose recursion is costly can do them together."""
         return np.array([self.llk(c, splits, ys, xs) for c in coefs])
 
+    def series_llks(self, coefs: Sequence[np.ndarray], splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """``llks`` of several whole series, one after the other from the rows ``starts``: (series, coefs)."""
+        return np.stack([self.llks(coefs, splits, *part) for part in each_series(ys, xs, starts)])
+
+    def series_gradient(self, coef: np.ndarray, splits: list[int], ys: list[np.ndarray], xs: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Sum of their gradients, if the family has one."""
+        return np.sum([finite(self.gradient(coef, splits, *part)) for part in each_series(ys, xs, starts)], axis=0)
+
     gradient: Callable | None = None
     hessian: Callable | None = None
     #: Whether ``llks`` costs little more than ``llk``, so that second differences come from it.
@@ -140,7 +158,11 @@ class Joint(Model):
         df = df.withColumns({f"_q{k}": F.col(c) for k, c in enumerate(extra)})
         whole = spec.Design(self.formulas[0], self.designs[0].encoding, [b for d in self.designs for b in d.blocks])
         whole.formula = next((f for f in self.formulas if f.series), self.formulas[0])
-        return spec.rows_of(df, whole, ys, [f"_q{k}" for k in range(len(extra))])
+        rows = spec.rows_of(df, whole, ys, [f"_q{k}" for k in range(len(extra))])
+        if self.family.shape != "grouped":
+            return rows
+        own = [f"_q{k}" for k in range(len(keep), len(extra))]
+        return in_series(rows, own[0], tuple(own[1:])).drop(*own[1:])
 
     def _keys(self) -> list[str]:
         """Columns of series and order, which a grouped likelihood needs."""
@@ -153,8 +175,7 @@ class Joint(Model):
 
     def _gather(self, rows: DataFrame, work: Callable[[Block], dict], sizes: dict) -> dict[str, np.ndarray]:
         if self.family.shape == "grouped":
-            keys = self._keys()
-            return gather(rows, work, sizes, "_q0", tuple(f"_q{k}" for k in range(1, len(keys))))
+            return gather(rows.drop("_q0"), work, sizes, series=True)
         return gather(rows, work, sizes)
 
     # likelihood -----------------------------------------------------------------------------------
@@ -165,6 +186,9 @@ class Joint(Model):
         def work(block: Block) -> dict[str, np.ndarray]:
             ys, xs = parts(block)
             with np.errstate(all="ignore"):
+                if family.shape == "grouped":
+                    v = family.series_llks(coefs, splits, ys, xs, np.flatnonzero(block["_first"]))
+                    return {"llk": np.where(np.isfinite(v), v, -1e300).sum(axis=0)}
                 v = family.llks(coefs, splits, ys, xs)
             return {"llk": np.where(np.isfinite(v), v, -1e300)}
 
@@ -188,31 +212,49 @@ class Joint(Model):
             both = family.llks([c + sign * step[k] * np.eye(p)[k] for sign in (1, -1) for k in range(p)], splits, ys, xs)
             return (both[:p] - both[p:]) / (2 * step)
 
+        low = [(i, j) for i in range(p) for j in range(i)]
+        unit, wide = np.eye(p), 30 * step
+
+        def moves() -> list[np.ndarray]:
+            found = [sign * wide[k] * unit[k] for sign in (1, -1) for k in range(p)]
+            return found + [sign * (wide[i] * unit[i] + wide[j] * unit[j]) for sign in (1, -1) for i, j in low]
+
+        def differences(at: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """Second derivatives from ``v`` (..., moves), finite ones."""
+            h = np.zeros((*v.shape[:-1], p, p))
+            one = v[..., :p] + v[..., p : 2 * p]
+            h[..., np.arange(p), np.arange(p)] = (one - 2 * at[..., None]) / wide**2
+            pair = v[..., 2 * p : 2 * p + len(low)] + v[..., 2 * p + len(low) :]
+            for n, (i, j) in enumerate(low):
+                h[..., i, j] = h[..., j, i] = (pair[..., n] - one[..., i] - one[..., j] + 2 * at) / (2 * wide[i] * wide[j])
+            return finite(h)
+
+        def one(ys: list, xs: list) -> dict[str, np.ndarray]:
+            out = {"llk": family.llk(coef, splits, ys, xs), "grad": gradient(coef, ys, xs)}
+            if second and family.hessian is not None:
+                out["hess"] = family.hessian(coef, splits, ys, xs)
+            elif second and family.gradient is not None and not family.batched:
+                cols = []
+                for k in range(p):
+                    up, down = ends(k)
+                    cols.append((gradient(up, ys, xs) - gradient(down, ys, xs)) / (2 * step[k]))
+                out["hess"] = np.stack(cols)
+            elif second:
+                out["hess"] = differences(np.asarray(out["llk"]), family.llks([coef + m for m in moves()], splits, ys, xs))
+            return {k: finite(v) for k, v in out.items()}
+
         def work(block: Block) -> dict[str, np.ndarray | float]:
             ys, xs = parts(block)
             with np.errstate(all="ignore"):
-                out = {"llk": family.llk(coef, splits, ys, xs), "grad": gradient(coef, ys, xs)}
-                if second and family.hessian is not None:
-                    out["hess"] = family.hessian(coef, splits, ys, xs)
-                elif second and family.gradient is not None and not family.batched:
-                    cols = []
-                    for k in range(p):
-                        up, down = ends(k)
-                        cols.append((gradient(up, ys, xs) - gradient(down, ys, xs)) / (2 * step[k]))
-                    out["hess"] = np.stack(cols)
-                elif second:
-                    h, at, unit, wide = np.zeros((p, p)), out["llk"], np.eye(p), 30 * step
-                    low = [(i, j) for i in range(p) for j in range(i)]
-                    moves = [sign * wide[k] * unit[k] for sign in (1, -1) for k in range(p)]
-                    moves += [sign * (wide[i] * unit[i] + wide[j] * unit[j]) for sign in (1, -1) for i, j in low]
-                    v = family.llks([coef + m for m in moves], splits, ys, xs)
-                    one = v[:p] + v[p : 2 * p]
-                    h[np.diag_indices(p)] = (one - 2 * at) / wide**2
-                    pair = v[2 * p : 2 * p + len(low)] + v[2 * p + len(low) :]
-                    for (i, j), both in zip(low, pair, strict=True):
-                        h[i, j] = h[j, i] = (both - one[i] - one[j] + 2 * at) / (2 * wide[i] * wide[j])
-                    out["hess"] = h
-            return {k: np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0) for k, v in out.items()}
+                if family.shape != "grouped":
+                    return one(ys, xs)
+                starts = np.flatnonzero(block["_first"])
+                if family.gradient is not None and family.batched and family.hessian is None:
+                    v = family.series_llks([coef, *(coef + m for m in moves() if second)], splits, ys, xs, starts)
+                    out = {"llk": finite(v[:, 0]).sum(), "grad": family.series_gradient(coef, splits, ys, xs, starts)}
+                    return out | ({"hess": differences(v[:, 0], v[:, 1:]).sum(axis=0)} if second else {})
+                found = [one(*part) for part in each_series(ys, xs, starts)]
+                return {k: np.sum([f[k] for f in found], axis=0) for k in found[0]}
 
         sizes = {"llk": (1,), "grad": (p,)} | ({"hess": (p, p)} if second else {})
         got = self._gather(rows, work, sizes)
@@ -287,8 +329,15 @@ class Joint(Model):
                     lvi, _ = inverse_factor((-hess + s)[np.ix_(alive, alive)])
                     direction[alive] = lvi.T @ (lvi @ slope[alive])
                 trials = [coef + t * direction for t in STEPS]
-                found = self.llks(rows, trials) - np.array([0.5 * float(c @ s @ c) for c in trials])
+                ahead = np.array([0.5 * float(c @ s @ c) for c in trials])
+                alone = not quasi and self.family.shape == "grouped"
+                # a Newton step takes the first length that gains, most often the whole one
+                found = self.llks(rows, trials[:1] if alone else trials)
+                found = np.append(found, np.full(len(trials) - len(found), -np.inf)) - ahead
                 good = np.flatnonzero(found > value - 1e-12 * abs(value))
+                if not len(good) and alone:
+                    found[1:] = self.llks(rows, trials[1:]) - ahead[1:]
+                    good = np.flatnonzero(found > value - 1e-12 * abs(value))
                 if not len(good):
                     if quasi and step == 0:
                         approx = None
@@ -345,7 +394,9 @@ class Joint(Model):
 
         def work(block: Block) -> dict[str, np.ndarray]:
             ys, xs = parts(block)
-            return {"g": np.nan_to_num(np.stack([family.gradient(c, splits, ys, xs) for c in coefs]), nan=0.0, posinf=0.0, neginf=0.0)}
+            if family.shape == "grouped":
+                return {"g": np.stack([family.series_gradient(c, splits, ys, xs, np.flatnonzero(block["_first"])) for c in coefs])}
+            return {"g": finite(np.stack([family.gradient(c, splits, ys, xs) for c in coefs]))}
 
         return list(self._gather(rows, work, {"g": (len(coefs), p)})["g"])
 

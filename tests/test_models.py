@@ -2,11 +2,13 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions import families as fam
 from knotwork.functions.links import Identity
+from knotwork.functions.special import normal_ppf
 from knotwork.operators import encode as enc
 from knotwork.operators.partials import columns
 from knotwork.plans import inference, solve
@@ -470,3 +472,89 @@ def test_other_lambdas_by_new_fits(data):
     assert np.allclose(at(rho)[1], m.fitted.coef, atol=1e-4) and np.isclose(at(rho)[0], m.fitted.reml, atol=1e-3)
     assert at(rho + 3)[0] < at(rho)[0] and at(rho - 3)[0] < at(rho)[0] + 1e-6
     assert inference.correct_covariance(m, refit=at)[1] >= m.fitted.edf
+
+
+def _many_series(states, families, ends_with_last, slopes=False):
+    rng = np.random.default_rng(states)
+    fixed = states == 2
+    move = np.array([[0.0, 1.0], [1.0, 0.0]]) if fixed else None
+    family = HSMMFamily(states, families, 7, move=move, first=np.full(states, 1 / states) if fixed else None, ends_with_last=ends_with_last)
+    sizes = [1, 30, 5, 1, 12, 30, 8, 2]
+    n, starts = sum(sizes), np.append(0, np.cumsum(sizes)[:-1])
+    ys = [rng.normal(size=n) + 3 * (np.arange(n) % 9 > 4), rng.gamma(2.0, 1.0, n)][: len(families)]
+    group = np.repeat(np.arange(len(sizes)) % 2, sizes)
+    xs = [np.column_stack((np.ones(n), rng.normal(size=n) if k < states * sum(f.n_par for f in families) or slopes else group)) for k in range(family.n_par)]
+    splits = list(range(0, 2 * family.n_par + 1, 2))
+    return family, starts, ys, xs, splits, rng
+
+
+@pytest.mark.parametrize(("states", "two", "last", "slopes"), [(2, True, False, False), (2, False, True, False), (3, False, False, False), (3, True, True, True)])
+def test_semi_markov_series_at_once_equal_single_ones(states, two, last, slopes):
+    from knotwork.plans import chains
+    from knotwork.plans.hsmm import forward_residuals
+    from knotwork.plans.joint import each_series
+
+    family, starts, ys, xs, splits, rng = _many_series(states, [fam.GAUMLSS(), fam.GAMMALS()] if two else [fam.GAUMLSS()], last, slopes)
+    coefs = list(rng.normal(0, 0.3, (5, splits[-1])))
+    coefs[3][0] = np.nan  # no finite likelihood
+    parts = list(each_series(ys, xs, starts))
+    with np.errstate(all="ignore"):
+        got, want = family.series_llks(coefs, splits, ys, xs, starts), np.stack([family.llks(coefs, splits, *p) for p in parts])
+    assert np.isnan(got[:, 3]).all() and np.allclose(got[:, [0, 1, 2, 4]], want[:, [0, 1, 2, 4]], rtol=1e-10)
+    assert np.allclose(family.series_gradient(coefs[0], splits, ys, xs, starts), sum(family.gradient(coefs[0], splits, *p) for p in parts), rtol=1e-8, atol=1e-8)
+    ys[0][starts[1] : starts[2]] = np.nan  # one series has none
+    with np.errstate(all="ignore"):
+        bad = family.series_gradient(coefs[0], splits, ys, xs, starts)
+        assert np.allclose(bad, sum(family.gradient(coefs[0], splits, *p) for k, p in enumerate(parts) if k != 1), rtol=1e-8, atol=1e-8)
+    family, starts, ys, xs, splits, rng = _many_series(states, family.families, last, slopes)
+    parts, seen = list(each_series(ys, xs, starts)), 0
+    for lane in family.lanes(xs, starts):
+        y, x = [v[lane.perm] for v in ys], [v[lane.perm] for v in xs]
+        tables = [v[0] for v in family.tables([coefs[0]], splits, x)]
+        emit = np.array(family.emissions(coefs[0], splits, y, x, {}))
+        states_of, rest = chains.viterbi(lane, emit, *tables, last)
+        cdf = rng.uniform(size=emit.shape)
+        u = chains.mixtures(lane, emit, *tables, last, cdf)
+        for k, number in enumerate(lane.series):
+            c, _ = family.chain(coefs[0], splits, *parts[number])
+            own, end, _ = viterbi(c)
+            mine = lane.rank() == k
+            assert (states_of[mine] == own).all() and rest[k] == end
+            assert np.allclose(normal_ppf(u[mine]), forward_residuals(c, cdf[:, mine].T))
+            seen += 1
+    assert seen == len(starts)
+
+
+def test_many_series_cost_far_less_than_one_by_one():
+    from time import perf_counter
+
+    from knotwork.plans.joint import each_series
+
+    family = HSMMFamily(2, [fam.GAUMLSS()], 12, move=np.array([[0.0, 1.0], [1.0, 0.0]]), first=np.array([0.5, 0.5]))
+    y, starts = np.random.default_rng(1).normal(size=200 * 60), np.arange(200) * 60
+    xs, splits, coef = [np.ones((len(y), 1))] * 8, list(range(9)), np.array([0.0, 0, 1, 0, 1, -1, 1, -1])
+    coefs = [coef + 0.01 * k for k in range(8)]
+    began = perf_counter()
+    together = family.series_llks(coefs, splits, [y], xs, starts), family.series_gradient(coef, splits, [y], xs, starts)
+    middle = perf_counter()
+    alone = [(family.llks(coefs, splits, *p), family.gradient(coef, splits, *p)) for p in each_series([y], xs, starts)]
+    assert 3 * (middle - began) < perf_counter() - middle
+    assert np.allclose(together[0], [a for a, _ in alone]) and np.allclose(together[1], sum(b for _, b in alone))
+
+
+def test_series_reach_a_task_whole(spark):
+    from knotwork.operators.partials import in_series, whole_series
+
+    d = spark.range(40000).select((F.col("id") % 7).alias("g"), (F.col("id") * 7919 % 40009).alias("t"))
+    d = d.withColumn("g", F.when(F.col("g") != 3, F.col("g"))).withColumn("t", F.when(F.col("t") % 1000 != 0, F.col("t")))
+
+    schema = pa.schema({"g": pa.float64(), "n": pa.int64(), "kinds": pa.int64(), "sorted": pa.bool_()})
+
+    def run(batches):
+        for table in whole_series(batches, 1000):
+            p = table.to_pandas()
+            number = p._first.cumsum()
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"g": p.groupby(number).g.first(), "n": p.groupby(number).size(), "kinds": p.groupby(number).g.nunique(dropna=False), "sorted": [bool(v.is_monotonic_increasing) for _, v in p.t.fillna(1e9).groupby(number)]}), schema, preserve_index=False)
+
+    got = in_series(d, "g", ("t",)).mapInArrow(run, "g double, n long, kinds long, sorted boolean").toPandas()
+    assert len(got) == 7 and got.n.sum() == 40000 and (got.kinds == 1).all() and got.sorted.all()
