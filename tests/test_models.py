@@ -558,3 +558,29 @@ def test_series_reach_a_task_whole(spark):
 
     got = in_series(d, "g", ("t",)).mapInArrow(run, "g double, n long, kinds long, sorted boolean").toPandas()
     assert len(got) == 7 and got.n.sum() == 40000 and (got.kinds == 1).all() and got.sorted.all()
+
+
+def _decoded(series, alone):
+    """Times of decoding many series at once and one by one."""
+    from time import perf_counter
+
+    family = HSMMFamily(2, [fam.GAUMLSS()], 12, move=np.array([[0.0, 1.0], [1.0, 0.0]]), first=np.array([0.5, 0.5]))
+    y, starts = np.random.default_rng(1).normal(size=200 * 60), np.arange(200) * 60
+    xs, splits, coef = [np.ones((len(y), 1))] * 8, list(range(9)), np.array([0.0, 0, 1, 0, 1, -1, 1, -1])
+    lane = family.lanes(xs, starts)[0]
+    emit, tables = np.array(family.emissions(coef, splits, [y[lane.perm]], xs, {})), [v[0] for v in family.tables([coef], splits, xs)]
+    began = perf_counter()
+    series(lane, emit, *tables, False)
+    middle = perf_counter()
+    for k in range(0, len(y), 60):
+        alone(family.chain(coef, splits, [y[k : k + 60]], [x[k : k + 60] for x in xs])[0])
+    return middle - began, perf_counter() - middle
+
+
+def test_residuals_of_many_series_cost_far_less_than_one_by_one():
+    from knotwork.plans import chains
+    from knotwork.plans.hsmm import forward_residuals
+
+    cdf = np.full((2, 200 * 60), 0.5)
+    many, single = _decoded(lambda *a: chains.mixtures(*a, cdf), lambda c: forward_residuals(c, np.full((60, 2), 0.5)))
+    assert 3 * many < single
