@@ -584,3 +584,10 @@ def test_residuals_of_many_series_cost_far_less_than_one_by_one():
     cdf = np.full((2, 200 * 60), 0.5)
     many, single = _decoded(lambda *a: chains.mixtures(*a, cdf), lambda c: forward_residuals(c, np.full((60, 2), 0.5)))
     assert 3 * many < single
+
+
+def test_decoding_many_series_costs_far_less_than_one_by_one():
+    from knotwork.plans import chains
+
+    many, single = _decoded(chains.viterbi, viterbi)
+    assert 3 * many < single
